@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmesh.llm import packing, pieces, rules, urls
+from quillmesh.llm import language, packing, pieces, quality, rules, urls, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op3_language_id": language.op3_language_id,
     "op4_url_filters": urls.op4_url_filters,
     "op5_sentencepiece": pieces.op5_sentencepiece,
     "op6_quality_rules": rules.op6_quality_rules,
+    "op7_quality_classifier": quality.op7_quality_classifier,
+    "op8_embedding_near_dedup": vectors.op8_embedding_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {"op4_url_filters": urls.OP4_SQL, "op6_quality_rules": rules.OP6_SQL}
