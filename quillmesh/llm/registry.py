@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmesh.llm import language, packing, pieces, quality, rules, urls, vectors
+from quillmesh.llm import language, ngrams, packing, pieces, quality, rules, urls, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op2_ngram_jaccard": ngrams.op2_ngram_jaccard,
     "op3_language_id": language.op3_language_id,
     "op4_url_filters": urls.op4_url_filters,
     "op5_sentencepiece": pieces.op5_sentencepiece,
