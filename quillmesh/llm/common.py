@@ -31,12 +31,16 @@ def shared_dir(spark: SparkSession) -> str:
     return os.path.dirname(spark.sparkContext.getCheckpointDir())
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: cuts lineage and survives a lost executor."""
+def written(df: DataFrame, keep: bool = False) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it back: cuts lineage and survives a lost executor.
+
+    ``release`` deletes what isn't marked to be kept.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillmesh-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _scratch.append(path)
+    if not keep:
+        _scratch.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -163,8 +163,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     return Model(langs, counts)
 
 
-def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of docs (text among docs' columns) with lang_pred and score."""
+def identify(docs: DataFrame, model: Model, keep: list[str], lang: str = "lang_pred", score: str = "score") -> DataFrame:
+    """The columns ``keep`` of docs (which has text) with the prediction and its score under the given names."""
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.log))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -173,11 +173,11 @@ def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
         m.words = {}
         for batch in batches:
             found = m.predict(batch["text"].tolist())
-            yield batch[keep].assign(lang_pred=[k for k, _ in found], score=[s for _, s in found])
+            yield batch[keep].assign(**{lang: [k for k, _ in found], score: [s for _, s in found]})
 
     rows = docs.select(*dict.fromkeys([*keep, "text"]))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema.fields)
-    return rows.mapInPandas(run, f"{fields}, lang_pred string, score double")
+    return rows.mapInPandas(run, f"{fields}, {lang} string, {score} double")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -273,7 +273,7 @@ def _possible(num: int, den: int):
     return run
 
 
-def _small(df: DataFrame) -> DataFrame:
+def small(df: DataFrame) -> DataFrame:
     """df of single ids, marked for broadcast if its count is within the bound."""
     return F.broadcast(df) if df.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else df
 
@@ -302,7 +302,7 @@ class Join:
         near = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "cells_a", "cells_b")
         pairs = written(near.mapInArrow(_possible(self.num, self.den), "a long, b long").distinct())
         nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("b")).distinct())
-        texts = self.docs.withColumnRenamed("doc_id", "b").join(_small(nodes), "b", "left_semi")
+        texts = self.docs.withColumnRenamed("doc_id", "b").join(small(nodes), "b", "left_semi")
         parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
         pairs = written(pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts"))).select("a", "part", "b"))
         pivots = pairs.select("a", "part").distinct().select("a", "part", F.lit(False).alias("other"), F.col("a").alias("b"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmesh.llm import language, ngrams, packing, pieces, quality, rules, urls, vectors
+from quillmesh.llm import language, licenses, ngrams, packing, pieces, pii, quality, rules, urls, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -17,6 +17,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_rules": rules.op6_quality_rules,
     "op7_quality_classifier": quality.op7_quality_classifier,
     "op8_embedding_near_dedup": vectors.op8_embedding_near_dedup,
+    "op9_license_scans": licenses.op9_license_scans,
+    "op10_pii": pii.op10_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {"op4_url_filters": urls.OP4_SQL, "op6_quality_rules": rules.OP6_SQL}
