@@ -32,13 +32,16 @@ PATTERNS = {
     "secret": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\bsk-[A-Za-z0-9]{20,64}\b|\bgh[pousr]_[A-Za-z0-9]{36}\b|(?i:\b(?:token|password|passwd|secret|api[_\-]?key) ?[=:] ?[\"']?)[A-Za-z0-9+/_\-]{8,200}",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
-    "date": r"(?<![0-9\-/.])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}([/.])[0-9]{1,2}\1[0-9]{4})(?![0-9\-/]|\.[0-9])",
-    "card": r"(?<![0-9])(?<![0-9][ \-])[0-9](?:[ \-]?[0-9]){12,18}(?![ \-]?[0-9])",
+    "date": r"(?<![0-9\-/.])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9\-/]|\.[0-9])",
+    "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ \-][0-9]{4}){3}|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{5})(?![0-9])",
     "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
     "phone": r"(?<![0-9+])\+[0-9]{1,3}[ .\-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .\-]?[0-9]{2,4}){2,3}(?![0-9])|(?<![0-9+(])(?:\([0-9]{3}\) ?|[0-9]{3}[.\-])[0-9]{3}[.\-][0-9]{4}(?![0-9])",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
+#: What of a secret is kept.
+SECRET_HEAD = r"^(?:(?:AKIA|ASIA)(?=[0-9A-Z]{16}$)|sk-|gh[pousr]_|(?i:(?:token|password|passwd|secret|api[_\-]?key) ?[=:] ?[\"']?))"
+
 
 def _digits(s: Column) -> Column:
     return F.regexp_replace(s, "[^0-9]", "")
@@ -91,25 +94,23 @@ def _text_from(s: Column, symbols: Column) -> Column:
     return F.array_join(F.transform(F.split(s, ""), back), "")
 
 
-def _day(m: Column) -> tuple[Column, Column]:
-    """(days since DATE_FROM or null, format) of a date's text."""
-    sep = F.when(m.contains("/"), F.lit("/")).otherwise(F.lit("."))
-    x, y, z = (F.try_element_at(F.split(m, "[/.]"), F.lit(k)) for k in (1, 2, 3))
-    iso = F.try_to_date(m, "yyyy-MM-dd")
-    date = lambda d, mo: F.try_to_date(F.concat_ws("-", z, F.lpad(mo, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd")
-    dashed = m.contains("-")
-    form = F.when(dashed, F.lit("ymd")).when(date(x, y).isNotNull(), F.concat(F.lit("dmy"), sep)).otherwise(F.concat(F.lit("mdy"), sep))
-    days = F.datediff(F.when(dashed, iso).otherwise(F.coalesce(date(x, y), date(y, x))), F.lit(DATE_FROM).cast("date"))
-    return F.when((days >= 0) & (days < DATE_DAYS), days), form
+def _days(m: Column) -> Column:
+    """struct of days since DATE_FROM (null if not a date of the range) and form of a date's text."""
+    parts = F.split(m, "[/.]")
+    x, y, z = (F.get(parts, k) for k in range(3))
+    form = F.when(m.contains("-"), F.lit("ymd")).when(y.cast("int") <= 12, F.lit("dmy")).otherwise(F.lit("mdy"))
+    iso = lambda a, b: F.concat_ws("-", z, F.lpad(a, 2, "0"), F.lpad(b, 2, "0"))
+    text = F.when(form == "ymd", m).when(form == "dmy", iso(y, x)).otherwise(iso(x, y))
+    days = F.datediff(F.try_to_date(text, "yyyy-MM-dd"), F.lit(DATE_FROM).cast("date"))
+    return F.struct(days.alias("days"), form.alias("form"))
 
 
 def _date_text(days: Column, form: Column, old: Column) -> Column:
     date = F.date_add(F.lit(DATE_FROM).cast("date"), days)
-    sep = F.substring(form, 4, 1)
-    padded = F.length(old) == 10
-    part = lambda p: F.when(padded, F.date_format(date, p + p)).otherwise(F.date_format(date, p))
-    dmy, mdy = F.concat_ws("", part("d"), sep, part("M"), sep, F.date_format(date, "yyyy")), F.concat_ws("", part("M"), sep, part("d"), sep, F.date_format(date, "yyyy"))
-    return F.when(form == "ymd", F.date_format(date, "yyyy-MM-dd")).when(form.startswith("dmy"), dmy).otherwise(mdy)
+    sep = F.when(old.contains("/"), F.lit("/")).otherwise(F.lit("."))
+    part = lambda p: F.when(F.length(old) == 10, F.date_format(date, p + p)).otherwise(F.date_format(date, p))
+    first, second = F.when(form == "dmy", part("d")).otherwise(part("M")), F.when(form == "dmy", part("M")).otherwise(part("d"))
+    return F.when(form == "ymd", F.date_format(date, "yyyy-MM-dd")).otherwise(F.concat_ws("", first, sep, second, sep, F.date_format(date, "yyyy")))
 
 
 def _redigit(old: Column, digits: Column) -> Column:
@@ -118,86 +119,100 @@ def _redigit(old: Column, digits: Column) -> Column:
     return F.array_join(F.transform(F.split(old, ""), lambda c, i: F.when(c.rlike("[0-9]"), F.substring(digits, at(i), F.lit(1))).otherwise(c)), "")
 
 
-def _join(symbols: Column) -> Column:
-    return F.array_join(F.transform(symbols, lambda x: x.cast("string")), "")
-
-
-def _validated(m: Column) -> Column:
-    """kind, fixed (what of the value is not permuted), part (what is) of a candidate; kind is null if it is not valid."""
+def _kind(m: Column) -> Column:
     tried = F.lit(None).cast("string")
     for kind, pattern in reversed(PATTERNS.items()):
         tried = F.when(m.rlike(f"^(?:{pattern})$"), F.lit(kind)).otherwise(tried)
     return tried
 
 
-def _valid(kind: Column, m: Column) -> Column:
-    d = _digits(m)
-    octets = F.transform(F.split(m, r"\."), lambda x: x.try_cast("int"))
-    area = F.substring(d, 1, 3)
-    return (
-        F.when(kind == "card", luhn(d) == 0)
+def _octets(m: Column) -> Column:
+    return F.transform(F.split(m, r"\."), lambda x: x.cast("int"))
+
+
+def _parsed(x: Column) -> Column:
+    """x (m, kind) with digits, date and whether the value is valid."""
+    m, kind = x["m"], x["kind"]
+    d = F.when(kind.isin("card", "ssn", "phone"), _digits(m)).otherwise("")
+    area = F.substring(m, 1, 3)
+    date = F.when(kind == "date", _days(m))
+    valid = (
+        F.when(kind == "card", luhn(_digits(m)) == 0)
         .when(kind == "iban", _mod97(F.regexp_replace(m, " ", "")) == 1)
-        .when(kind == "ip", F.forall(octets, lambda x: F.coalesce(x < 256, F.lit(False))))
-        .when(kind == "date", _day(m)[0].isNotNull())
-        .when(kind == "ssn", ~area.isin("000", "666") & (area < "900") & (F.substring(d, 4, 2) != "00") & (F.substring(d, 6, 4) != "0000"))
-        .when(kind == "phone", F.length(d).between(10, 15))
+        .when(kind == "ip", F.forall(_octets(m), lambda v: v < 256))
+        .when(kind == "date", F.coalesce(_days(m)["days"].between(0, DATE_DAYS - 1), F.lit(False)))
+        .when(kind == "ssn", ~area.isin("000", "666") & (area < "900") & (F.substring(m, 5, 2) != "00") & (F.substring(m, 8, 4) != "0000"))
+        .when(kind == "phone", F.length(_digits(m)).between(10, 15))
         .otherwise(kind.isNotNull())
     )
+    return F.struct(m.alias("m"), F.when(valid, kind).alias("kind"), d.alias("d"), date.alias("date"))
 
 
-def _head(kind: Column, m: Column) -> Column:
-    """What of an email, secret, phone, card or IBAN stands before the permuted part."""
-    return (
-        F.when(kind == "secret", F.regexp_extract(m, r"^(?:(?:AKIA|ASIA)(?=[0-9A-Z]{16}$)|sk-|gh[pousr]_|(?i:(?:token|password|passwd|secret|api[_\-]?key) ?[=:] ?[\"']?))", 0))
-        .when(kind == "iban", F.substring(m, 1, 4))
+def _parted(x: Column) -> Column:
+    """x with head (kept), s (permuted as text) and whole (the value without its separators)."""
+    m, kind, d = x["m"], x["kind"], x["d"]
+    head = (
+        F.when(kind == "secret", F.regexp_extract(m, SECRET_HEAD, 0))
+        .when(kind == "card", F.substring(d, 1, 1))
+        .when(kind == "phone", F.substring(d, F.lit(1), F.greatest(F.length(d) - 9, F.lit(1))))
         .otherwise("")
     )
+    s = (
+        F.when(kind == "email", F.substring_index(m, "@", 1))
+        .when(kind == "secret", F.substring(m, F.length(F.regexp_extract(m, SECRET_HEAD, 0)) + 1, F.length(m)))
+        .when(kind == "card", F.substring(d, F.lit(2), F.length(d) - 2))
+        .when(kind == "phone", F.substring(d, F.greatest(F.length(d) - 9, F.lit(1)) + 1, F.length(d)))
+        .when(kind == "iban", F.substring(F.regexp_replace(m, " ", ""), 5, 40))
+        .otherwise("")
+    )
+    return F.struct(m.alias("m"), kind.alias("kind"), d.alias("d"), x["date"].alias("date"), head.alias("head"), s.alias("s"))
+
+
+def _listed(x: Column) -> Column:
+    """x with its symbols and bases."""
+    m, kind = x["m"], x["kind"]
+    symbols, bases = _text_symbols(x["s"])
+    ints = lambda *v: F.array(*(c.cast("int") if isinstance(c, Column) else F.lit(c) for c in v))
+    area = F.substring(m, 1, 3).cast("int")
+    days = x["date"]["days"]
+    v = (
+        F.when(kind == "ip", _octets(m))
+        .when(kind == "date", ints(F.floor(days / DATE_SIDE), days % DATE_SIDE))
+        .when(kind == "ssn", ints(area - F.when(area > 666, 2).otherwise(1), F.substring(m, 5, 2).cast("int") - 1, F.substring(m, 8, 4).cast("int") - 1))
+        .otherwise(symbols)
+    )
+    b = F.when(kind == "ip", ints(256, 256, 256, 256)).when(kind == "date", ints(DATE_SIDE, DATE_SIDE)).when(kind == "ssn", ints(898, 99, 9999)).otherwise(bases)
+    return F.struct(m.alias("m"), kind.alias("kind"), x["date"].alias("date"), x["head"].alias("head"), x["s"].alias("s"), v.alias("v"), b.alias("b"))
 
 
-def _pseudonym(kind: Column, m: Column, key: str) -> Column:
-    d = _digits(m)
-    array = lambda *x: F.array(*(y.cast("int") if isinstance(y, Column) else F.lit(y) for y in x))
+def _permuted(key: str):
+    def run(x: Column) -> Column:
+        v = F.when(x["kind"].isNotNull(), feistel(x["v"], x["b"], x["kind"], key)).otherwise(x["v"])
+        text = F.when(x["kind"].isin("email", "secret", "card", "phone", "iban"), _text_from(x["s"], v)).otherwise("")
+        return F.struct(x["m"].alias("m"), x["kind"].alias("kind"), x["date"].alias("date"), x["head"].alias("head"), v.alias("v"), text.alias("t"))
 
-    def digits(s: Column, tweak: str) -> Column:
-        return _join(feistel(_ints(s), F.transform(_ints(s), lambda _: F.lit(10)), F.lit(tweak), key))
+    return run
 
-    def text(s: Column, tweak: str) -> Column:
-        symbols, bases = _text_symbols(s)
-        return _text_from(s, feistel(symbols, bases, F.lit(tweak), key))
 
-    body = F.concat(F.substring(d, 1, 1), digits(F.substring(d, F.lit(2), F.length(d) - 2), "card"))
+def _rendered(x: Column) -> Column:
+    m, kind, v, t = x["m"], x["kind"], x["v"], x["t"]
+    body = F.concat(x["head"], t)
     card = F.concat(body, ((10 - luhn(F.concat(body, F.lit("0")))) % 10).cast("string"))
-    local = F.substring_index(m, "@", 1)
-    mail = F.concat(text(local, "email"), F.lit("@"), F.substring_index(m, "@", -1))
-    rest = lambda n: F.substring(m, F.length(n) + 1, F.length(m))
-    head = _head(kind, m)
-    plain = F.regexp_replace(m, " ", "")
-    account = text(F.substring(plain, F.lit(5), F.length(plain)), "iban")
-    check = F.lpad((98 - _mod97(F.concat(F.substring(plain, 1, 2), F.lit("00"), account))).cast("string"), 2, "0")
-    bank = F.concat(F.substring(plain, 1, 2), check, account)
+    country = F.substring(m, 1, 2)
+    bank = F.concat(country, F.lpad((98 - _mod97(F.concat(country, F.lit("00"), t))).cast("string"), 2, "0"), t)
     gaps = lambda i: F.length(F.regexp_replace(F.substring(m, F.lit(1), i + 1), " ", ""))
     iban = F.array_join(F.transform(F.split(m, ""), lambda c, i: F.when(c == " ", c).otherwise(F.substring(bank, gaps(i), F.lit(1)))), "")
-    octets = F.transform(F.split(m, r"\."), lambda x: x.try_cast("int"))
-    ip = F.array_join(F.transform(feistel(octets, F.transform(octets, lambda _: F.lit(256)), F.lit("ip"), key), lambda x: x.cast("string")), ".")
-    days, form = _day(m)
-    moved = feistel(array(F.floor(days / DATE_SIDE), days % DATE_SIDE), array(DATE_SIDE, DATE_SIDE), F.lit("date"), key)
-    date = _date_text(F.get(moved, 0) * DATE_SIDE + F.get(moved, 1), form, m)
-    area = F.substring(d, 1, 3).try_cast("int")
-    parts = feistel(array(area - F.when(area > 666, 2).otherwise(1), F.substring(d, 4, 2).try_cast("int") - 1, F.substring(d, 6, 4).try_cast("int") - 1), array(898, 99, 9999), F.lit("ssn"), key)
-    new_area = F.get(parts, 0) + F.when(F.get(parts, 0) >= 665, 2).otherwise(1)
     pad = lambda c, n: F.lpad(c.cast("string"), n, "0")
-    ssn = F.concat_ws("-", pad(new_area, 3), pad(F.get(parts, 1) + 1, 2), pad(F.get(parts, 2) + 1, 4))
-    kept = F.greatest(F.length(d) - 9, F.lit(1))
-    phone = _redigit(m, F.concat(F.substring(d, F.lit(1), kept), digits(F.substring(d, kept + 1, F.length(d)), "phone")))
+    ssn = F.concat_ws("-", pad(F.get(v, 0) + F.when(F.get(v, 0) >= 665, 2).otherwise(1), 3), pad(F.get(v, 1) + 1, 2), pad(F.get(v, 2) + 1, 4))
     return (
-        F.when(kind == "email", mail)
-        .when(kind == "secret", F.concat(head, text(rest(head), "secret")))
+        F.when(kind == "email", F.concat(t, F.lit("@"), F.substring_index(m, "@", -1)))
+        .when(kind == "secret", body)
         .when(kind == "card", _redigit(m, card))
+        .when(kind == "phone", _redigit(m, body))
         .when(kind == "iban", iban)
-        .when(kind == "ip", ip)
-        .when(kind == "date", date)
+        .when(kind == "ip", F.array_join(F.transform(v, lambda x: x.cast("string")), "."))
+        .when(kind == "date", _date_text(F.get(v, 0) * DATE_SIDE + F.get(v, 1), x["date"]["form"], m))
         .when(kind == "ssn", ssn)
-        .when(kind == "phone", phone)
         .otherwise(m)
     )
 
@@ -205,13 +220,14 @@ def _pseudonym(kind: Column, m: Column, key: str) -> Column:
 def pseudonymised(docs: DataFrame, column: str = "text", key: str = KEY) -> DataFrame:
     """row (all columns of docs), text (with pseudonyms) and kinds (an array with the kind of each replaced value)."""
     df = docs.select(F.struct("*").alias("row"), F.col(column).alias("text"))
-    df = df.withColumn("found", F.regexp_extract_all("text", F.lit(f"({ANY})"), 0))
-    df = df.withColumn("kind", F.transform("found", _validated))
-    df = df.withColumn("kind", F.zip_with("kind", "found", lambda k, m: F.when(_valid(k, m), k)))
-    df = df.withColumn("new", F.zip_with("kind", "found", lambda k, m: _pseudonym(k, m, key)))
-    gaps = F.split("text", f"(?:{ANY})", -1)
-    text = F.when(F.size("found") > 0, F.array_join(F.flatten(F.zip_with(gaps, "new", lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")).otherwise(F.col("text"))
-    return df.select("row", text.alias("text"), F.array_compact("kind").alias("kinds"))
+    df = df.withColumn("found", F.regexp_extract_all("text", F.lit(ANY), 0))
+    df = df.withColumn("x", F.transform("found", lambda m: F.struct(m.alias("m"), _kind(m).alias("kind"))))
+    for step in (_parsed, _parted, _listed, _permuted(key)):
+        df = df.withColumn("x", F.transform("x", step))
+    df = df.withColumn("new", F.transform("x", _rendered))
+    pieces = F.zip_with(F.split("text", ANY, -1), "new", lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    text = F.when(F.size("found") > 0, F.array_join(pieces, "")).otherwise(F.col("text"))
+    return df.select("row", text.alias("text"), F.array_compact(F.col("x.kind")).alias("kinds"))
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
