@@ -2,19 +2,34 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from quillmesh.plans import analogs, kpi
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _spark_dialect(sql: str) -> str:
+    sql = sql.replace("{g}", kpi.SPARK_GLOBAL)
+    return re.sub(r"regexp_matches\(", "regexp_like(", sql)
+
+
+def _report(sql: str) -> Query:
+    return lambda spark, sf_dir: analogs.run_sql(spark, sf_dir, _spark_dialect(sql))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+    return _report(kpi.SQL["a04_queue_by_field"])(spark, sf_dir)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    found = {name: _report(sql) for name, sql in kpi.SQL.items()}
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    found = {name: analogs.duck_sql(sql.replace("{g}", kpi.DUCK_GLOBAL)) for name, sql in kpi.SQL.items()}
+    return found
