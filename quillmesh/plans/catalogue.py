@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmesh.plans import analogs, kpi
+from quillmesh.plans import analogs, domain, kpi
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,10 +26,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = {name: _report(sql) for name, sql in kpi.SQL.items()}
-    return found
+    return {name: _report(sql) for name, sql in kpi.SQL.items()} | domain.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {name: analogs.duck_sql(sql.replace("{g}", kpi.DUCK_GLOBAL)) for name, sql in kpi.SQL.items()}
-    return found
+    return {name: analogs.duck_sql(sql.replace("{g}", kpi.DUCK_GLOBAL)) for name, sql in kpi.SQL.items()} | domain.ORACLE_SQL
