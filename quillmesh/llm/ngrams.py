@@ -15,9 +15,10 @@ have more than g dear ones.
 
 Texts with equal sets are one class and join through it. Buckets are then worked off in rounds: each bucket's pivot
 against the others, verified on the whole texts, then components, then only buckets that still hold several components,
-with another pivot; at last all pairs not yet in one component. Before the texts are compared, the pair's counts of shingles
-in CELLS cells of the universe are: their differences add up to no more than the sets' difference, so pairs beyond the
-bound fall out. Every pair that shares a bucket is either judged or within one component already.
+with another pivot; at last all pairs of different components, in blocks of at most BLOCK x BLOCK inside the tasks. Before
+the texts are compared, the pair's counts of shingles in CELLS cells of the universe are: their differences add up to no
+more than the sets' difference, so pairs beyond the bound fall out, and blocks return only what is left. Every pair that
+shares a bucket is either judged or within one component already.
 
 Work is dealt by segment hash; hashes that a sample of the texts shows to be very common are salted. Tasks stream
 sorted rows and hold no bucket.
@@ -48,12 +49,12 @@ HOT = 8
 RATIO = 1.5
 #: The band number that marks a row about a text rather than a segment.
 TEXT = 63
-#: Pivot rounds before the rest is compared in full, and the pairs that are compared in full at once.
-ROUNDS, PAIRS = 6, 2_000_000
+#: Pivot rounds at most before the rest is compared in blocks, and the side of a block.
+ROUNDS, BLOCK = 3, 256
 #: Partners of one pivot that are verified in one group.
 GROUP = 128
 #: Cells of the counts that are compared before texts.
-CELLS = 64
+CELLS = 128
 #: Ids are broadcast up to this number; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 #: Texts in the sample that finds hashes to salt, the share of it that makes one common, and the salts.
@@ -93,8 +94,8 @@ def shingles(text: str | None, width: int) -> np.ndarray:
 
 
 def cells(items: np.ndarray) -> bytes:
-    """Counts of a set's shingles in cells of the universe, at most 65535 each."""
-    return np.minimum(np.bincount((items & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS), 65535).astype("<u2").tobytes()
+    """Counts of a set's shingles in cells of the universe, at most 255 each."""
+    return np.minimum(np.bincount((items & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes()
 
 
 class Plan:
@@ -266,13 +267,55 @@ def _possible(num: int, den: int):
             if not len(batch):
                 continue
             n, m = (batch.column(k).to_numpy().astype(np.int64) for k in (2, 3))
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(-1, CELLS).astype(np.int64) for k in (4, 5))
-            keep = np.abs(x - y).sum(1) * (den + num) <= (n + m) * (den - num)
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16) for k in (4, 5))
+            keep = np.abs(x - y).sum(1, dtype=np.int64) * (den + num) <= (n + m) * (den - num)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], ["a", "b"])
 
     return run
 
 
+def _blocks(num: int, den: int):
+    """Of rows sorted by key, x and y, the pairs of different components whose counts allow the similarity.
+
+    Rows have key, x, y, chunk, node, comp, n and cells; with x = y all pairs of the block are meant, else those of
+    chunk x with chunk y.
+    """
+
+    def block(x: int, y: int, chunk: np.ndarray, node: np.ndarray, comp: np.ndarray, n: np.ndarray, counts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        found = []
+        for i in range(len(node)):
+            j = np.arange(i + 1, len(node))
+            j = j[(comp[j] != comp[i]) & ((chunk[j] != chunk[i]) if x != y else True)]
+            if len(j):
+                j = j[np.abs(counts[j] - counts[i]).sum(1, dtype=np.int64) * (den + num) <= (n[j] + n[i]) * (den - num)]
+                found.append((np.minimum(node[j], node[i]), np.maximum(node[j], node[i])))
+        return found
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            held = yield from work(rows, False)
+        if held is not None:
+            yield from work(held, True)
+
+    def work(rows: pd.DataFrame, last: bool):
+        if not len(rows):
+            return None
+        key, x, y, chunk, node, comp, n = (rows[c].to_numpy() for c in ("key", "x", "y", "chunk", "node", "comp", "n"))
+        ends = np.flatnonzero((key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1
+        cuts = [0, *ends.tolist(), *([len(rows)] if last else [])]
+        counts = np.frombuffer(b"".join(rows["cells"].iloc[: cuts[-1]]), np.uint8).reshape(-1, CELLS).astype(np.int16)
+        found = []
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            found += block(x[a], y[a], chunk[a:b], node[a:b], comp[a:b], n[a:b], counts[a:b])
+        pairs = [np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1)]
+        yield pd.DataFrame({"a": pairs[0], "b": pairs[1]}).drop_duplicates()
+        return None if last else rows.iloc[cuts[-1] :]
+
+    return run
+
+
 def small(df: DataFrame) -> DataFrame:
     """df of single ids, marked for broadcast if its count is within the bound."""
     return F.broadcast(df) if df.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else df
@@ -310,12 +353,21 @@ class Join:
         rows = rows.select("a", "part", "other", "b", "text").repartition("a", "part").sortWithinPartitions("a", "part", "other", "b")
         return written(rows.mapInPandas(_verify(self.width, self.num, self.den), "a long, b long").distinct())
 
+    def _blocked(self, rows: DataFrame, sketches: DataFrame) -> DataFrame:
+        """Possible pairs (a, b) of different components in the buckets of rows (key, node, comp)."""
+        sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks"))
+        dealt = rows.join(sizes, "key").withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(9)), F.col("chunks")).cast("int"))
+        dealt = dealt.join(sketches, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        dealt = dealt.select("key", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"), "chunk", "node", "comp", "n", "cells")
+        blocks = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+        return blocks.mapInPandas(_blocks(self.num, self.den), "a long, b long").distinct()
+
     def run(self) -> tuple[DataFrame, DataFrame]:
         """(doc_id, n_shingles, node) of every text, and (node, component) of linked nodes, the smallest ids of classes."""
         indexed = self._indexed()
         spans = indexed.where("info is not null")
         n = F.conv(F.hex(F.substring("info", 17, 8)), 16, 10).cast("long")
-        spans = spans.select(F.col("doc").alias("doc_id"), F.substring("info", 1, 16).alias("digest"), n.alias("n_shingles"), F.substring("info", 25, 2 * CELLS).alias("cells"))
+        spans = spans.select(F.col("doc").alias("doc_id"), F.substring("info", 1, 16).alias("digest"), n.alias("n_shingles"), F.substring("info", 25, CELLS).alias("cells"))
         classes = spans.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")).where("copies > 1").select("digest", "node")
         spans = written(spans.join(classes, "digest", "left").select("doc_id", "n_shingles", F.coalesce("node", "doc_id").alias("node"), "cells"))
         sketches = spans.where("doc_id = node").select("node", F.col("n_shingles").alias("n"), "cells").distinct()
@@ -336,31 +388,31 @@ class Join:
         for k in range(ROUNDS + 1):
             if parts is not None:
                 rows = rows.drop("comp").join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
-                mixed_ = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
-                rows = written(rows.join(mixed_, "key", "left_semi"))
+                several = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
+                rows = written(rows.join(several, "key", "left_semi"))
             else:
                 rows = rows.withColumn("comp", F.col("node"))
-            by = rows.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs"))
-            left = by.agg(F.sum("pairs")).first()[0] or 0
+            by = rows.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("n"), ((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs"))
+            left, n = by.agg(F.sum("pairs"), F.sum("n")).first()
             if not left:
                 break
-            if k and left <= PAIRS or k == ROUNDS:
-                other = rows.select("key", F.col("node").alias("b"), F.col("comp").alias("comp_b"))
-                pairs = rows.join(other, "key").where("node < b and comp <> comp_b").select(F.col("node").alias("a"), "b").distinct()
+            last = k == ROUNDS or k and left <= 4 * n
+            if last:
+                pairs = self._blocked(rows, sketches)
             else:
-                order = F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "comp")
-                pivot = rows.groupBy("key").agg(F.min(order if k else F.struct(F.lit(0).alias("h"), "node", "comp")).alias("p"))
+                order = F.struct((F.xxhash64("node", F.lit(k)) if k else F.lit(0)).alias("h"), "node", "comp")
+                pivot = rows.groupBy("key").agg(F.min(order).alias("p"))
                 pairs = rows.join(pivot, "key").where("node <> p.node and comp <> p.comp").select(F.col("p.node").alias("a"), F.col("node").alias("b")).distinct()
             if tested is not None:
                 pairs = pairs.join(tested, ["a", "b"], "left_anti")
             pairs = written(pairs)
             found = self._verified(pairs, sketches)
             links = found if links is None else links.unionByName(found)
-            both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            tested = both if tested is None else tested.unionByName(both)
             parts = written(components(links))
-            if k and left <= PAIRS:
+            if last:
                 break
+            both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            tested = both if tested is None else tested.unionByName(both)
         if parts is None:
             parts = rows.select("node", F.col("node").alias("component")).limit(0)
         return spans, parts
