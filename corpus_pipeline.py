@@ -26,8 +26,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     common.release(spark)
     model = language.fit(docs)
-    found = language.identify(docs, model, docs.columns, "_lang_pred", "_share")
-    return found.where((F.col("_lang_pred") != language.UNKNOWN) & (F.col("_share") >= LEAST_SHARE)).select(docs.columns)
+    lang, share = (max([*docs.columns, ""], key=len) + end for end in ("_lang", "_share"))  # names that no column has
+    found = language.identify(docs, model, docs.columns, lang, share)
+    return found.where((F.col(lang) != language.UNKNOWN) & (F.col(share) >= LEAST_SHARE)).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

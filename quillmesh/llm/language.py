@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -167,17 +168,18 @@ def identify(docs: DataFrame, model: Model, keep: list[str], lang: str = "lang_p
     """The columns ``keep`` of docs (which has text) with the prediction and its score under the given names."""
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.log))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model.__new__(Model)
         m.langs, m.log = shared.value
         m.words = {}
         for batch in batches:
-            found = m.predict(batch["text"].tolist())
-            yield batch[keep].assign(**{lang: [k for k, _ in found], score: [s for _, s in found]})
+            found = m.predict(batch.column("text").to_pylist())
+            kept = [batch.column(k) for k in keep]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array([k for k, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], [*keep, lang, score])
 
     rows = docs.select(*dict.fromkeys([*keep, "text"]))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema.fields)
-    return rows.mapInPandas(run, f"{fields}, {lang} string, {score} double")
+    return rows.mapInArrow(run, f"{fields}, {lang} string, {score} double")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

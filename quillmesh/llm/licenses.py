@@ -20,7 +20,7 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -170,14 +170,17 @@ def _scanner() -> Scanner:
 def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = None) -> DataFrame:
     """doc_id, license, coverage, matched_words, start_char and end_char of each find in docs (doc_id, text)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates) if templates else _scanner()
+        names = ["doc_id", "license", "coverage", "matched_words", "start_char", "end_char"]
+        kinds = [pa.int64(), pa.string(), pa.float64(), pa.int32(), pa.int64(), pa.int64()]
         for batch in batches:
-            ids = batch["doc_id"].tolist()
-            rows = [(ids[i], *rest) for i, *rest in scanner.scan(batch["text"].tolist())]
-            yield pd.DataFrame(rows, columns=["doc_id", "license", "coverage", "matched_words", "start_char", "end_char"]).astype({"doc_id": "Int64", "coverage": "float64", "matched_words": "int32", "start_char": "int64", "end_char": "int64"})
+            ids = batch.column(0).to_pylist()
+            rows = [(ids[i], *rest) for i, *rest in scanner.scan(batch.column(1).to_pylist())]
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, license string, coverage double, matched_words int, start_char long, end_char long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, license string, coverage double, matched_words int, start_char long, end_char long")
 
 
 def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,8 @@ from array import array
 from collections.abc import Iterator
 from functools import cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,19 +95,19 @@ def pieces_of(ids: bytes, size: int = SEQUENCE) -> list[tuple[int, int, int, int
 def token_pieces(docs: DataFrame, path: str, ranks: str | None = None, size: int = SEQUENCE, end: int = END) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32."""
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, last = _encoder(path, ranks), end.to_bytes(4, "little")
         for batch in batches:
             rows = [
                 (doc, *piece)
-                for doc, text in zip(batch["doc_id"], batch["text"], strict=True)
-                for piece in pieces_of(ids_of(text or "") + last, size)
+                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)
+                for piece in pieces_of(ids_of(text.as_py() or "") + last, size)
             ]
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype(
-                {"doc_id": "Int64", "piece": "int32"}
-            )
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
         encode, "doc_id long, piece int, start long, length long, ids_crc32 long"
     )
 
@@ -150,29 +151,33 @@ def pack(pieces: DataFrame, size: int = SEQUENCE, open_bins: int = OPEN_BINS, bl
     """Add sequence_id and offset to rows that have doc_id, piece and length (1 to size)."""
     names = pieces.columns
 
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins = OpenBins(size, open_bins, TaskContext.get().partitionId() << 40)
 
-        def placed(rows: pd.DataFrame) -> pd.DataFrame:
-            rows = rows.sort_values("length", ascending=False, kind="stable")
-            at = [bins.put(n) for n in rows["length"].tolist()]
-            return rows.assign(sequence_id=[a for a, _ in at], offset=[size - b for _, b in at])
+        def placed(held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            lengths = rows["length"].to_numpy()
+            order = np.argsort(-lengths, kind="stable")
+            at = [bins.put(n) for n in lengths[order].tolist()]
+            rows = rows.take(pa.array(order))
+            rows = rows.append_column("sequence_id", pa.array([a for a, _ in at], pa.int64()))
+            return rows.append_column("offset", pa.array([size - b for _, b in at], pa.int64())).to_batches()
 
-        held: list[pd.DataFrame] = []
+        held: list[pa.RecordBatch] = []
         for batch in batches:
             held.append(batch)
             if sum(map(len, held)) >= block:
-                yield placed(pd.concat(held))
+                yield from placed(held)
                 held = []
         if held:
-            yield placed(pd.concat(held))
+            yield from placed(held)
 
     dealt = F.xxhash64("doc_id", "piece")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
     return (
         pieces.repartition("doc_id", "piece")
         .sortWithinPartitions(dealt, *names)
-        .mapInPandas(task, f"{schema}, sequence_id long, offset long")
+        .mapInArrow(task, f"{schema}, sequence_id long, offset long")
     )
 
 

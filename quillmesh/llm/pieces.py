@@ -17,7 +17,7 @@ import re
 from collections.abc import Iterator
 from functools import cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -174,19 +174,21 @@ def _mapped(docs: DataFrame, path: str | None, digests: bool) -> DataFrame:
     def sha(text: str) -> str:
         return hashlib.sha256(text.encode()).hexdigest()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["doc_id", "n_tokens", *(["ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
         for batch in batches:
-            rows = []
-            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids, decoded = m.encode_decode(text or "")
-                n = ids.count(",") + 1 if ids else 0
-                rows.append((doc, n, sha(ids), sha(decoded)) if digests else (doc, n, ids, decoded))
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["doc_id", "n_tokens", "ids", "decoded"]
-            yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
+            counts, first, second = [], [], []
+            for text in batch.column(1):
+                ids, decoded = m.encode_decode(text.as_py() or "")
+                counts.append(ids.count(",") + 1 if ids else 0)
+                first.append(sha(ids) if digests else ids)
+                second.append(sha(decoded) if digests else decoded)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())], names)
 
     schema = "ids_sha256 string, decoded_sha256 string" if digests else "ids string, decoded string"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, f"doc_id long, n_tokens long, {schema}")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"doc_id long, n_tokens long, {schema}")
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,8 @@ A pattern finds candidates; validation decides: card numbers by their check digi
 security numbers by their areas, addresses of version 4 by their octets, dates by the calendar. A valid value becomes a
 list of symbols, each with its own base, and a Feistel network permutes the list: alternately one half is shifted,
 symbol by symbol, by values derived from the key and the other half. So equal values get equal pseudonyms in all
-documents, different values different ones, lengths and separators stay, and check digits are made to fit again.
+documents, different values different ones, separators stay, check digits are made to fit again, and all kinds keep
+their length but addresses (octets of one to three digits) and dates written without leading zeros.
 
 Kinds: email (local part), phone, card, ssn, iban, ip, date (between DATE_FROM and DATE_DAYS later; year-month-day, and
 day, month, year with dots or slashes, month first where only that is a date) and secret (access keys, and values given

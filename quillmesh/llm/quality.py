@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -139,21 +140,22 @@ def score(docs: DataFrame, model: Attention, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of docs with score and predicted."""
     shared = docs.sparkSession.sparkContext.broadcast((model.p, model.share))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Attention(*shared.value)
         for batch in batches:
-            texts, found, at, size = batch["text"].tolist(), [], 0, 0
+            texts, found, at, size = batch.column("text").to_pylist(), [], 0, 0
             for i, t in enumerate(texts):
                 size += len(t or "")
                 if size >= GROUP or i == len(texts) - 1:
                     found.append(m.scores(*passages(texts[at : i + 1])))
                     at, size = i + 1, 0
             scores = np.concatenate(found) if found else np.zeros(0)
-            yield batch[keep].assign(score=scores, predicted=(scores >= 0.5).astype(np.int32))
+            kept = [batch.column(k) for k in keep]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype(np.int32))], [*keep, "score", "predicted"])
 
     rows = docs.select(*dict.fromkeys([*keep, "text"]))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema.fields)
-    return rows.mapInPandas(run, f"{fields}, score double, predicted int")
+    return rows.mapInArrow(run, f"{fields}, score double, predicted int")
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
