@@ -51,7 +51,7 @@ def stops(df: DataFrame) -> DataFrame:
 def credit(spark: SparkSession, sf_dir: str) -> DataFrame:
     obs = relation(spark, sf_dir, "observations")
     rew = relation(spark, sf_dir, "rewards").where("reward_stage = 'delayed'")
-    return D.delayed_credit(obs, rew, 0.8, 3).select("reward_id", F.col("at").alias("observation_id"), "hop", F.round("credit", 3).alias("credit"))
+    return D.delayed_credit(obs, rew, 0.5, 2).select("reward_id", F.col("at").alias("observation_id"), "hop", "credit")
 
 
 def policy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,8 +210,8 @@ _SQL: dict[str, str] = {
     "u15_review_transitions": "select id, case when id % 2 = 0 then case when status = 'triaged' then 'resolved' else status end else case when status in ('open', 'triaged') then 'ignored' else status end end as status from review_items",
     "u20_outreach": "select 'c1' as campaign_id, id as chapter_id, contact_email, 'Hi ' || name as subject from chapters where contact_email is not null and email_specificity in ('chapter_specific', 'school_specific', 'national_specific_to_chapter')",
     "w10_delayed_credit": """with recursive walk(reward_id, v, at_id, hop) as (select id, reward_value, attributed_id, 0 from rewards where reward_stage = 'delayed' union all
-        select w.reward_id, w.v, o.parent_id, w.hop + 1 from walk w join observations o on o.id = w.at_id where o.parent_id is not null and w.hop < 3)
-        select w.reward_id, w.at_id as observation_id, w.hop, round(round_even(w.v * pow(0.8e0, w.hop), 4), 3) as credit from walk w join observations o on o.id = w.at_id where w.hop > 0 and round(w.v * pow(0.8e0, w.hop), 4) <> 0""",
+        select w.reward_id, w.v, o.parent_id, w.hop + 1 from walk w join observations o on o.id = w.at_id where o.parent_id is not null and w.hop < 2)
+        select w.reward_id, w.at_id as observation_id, w.hop, round(w.v * pow(0.5e0, w.hop), 4) as credit from walk w join observations o on o.id = w.at_id where w.hop > 0 and round(w.v * pow(0.5e0, w.hop), 4) <> 0""",
 }
 
 ORACLE_SQL: dict[str, str] = {k: duck_sql(v) for k, v in _SQL.items()}
