@@ -302,10 +302,18 @@ def school_in(x: Column | str) -> Column:
     return F.coalesce(*(F.nullif(F.regexp_extract(_col(x), p, 0), F.lit("")) for p in tries))
 
 
+SCHOOL_TOKENS = ["university", "college", "campus", "institute", "state", "school", "tech", "polytechnic", "academy"]
+DIVISIONS = ["division", "conference", "region", "district", "province"]
+
+
 def institution_signals(x: Column | str) -> Column:
-    """[C32] 0 to 2: a word of schools, and a host of schools."""
-    low = F.lower(_col(x))
-    return low.rlike(r"\b(university|college|institute|school)\b").cast("int") + low.rlike(r"\.edu\b").cast("int")
+    """[C32] 2 where the text has a word of schools, 1 for other names of two words or more, 0 for years, ranks, people."""
+    label = F.trim(F.regexp_replace(F.lower(F.coalesce(_col(x), F.lit(""))), "[^a-z0-9%]+", " "))
+    number = label.rlike(r"^[0-9]+ ?%?$|\b(18|19|20)[0-9]{2} (18|19|20)[0-9]{2}\b|^(no|rank|top) ?[0-9]+|^[0-9]+(st|nd|rd|th)\b")
+    division = F.exists(F.array(*map(F.lit, DIVISIONS)), label.contains)
+    named = F.exists(F.array(*map(F.lit, SCHOOL_TOKENS)), label.contains)
+    person = F.coalesce(looks_like_person(x), F.lit(False))
+    return F.when((label == "") | number | person, 0).when(named, 2).when((F.size(F.split(label, " ")) >= 2) & ~division, 1).otherwise(0)
 
 
 def field_state(value: Column | str, confidence: Column | str) -> Column:
@@ -382,3 +390,53 @@ def search_target(url: Column | str) -> Column:
 def contact_specificity(scope: Column | str) -> Column:
     """[D42] How specific contacts of a page scope are."""
     return F.when(_col(scope) == "chapter_site", "chapter_specific").when(_col(scope) == "school_affiliation_page", "school_specific").when(_col(scope) == "nationals_chapter_page", "national_specific_to_chapter").when(_col(scope) == "nationals_generic", "national_generic").otherwise("ambiguous")
+
+
+NAVIGATION = ["home", "about", "about us", "contact", "contact us", "menu", "news", "events", "login", "log in", "donate", "privacy policy", "search", "next", "previous", "read more", "learn more", "view all", "back to top", "apply now", "join", "resources", "n a", "tba", "tbd", "unknown", "test"]
+AWARDS = ["award", "scholarship", "hall of fame", "chapter of the year"]
+DEMOGRAPHICS = ["male", "female", "white", "black", "hispanic", "asian", "total", "enrollment", "population"]
+
+
+def _label(x: Column | str) -> Column:
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(_col(x), F.lit(""))), r"[^\p{L}\p{N}%]+", " "))
+
+
+def is_navigation(name: Column | str, school: Column | str, slug: Column | str) -> Column:
+    """Labels of menus and placeholders."""
+    return _label(name).isin(NAVIGATION) | _label(school).isin(NAVIGATION) | _col(slug).rlike("^(wp-|page-|category-|tag-|author-)")
+
+
+def invalid_reason(name: Column | str, school: Column | str, snippet: Column | str) -> Column:
+    """[F16] The first reason why a record is no chapter, or null."""
+    n, text = _label(name), _label(snippet)
+    any_of = lambda col, words: F.exists(F.array(*map(F.lit, words)), col.contains)
+    return (
+        F.when(n == "", "identity_semantically_invalid")
+        .when(is_navigation(name, school, slugify(F.concat_ws("-", _col(name), _col(school)))), "navigation_noise")
+        .when(n.rlike(r"^[0-9]{4}$|^[0-9.]+ ?%$"), "year_or_percentage")
+        .when(n.rlike(r"\b(18|19|20)[0-9]{2} (18|19|20)[0-9]{2}\b"), "year_range")
+        .when(n.rlike(r"^(no |rank |top )?[0-9]+(st|nd|rd|th)?$"), "ranking_row")
+        .when(text.contains("wikipedia") | n.rlike(r"^(edit|citation needed|references|external links)$"), "wiki_artifact")
+        .when(any_of(n, DEMOGRAPHICS), "demographic_row")
+        .when(any_of(n, AWARDS), "award_row")
+        .when(any_of(n, DIVISIONS) & (F.size(greek_phrases(name)) == 0), "division_row")
+        .when(F.coalesce(looks_like_person(name), F.lit(False)), "person_name")
+    )
+
+
+def on_hosts(host: Column | str, blocked: list[str]) -> Column:
+    """Whether a host is one of the given or below one."""
+    h = F.lower(_col(host))
+    return F.coalesce(F.exists(F.array(*map(F.lit, blocked)), lambda b: (h == b) | h.endswith(F.concat(F.lit("."), b))), F.lit(False))
+
+
+def target_class(source: Column | str, candidate: Column | str) -> Column:
+    """struct of class and follow_allowed for a link from a source."""
+    made = lambda c, ok: F.struct(F.lit(c).alias("target"), F.lit(ok).alias("follow_allowed"))
+    host = url_host(candidate)
+    return F.when(F.coalesce(host, F.lit("")) == "", made("unknown", False)).when(on_hosts(host, ["instagram.com", "facebook.com", "x.com", "twitter.com", "linkedin.com"]), made("social", False)).when(host == url_host(source), made("national", True)).when(host.endswith(".edu"), made("institutional", True)).otherwise(made("wider_web", False))
+
+
+def ordered_distinct(x: Column | str) -> Column:
+    """[U-D] Trimmed, non-blank, distinct items of an array, in order."""
+    return F.array_distinct(F.filter(F.transform(_col(x), F.trim), lambda v: v != ""))

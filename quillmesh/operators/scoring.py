@@ -425,9 +425,8 @@ def alias_matches(zones: DataFrame, aliases: DataFrame) -> DataFrame:
 
 def validity(name: Column, school: Column, signals: Column, greek: Column) -> Column:
     """[D35] canonical_valid, repairable_candidate, provisional_candidate or invalid_non_chapter."""
-    junk = F.lower(F.coalesce(name, F.lit(""))).rlike("^(home|about|contact|menu|news|login|privacy|donate|alumni|search|next|previous)?$")
-    person = F.coalesce(S.looks_like_person(name), F.lit(False)) & (F.size(greek) == 0)
-    return F.when(junk | person, "invalid_non_chapter").when(school.isNotNull() & ((F.size(greek) > 0) | (signals >= 1)), "canonical_valid").when(school.isNotNull(), "provisional_candidate").otherwise("repairable_candidate")
+    junk = S.invalid_reason(name, school, F.lit("")).isNotNull() & ~((F.size(greek) > 0) & S.looks_like_person(name))
+    return F.when(junk, "invalid_non_chapter").when(school.isNotNull() & ((F.size(greek) > 0) | (signals >= 1)), "canonical_valid").when(school.isNotNull(), "provisional_candidate").otherwise("repairable_candidate")
 
 
 FIELDS = ["name", "university_name", "city", "state", "website_url", "instagram_url", "contact_email", "external_id"]
@@ -513,3 +512,80 @@ def identity_tokens(fraternity: Column, school: Column, chapter: Column) -> Colu
 def contact_audit(value: Column, score: Column) -> Column:
     """[D49] What becomes of an existing value."""
     return F.when(S.blank_to_null(value).isNull(), "missing").when(S.instagram_kind(value) != "profile", "clear").when(score >= 0.9, "keep").when(score >= 0.6, "review").otherwise("clear")
+
+
+# Searches ------------------------------------------------------------------------------------------------------------
+
+
+def low_signal_queries(results: DataFrame, low_hosts: list[str]) -> DataFrame:
+    """query and low_signal: no result shares two words with it, or too many come from low-signal hosts.
+
+    results: query, url, title, snippet.
+    """
+    words = lambda c: F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: F.length(w) > 2)
+    shared = F.size(F.array_intersect(words(F.col("query")), words(F.concat_ws(" ", "title", "snippet"))))
+    low = S.on_hosts(S.url_host("url"), low_hosts)
+    return results.groupBy("query").agg(((F.max(shared) < 2) | (F.count_if(low) >= F.greatest(F.lit(2), F.floor(F.count("*") / 2)))).alias("low_signal"))
+
+
+def smoke_flags(results: DataFrame) -> DataFrame:
+    """Flags of each query's results (query, url, score): official, national, accepted, review, unsafe."""
+    edu, org = S.url_host("url").endswith(".edu"), S.url_host("url").endswith(".org")
+    unsafe = S.on_hosts(S.url_host("url"), BLOCKED_HOSTS)
+    return results.groupBy("query").agg(F.bool_or(edu).alias("official"), F.bool_or(org).alias("national"), F.bool_or(F.col("score") >= 0.8).alias("accepted"), F.bool_or(F.col("score").between(0.5, 0.8)).alias("review"), F.bool_or(unsafe).alias("unsafe"))
+
+
+def fuzzy_alias_matches(zones: DataFrame, aliases: DataFrame, least: float = 0.68) -> DataFrame:
+    """[J18, Q9] zone_id, fraternity_id and ratio where a whole short zone text resembles an alias.
+
+    Candidates share a word of three letters or more; the ratio is that of the standard library's sequence matcher.
+    """
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: F.length(w) >= 3))
+    z = zones.select("zone_id", "text", F.explode(words(F.col("text"))).alias("w"))
+    a = aliases.select("fraternity_id", "alias", F.explode(words(F.col("alias"))).alias("w"))
+    pairs = z.join(a, "w").where(F.length("text") <= 3 * F.length("alias")).select("zone_id", "fraternity_id", "text", "alias").distinct()
+
+    def ratio(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from difflib import SequenceMatcher
+
+        for b in batches:
+            b = b.assign(ratio=[SequenceMatcher(None, x.lower(), y.lower()).ratio() for x, y in zip(b["alias"], b["text"], strict=True)])
+            yield b.loc[b["ratio"] >= least, ["zone_id", "fraternity_id", "ratio"]]
+
+    return pairs.mapInPandas(ratio, "zone_id long, fraternity_id long, ratio double")
+
+
+def campus_index(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """[D52] Sources and zones of parsed campus pages (with school_name); the policy source is the one of tier 0."""
+    from quillmesh.sources import html as H
+
+    official = S.url_host("url").endswith(".edu")
+    sources = pages.select("page_id", F.col("url").alias("source_url"), campus_source(F.col("url"), F.col("title"), F.col("text"), official).alias("s")).select("page_id", "source_url", "s.*")
+    return sources, H.status_zones(pages)
+
+
+def sweep(candidates: DataFrame, identities: DataFrame, taken: DataFrame) -> DataFrame:
+    """[D51, D50, J15] Scored candidates of a run's chapters and what becomes of each chapter's best one.
+
+    candidates: chapter_id, handle, text, source_type, contact_specificity; identities: chapter_id and the three alias
+    arrays; taken: handle, chapter_id of existing assignments.
+    """
+    c = candidates.join(identities, "chapter_id")
+    used = taken.select("handle", F.col("chapter_id").alias("owner")).distinct()
+    other = c.select("chapter_id", "handle").distinct().join(used, "handle").where("owner <> chapter_id").select("chapter_id", "handle").distinct().withColumn("taken", F.lit(True))
+    c = c.join(other, ["chapter_id", "handle"], "left")
+    s = instagram_score(F.col("handle"), F.col("text"), F.col("source_type"), F.col("contact_specificity"), F.col("fraternity"), F.col("school"), F.col("chapter"), F.coalesce("taken", F.lit(False)))
+    c = c.withColumn("s", s).select("chapter_id", "handle", "source_type", "s.score", "s.rejects")
+    order = Window.partitionBy("chapter_id").orderBy(F.col("score").desc(), "handle")
+    best = c.withColumn("r", F.row_number().over(order)).where("r = 1").drop("r")
+    return best.withColumn("action", resolution(F.col("score"), F.col("source_type")))
+
+
+def best_source(candidates: DataFrame) -> DataFrame:
+    """[D56, K08] The best source of each fraternity: quality of its URL, then health, then slug."""
+    order = Window.partitionBy("fraternity_id").orderBy(S.source_quality("url").desc(), F.col("health").desc_nulls_last(), F.col("slug").desc())
+    return candidates.withColumn("r", F.row_number().over(order)).where("r = 1").drop("r")

@@ -108,3 +108,35 @@ def test_streams(spark, tmp_path):
     assert [r["streak"] for r in found] == [1, 2, 3, 4, 0, 0, 0, 0] and found[2]["open"]
     E.run_available(stream.select(F.col("event_type").alias("key"), "value"), E.running_means(spark, str(tmp_path / "m")), str(tmp_path / "c2"))
     assert {r["key"]: r["n"] for r in M.Snapshots(spark, str(tmp_path / "m")).read().collect()} == {"error": 4, "view": 4}
+
+
+def test_registry_seeds_and_sinks(spark, page, tmp_path):
+    import json
+
+    from quillmesh.plans import api, catalogue
+    from quillmesh.sources import records as R
+
+    plans = spark.createDataFrame([(1, "script_json")], "page_id long, primary string")
+    assert {r["name"] for r in R.extracted(page, plans).collect()} == {"Alpha", "Beta"}
+    path = tmp_path / "seed.json"
+    path.write_text(json.dumps([{"name": "Phi & Delta", "base": "https://a.example.org", "status": 200, "chapterish_links": [{"text": "x", "url": "y"}]}]))
+    s = R.seeds(spark, str(path)).first()
+    assert (s["fraternity_slug"], s["confidence"]) == ("phi-and-delta", 0.85)
+    df = spark.createDataFrame([(1, '[{"a": 1}, {"a": 2}]')], "id long, j string")
+    assert [r["a"] for r in R.unnested(df, "id", "j", "a:int").orderBy("ordinal").collect()] == [1, 2]
+    assert "| id |" in R.markdown("t", df.select("id")) and json.loads(R.envelope(df.select("id"))) == {"success": True, "data": [{"id": 1}]}
+    known = set(catalogue.queries())
+    assert all(q in known for names in [*api.COMMANDS.values(), *api.ROUTES.values()] for q in names)
+
+
+def test_validity_and_searches(spark):
+    rows = [("Home", None), ("2019", "U"), ("Alpha Beta", "West College"), ("John Smith", "West College"), ("Alpha", None)]
+    df = spark.createDataFrame(rows, "name string, school string")
+    from quillmesh.functions import scalars as S
+
+    got = [r["v"] for r in df.select(D.validity(F.col("name"), F.col("school"), S.institution_signals("school"), S.greek_phrases("name")).alias("v")).collect()]
+    assert got == ["invalid_non_chapter", "invalid_non_chapter", "canonical_valid", "invalid_non_chapter", "repairable_candidate"]
+    res = spark.createDataFrame([("alpha west college", "https://x.org", "Alpha of West", ""), ("q two", "https://junk.example", "none", "")], "query string, url string, title string, snippet string")
+    assert {r["query"]: r["low_signal"] for r in D.low_signal_queries(res, ["junk.example"]).collect()} == {"alpha west college": False, "q two": True}
+    z, a = spark.createDataFrame([(1, "Sigma Nuu")], "zone_id long, text string"), spark.createDataFrame([(7, "Sigma Nu")], "fraternity_id long, alias string")
+    assert D.fuzzy_alias_matches(z, a).first()["fraternity_id"] == 7
