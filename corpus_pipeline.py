@@ -6,6 +6,7 @@ stage holds rows back but by its own decision: repeated ids are one group of the
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,22 +18,37 @@ from quillmesh.llm import common, language, ngrams, packing, pii, rules
 LEAST_SHARE = 0.5
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def stage(work: Stage) -> Stage:
+    """A stage begins after the one before it was written out, so that one's intermediates can go."""
+
+    @functools.wraps(work)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        common.release(spark, "pipeline")
+        with common.owned_by("pipeline"):
+            return work(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    common.release(spark)
     rows = common.written(rules.measured(docs).select("row", "host", "base_failed"))
     return rules.judged(rows).where("kept").select("row.*")
 
 
+@stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    common.release(spark)
     model = language.fit(docs)
     lang, share = (max([*docs.columns, ""], key=len) + end for end in ("_lang", "_share"))  # names that no column has
     found = language.identify(docs, model, docs.columns, lang, share)
     return found.where((F.col(lang) != language.UNKNOWN) & (F.col(share) >= LEAST_SHARE)).select(docs.columns)
 
 
+@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    common.release(spark)
     found = common.written(ngrams.similar(docs.select("doc_id", "text"), 5, 8, 10))
     gone = common.written(found.where("doc_id <> component_id").select("doc_id").distinct())
     rest = docs.join(ngrams.small(gone), "doc_id", "left_anti").select(docs.columns)
@@ -43,19 +59,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return rest.join(ngrams.small(twice), "doc_id", "left_anti").select(docs.columns).unionByName(once)
 
 
+@stage
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    common.release(spark)
     df = pii.pseudonymised(docs)
     new = {"text": F.col("text"), "n_chars": F.col("row.n_chars") + F.coalesce(F.length("text") - F.length("row.text"), F.lit(0))}
     return df.select(*((new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
+@stage
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    common.release(spark)
     return packing.pack_documents(docs)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+STAGES: list[tuple[str, Stage]] = [
     ("quality_rules", quality_rules),
     ("language_id", language_id),
     ("ngram_jaccard", near_duplicates),
@@ -69,6 +85,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = common.written(stage(spark, docs, sf_dir), keep=True)
+    for _, work in STAGES[:-1]:
+        docs = common.written(work(spark, docs, sf_dir), keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)

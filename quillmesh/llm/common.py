@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +14,9 @@ from pyspark.sql import functions as F
 #: Words are runs of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WHITE = " \t\n\u000b\f\r"
 
-_scratch: list[str] = []
+#: Written intermediates by who asked for them.
+_scratch: dict[str, list[str]] = {}
+_owner = [""]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,15 +44,25 @@ def written(df: DataFrame, keep: bool = False) -> DataFrame:
     path = f"{shared_dir(spark)}/quillmesh-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if not keep:
-        _scratch.append(path)
+        _scratch.setdefault(_owner[-1], []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the intermediates written so far; only for callers whose earlier results have been written out."""
+@contextlib.contextmanager
+def owned_by(name: str) -> Iterator[None]:
+    """Intermediates written meanwhile belong to the name."""
+    _owner.append(name)
+    try:
+        yield
+    finally:
+        _owner.pop()
+
+
+def release(spark: SparkSession, name: str = "") -> None:
+    """Delete an owner's intermediates; only for callers whose earlier results have been written out."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _scratch:
-        path = jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+    for written_to in _scratch.pop(name, []):
+        path = jvm.org.apache.hadoop.fs.Path(written_to)
         path.getFileSystem(conf).delete(path, True)
 
 

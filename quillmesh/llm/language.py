@@ -129,6 +129,8 @@ class Model:
 
         for i, text in enumerate(texts):
             found = words_of(text) if text else []
+            if found and not found[0].isalpha() and not any(c.isalpha() for c in text):
+                found = []  # only other alphanumeric signs, such as raised digits
             if found:
                 held += found
                 rows.append((i, len(found)))

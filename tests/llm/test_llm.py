@@ -147,6 +147,7 @@ def test_language(spark, odd, none):
     assert lang == "en" and 0.5 < share < 0.9
     out = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.identify(odd, model, ["doc_id"]).collect()}
     assert out[0] == out[1] == out[4] == ("und", 0.0)
+    assert model.predict(["\u00b2 12", None]) == [("und", 0.0)] * 2
     assert language.fit(none).predict(["abc"]) == [("und", 0.0)] and language.identify(none, model, ["doc_id"]).count() == 0
 
 
