@@ -281,15 +281,20 @@ def _blocks(num: int, den: int):
     chunk x with chunk y.
     """
 
-    def block(x: int, y: int, chunk: np.ndarray, node: np.ndarray, comp: np.ndarray, n: np.ndarray, counts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        found = []
-        for i in range(len(node)):
-            j = np.arange(i + 1, len(node))
-            j = j[(comp[j] != comp[i]) & ((chunk[j] != chunk[i]) if x != y else True)]
-            if len(j):
-                j = j[np.abs(counts[j] - counts[i]).sum(1, dtype=np.int64) * (den + num) <= (n[j] + n[i]) * (den - num)]
-                found.append((np.minimum(node[j], node[i]), np.maximum(node[j], node[i])))
-        return found
+    def pairs_of(until: np.ndarray, cross: np.ndarray, chunk: np.ndarray, node: np.ndarray, comp: np.ndarray, n: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """until: the end of each row's block; pairs are taken by their distance, for all blocks at once."""
+        found = [(node[:0], node[:0])]
+        at, d = np.arange(len(node)), 0
+        while len(at):
+            d += 1
+            at = at[at + d < until[at]]
+            some = at[(comp[at] != comp[at + d]) & (~cross[at] | (chunk[at] != chunk[at + d]))]
+            for k in range(0, len(some), 20_000):
+                i, j = some[k : k + 20_000], some[k : k + 20_000] + d
+                near = np.abs(counts[i] - counts[j]).sum(1, dtype=np.int64) * (den + num) <= (n[i] + n[j]) * (den - num)
+                i, j = node[i[near]], node[j[near]]
+                found.append((np.minimum(i, j), np.maximum(i, j)))
+        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -305,12 +310,11 @@ def _blocks(num: int, den: int):
         key, x, y, chunk, node, comp, n = (rows[c].to_numpy() for c in ("key", "x", "y", "chunk", "node", "comp", "n"))
         ends = np.flatnonzero((key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1
         cuts = [0, *ends.tolist(), *([len(rows)] if last else [])]
-        counts = np.frombuffer(b"".join(rows["cells"].iloc[: cuts[-1]]), np.uint8).reshape(-1, CELLS).astype(np.int16)
-        found = []
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            found += block(x[a], y[a], chunk[a:b], node[a:b], comp[a:b], n[a:b], counts[a:b])
-        pairs = [np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1)]
-        yield pd.DataFrame({"a": pairs[0], "b": pairs[1]}).drop_duplicates()
+        m = cuts[-1]
+        counts = np.frombuffer(b"".join(rows["cells"].iloc[:m]), np.uint8).reshape(-1, CELLS).astype(np.int16)
+        until = np.repeat(cuts[1:], np.diff(cuts)).astype(np.int64)
+        first, second = pairs_of(until, (x != y)[:m], chunk[:m], node[:m], comp[:m], n[:m], counts)
+        yield pd.DataFrame({"a": first, "b": second}).drop_duplicates()
         return None if last else rows.iloc[cuts[-1] :]
 
     return run
