@@ -37,6 +37,7 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,7 +55,7 @@ ROUNDS, BLOCK = 3, 256
 #: Partners of one pivot that are verified in one group.
 GROUP = 128
 #: Cells of the counts that are compared before texts.
-CELLS = 128
+CELLS = 256
 #: Ids are broadcast up to this number; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 #: Texts in the sample that finds hashes to salt, the share of it that makes one common, and the salts.
@@ -70,13 +71,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _hash(word: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-
-
 @cache
 def _word_hashes() -> Memo:
-    return Memo(_hash, 200_000)
+    return Memo(xxhash.xxh3_64_intdigest, 150_000)
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
@@ -119,7 +116,7 @@ class Plan:
         m = h + 1 + slack
         size = (lo + hi) / 2
         chance = m * np.exp(-2 * size / m)  # of two texts sharing an empty segment
-        exact, deletion = m + 1000 * chance, size + h // 2 + 1
+        exact, deletion = m + 100 * chance, size + h // 2 + 1
         return (h // 2 + 1, True, 0) if h and deletion < exact else (m, False, slack)
 
     def bands(self, size: int) -> list[int]:
