@@ -370,6 +370,7 @@ class Join:
         n = F.conv(F.hex(F.substring("info", 17, 8)), 16, 10).cast("long")
         spans = spans.select(F.col("doc").alias("doc_id"), F.substring("info", 1, 16).alias("digest"), n.alias("n_shingles"), F.substring("info", 25, CELLS).alias("cells"))
         classes = spans.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")).where("copies > 1").select("digest", "node")
+        classes = written(classes)  # so that both sides of the join are shuffles, whose hot partitions can be split
         spans = written(spans.join(classes, "digest", "left").select("doc_id", "n_shingles", F.coalesce("node", "doc_id").alias("node"), "cells"))
         sketches = spans.where("doc_id = node").select("node", F.col("n_shingles").alias("n"), "cells").distinct()
         spans = spans.drop("cells")
