@@ -27,21 +27,30 @@ ROUNDS = 8
 DATE_FROM, DATE_SIDE = "1900-01-01", 270
 DATE_DAYS = DATE_SIDE * DATE_SIDE
 
+_NAME = r"(?i:(?:token|password|passwd|secret(?:[_\-]?(?:access[_\-]?)?key)?|api[_\-]?key)(?:\\?[\"'])?[ \t]*+(?:=>|:=|[=:])[ \t]*+(?:\\?[\"'])?)"
+_PART = r"[A-Za-z0-9+/_\-]"
+_DIGIT = r"[ .\-()]{0,2}[0-9]"
+
 #: Kinds in the order in which they are tried, and their patterns (Java).
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}+@[A-Za-z0-9](?:[A-Za-z0-9\-]{0,62}\.){1,8}[A-Za-z]{2,24}",
-    "secret": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\bsk-[A-Za-z0-9]{20,64}\b|\bgh[pousr]_[A-Za-z0-9]{36}\b|(?i:\b(?:token|password|passwd|secret|api[_\-]?key) ?[=:] ?[\"']?)[A-Za-z0-9+/_\-]{8,200}",
+    "secret": rf"\b(?:AKIA|ASIA)[0-9A-Z]{{16}}\b|\bsk-[A-Za-z0-9_\-]{{20,}}+|\bgh[pousr]_[A-Za-z0-9]{{36,}}+|{_NAME}(?![A-Za-z0-9._%+\-]{{1,64}}+@[A-Za-z0-9\-]++\.[A-Za-z])(?:{_PART}|\.(?={_PART})){{8,}}+",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9\-/.])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9\-/]|\.[0-9])",
-    "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ \-][0-9]{4}){3}|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{5})(?![0-9])",
+    "card": r"(?<![0-9])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])",
     "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
-    "phone": r"(?<![0-9+])\+[0-9]{1,3}[ .\-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .\-]?[0-9]{2,4}){2,3}(?![0-9])|(?<![0-9+(])(?:\([0-9]{3}\) ?|[0-9]{3}[.\-])[0-9]{3}[.\-][0-9]{4}(?![0-9])",
+    "phone": r"(?<![0-9+])\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .\-]?[0-9]{2,4}){2,4}(?![0-9])(?<=\+" + _DIGIT * 10 + f"(?:{_DIGIT})?" * 5 + r")|(?<![0-9+(])(?:\([0-9]{3}\) ?|[0-9]{3}[.\-])[0-9]{3}[.\-][0-9]{4}(?![0-9])",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+
+#: Kinds whose values are parts of longer runs: their windows, from every start, overlap.
+RUNS = ["card"]
+WINDOWS = "(?=(" + "|".join(PATTERNS[k] for k in RUNS) + "))"
+#: Order in which a place in the text is tried; the valid values of runs come last.
+SINGLE = "|".join(f"(?:{p})" for k, p in PATTERNS.items() if k not in RUNS)
 
 #: What of a secret is kept.
-SECRET_HEAD = r"^(?:(?:AKIA|ASIA)(?=[0-9A-Z]{16}$)|sk-|gh[pousr]_|(?i:(?:token|password|passwd|secret|api[_\-]?key) ?[=:] ?[\"']?))"
+SECRET_HEAD = rf"^(?:(?:AKIA|ASIA)(?=[0-9A-Z]{{16}}$)|sk-|gh[pousr]_|{_NAME})"
 
 
 def _digits(s: Column) -> Column:
@@ -218,15 +227,34 @@ def _rendered(x: Column) -> Column:
     )
 
 
+def _card(window: Column) -> Column:
+    """The valid card number a window begins with: of its issuer's length if that is fixed, else the longest; or null."""
+    groups = F.regexp_extract_all(window, F.lit("[ -]?[0-9]+"), 0)
+    starts = F.transform(F.sequence(F.lit(1), F.size(groups)), lambda n: F.array_join(F.slice(groups, 1, n), ""))
+    valid = F.filter(starts, lambda m: F.length(_digits(m)).between(13, 19) & (luhn(_digits(m)) == 0))
+    first = F.substring(_digits(window), 1, 2)
+    usual = F.when(first.isin("34", "37"), 15).when(first.isin("30", "36", "38", "39"), 14)
+    return F.coalesce(F.get(F.filter(valid, lambda m: F.length(_digits(m)) == usual), F.lit(0)), F.get(valid, F.size(valid) - 1))
+
+
+def _any(text: Column) -> tuple[Column, Column]:
+    """The valid values of runs in a text, and from them the pattern of all its candidates."""
+    windows = F.array_distinct(F.regexp_extract_all(text, F.lit(WINDOWS), 1))
+    values = F.array_distinct(F.array_compact(F.transform(windows, _card)))
+    return values, lambda v: F.when(F.size(v) > 0, F.concat(F.lit(rf"{SINGLE}|(?={PATTERNS['card']})(?<![0-9])(?:"), F.array_join(v, "|"), F.lit(")(?![0-9])"))).otherwise(F.lit(SINGLE))
+
+
 def pseudonymised(docs: DataFrame, column: str = "text", key: str = KEY) -> DataFrame:
     """row (all columns of docs), text (with pseudonyms) and kinds (an array with the kind of each replaced value)."""
     df = docs.select(F.struct("*").alias("row"), F.col(column).alias("text"))
-    df = df.withColumn("found", F.regexp_extract_all("text", F.lit(ANY), 0))
+    values, pattern = _any(F.col("text"))
+    df = df.withColumn("any", values).withColumn("any", pattern(F.col("any")))
+    df = df.withColumn("found", F.regexp_extract_all("text", F.col("any"), 0))
     df = df.withColumn("x", F.transform("found", lambda m: F.struct(m.alias("m"), _kind(m).alias("kind"))))
     for step in (_parsed, _parted, _listed, _permuted(key)):
         df = df.withColumn("x", F.transform("x", step))
     df = df.withColumn("new", F.transform("x", _rendered))
-    pieces = F.zip_with(F.split("text", ANY, -1), "new", lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    pieces = F.zip_with(F.split("text", F.col("any"), -1), "new", lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
     text = F.when(F.size("found") > 0, F.array_join(pieces, "")).otherwise(F.col("text"))
     return df.select("row", text.alias("text"), F.array_compact(F.col("x.kind")).alias("kinds"))
 

@@ -318,6 +318,31 @@ def test_pseudonyms(spark, odd, none):
     assert pii.pseudonymised(odd).select("row.*").columns == odd.columns and pii.pseudonymised(none).count() == 0
 
 
+def pseudonyms_of(spark, texts):
+    df = pii.pseudonymised(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    return [(r["text"], r["kinds"]) for r in df.orderBy("row.doc_id").select("text", "kinds").collect()]
+
+
+def test_pseudonyms_of_all_written_forms(spark):
+    def card(*groups):
+        body = "".join(groups)
+        last = next(d for d in "0123456789" if luhn_ok(body[:-1] + d))
+        return " ".join(groups)[:-1] + last
+
+    cards = ["3056 930902 5904", "4111-1111-1111-1111", card("6304", "9876", "5432", "1098", "765"), card("4222", "222", "222", "222"), card("3714", "496353", "98431"), card("6011000990139424000"), f"{card('4111', '1111', '1111', '1111')} {card('5500', '0000', '0000', '0004')}"]
+    secrets = ["sk-" + "aB3d" * 30, "sk-proj-" + "x7Q_" * 12, "token=" + "a1B2" * 70, "token: eyJhbGciOi.eyJzdWIiOi.SflKxwRJSM", "access_token=abcd1234efgh", "client_secret: abcd1234efgh", "db_password=abcd1234efgh", '"password": "abcd1234efgh"']
+    phones = ["+33 1 23 45 67 89", "+61 2 1234 5678", "+44 20 7946 0958", "+49 (30) 1234 5678"]
+    for kind, values in (("card", cards), ("secret", secrets), ("phone", phones)):
+        for old, (new, kinds) in zip(values, pseudonyms_of(spark, [f"see {v} here." for v in values]), strict=True):
+            assert set(kinds) == {kind} and len(new) == len(old) + 10 and new.startswith("see ") and new.endswith(" here."), (old, new, kinds)
+            tails = [w for w in re.split("[ .=:\"]+", old) if len(w) > 7 and w[-1].isdigit() | w[-2].isdigit()]
+            assert old not in new and not any(w in new for w in tails), (old, new)
+            assert kind != "card" or len(kinds) == 2 or luhn_ok(new)
+    assert pseudonyms_of(spark, ["token: bob.smith@mail.example.com"])[0][1] == ["email"]
+    wrong = ["4111 1111 1111 1112", "3056 930902 5905", "0" * 30 + "1", "password: short"]
+    assert pseudonyms_of(spark, wrong) == [(w, []) for w in wrong]
+
+
 def test_feistel_is_a_permutation(spark):
     df = spark.range(27 * 10).select((F.col("id") % 27).cast("int").alias("a"), F.floor(F.col("id") / 27).cast("int").alias("b"))
     arr = F.array("a", "b")
