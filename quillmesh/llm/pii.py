@@ -7,6 +7,9 @@ symbol by symbol, by values derived from the key and the other half. So equal va
 documents, different values different ones, separators stay, check digits are made to fit again, and all kinds keep
 their length but addresses (octets of one to three digits) and dates written without leading zeros.
 
+Cards and IBANs are parts of longer runs of digits or words: every start in a run has its own window, and the window's
+beginnings that end with a group are tried, so that a failing one hides no valid one.
+
 Kinds: email (local part), phone, card, ssn, iban, ip, date (between DATE_FROM and DATE_DAYS later; year-month-day, and
 day, month, year with dots or slashes, month first where only that is a date) and secret (access keys, and values given
 to names such as token or password).
@@ -35,20 +38,31 @@ _DIGIT = r"[ .\-()]{0,2}[0-9]"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}+@[A-Za-z0-9](?:[A-Za-z0-9\-]{0,62}\.){1,8}[A-Za-z]{2,24}",
     "secret": rf"\b(?:AKIA|ASIA)[0-9A-Z]{{16}}\b|\bsk-[A-Za-z0-9_\-]{{20,}}+|\bgh[pousr]_[A-Za-z0-9]{{36,}}+|{_NAME}(?![A-Za-z0-9._%+\-]{{1,64}}+@[A-Za-z0-9\-]++\.[A-Za-z])(?:{_PART}|\.(?={_PART})){{8,}}+",
-    "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
-    "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
-    "date": r"(?<![0-9\-/.])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9\-/]|\.[0-9])",
+    "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){8,31}\b",
+    "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2})\.){3}(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2})(?![0-9]|\.[0-9])",
+    "date": r"(?<![0-9\-/.])(?:(?:19|20)[0-9]{2}-[01][0-9]-[0-3][0-9]|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9\-/]|\.[0-9])",
     "card": r"(?<![0-9])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])",
-    "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
+    "ssn": r"(?<![0-9\-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9\-])",
     "phone": r"(?<![0-9+])\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .\-]?[0-9]{2,4}){2,4}(?![0-9])(?<=\+" + _DIGIT * 10 + f"(?:{_DIGIT})?" * 5 + r")|(?<![0-9+(])(?:\([0-9]{3}\) ?|[0-9]{3}[.\-])[0-9]{3}[.\-][0-9]{4}(?![0-9])",
 }
 
 #: Kinds whose values are parts of longer runs: their windows, from every start, overlap.
-RUNS = ["card"]
+RUNS = ["iban", "card"]
 WINDOWS = "(?=(" + "|".join(PATTERNS[k] for k in RUNS) + "))"
-#: Order in which a place in the text is tried; the valid values of runs come last.
+#: What is tried at a place of the text before the valid values of runs.
 SINGLE = "|".join(f"(?:{p})" for k, p in PATTERNS.items() if k not in RUNS)
 
+#: Length of an IBAN by country.
+IBAN_LENGTHS = {
+    country: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FO GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ LT LU XK MN", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
+
 #: What of a secret is kept.
 SECRET_HEAD = rf"^(?:(?:AKIA|ASIA)(?=[0-9A-Z]{{16}}$)|sk-|gh[pousr]_|{_NAME})"
 
@@ -86,7 +100,9 @@ def feistel(symbols: Column, bases: Column, tweak: Column, key: str = KEY) -> Co
         left = r % 2 == 0
         other = F.when(left, F.slice(acc, half + 1, F.size(acc) - half)).otherwise(F.slice(acc, 1, half))
         secret = F.sha2(F.concat_ws("|", F.lit(key), tweak, r.cast("string"), F.array_join(F.transform(other, lambda x: x.cast("string")), ",")), 256)
-        return F.transform(acc, lambda x, i: F.when((i < half) == left, F.pmod(x + F.pmod(F.xxhash64(secret, i), F.get(bases, i).cast("long")).cast("int"), F.get(bases, i))).otherwise(x))
+        # bound by a transform of one element, so it is made once a round and not once a symbol
+        moved = lambda h: F.transform(acc, lambda x, i: F.when((i < half) == left, F.pmod(x + F.pmod(F.xxhash64(h, i), F.get(bases, i).cast("long")).cast("int"), F.get(bases, i))).otherwise(x))
+        return F.get(F.transform(F.array(secret), moved), F.lit(0))
 
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), symbols, step)
 
@@ -198,12 +214,17 @@ def _listed(x: Column) -> Column:
 def _permuted(key: str):
     def run(x: Column) -> Column:
         v = F.when(x["kind"].isNotNull(), feistel(x["v"], x["b"], x["kind"], key)).otherwise(x["v"])
-        text = F.when(x["kind"].isin("email", "secret", "card", "phone", "iban"), _text_from(x["s"], v)).otherwise("")
-        return F.struct(x["m"].alias("m"), x["kind"].alias("kind"), x["date"].alias("date"), x["head"].alias("head"), v.alias("v"), text.alias("t"))
+        return F.struct(x["m"].alias("m"), x["kind"].alias("kind"), x["date"].alias("date"), x["head"].alias("head"), x["s"].alias("s"), v.alias("v"))
 
     return run
 
 
+def _written(x: Column) -> Column:
+    """x with its symbols as text; a step of its own, so that they aren't permuted again for each of them."""
+    text = F.when(x["kind"].isin("email", "secret", "card", "phone", "iban"), _text_from(x["s"], x["v"])).otherwise("")
+    return F.struct(x["m"].alias("m"), x["kind"].alias("kind"), x["date"].alias("date"), x["head"].alias("head"), x["v"].alias("v"), text.alias("t"))
+
+
 def _rendered(x: Column) -> Column:
     m, kind, v, t = x["m"], x["kind"], x["v"], x["t"]
     body = F.concat(x["head"], t)
@@ -237,21 +258,36 @@ def _card(window: Column) -> Column:
     return F.coalesce(F.get(F.filter(valid, lambda m: F.length(_digits(m)) == usual), F.lit(0)), F.get(valid, F.size(valid) - 1))
 
 
-def _any(text: Column) -> tuple[Column, Column]:
-    """The valid values of runs in a text, and from them the pattern of all its candidates."""
+def _iban(window: Column) -> Column:
+    """The valid IBAN a window begins with: of its country's length if there is one, else the longest; or null."""
+    words = F.split(window, " ")
+    starts = F.transform(F.sequence(F.lit(1), F.size(words)), lambda n: F.array_join(F.slice(words, 1, n), " "))
+    plain = lambda m: F.replace(m, F.lit(" "), F.lit(""))
+    valid = F.filter(starts, lambda m: (F.length(plain(m)) >= 12) & (_mod97(plain(m)) == 1))
+    usual = F.try_element_at(F.create_map(*(F.lit(x) for kv in IBAN_LENGTHS.items() for x in kv)), F.substring(window, 1, 2))
+    return F.coalesce(F.get(F.filter(valid, lambda m: F.length(plain(m)) == usual), F.lit(0)), F.get(valid, F.size(valid) - 1))
+
+
+def _run_values(text: Column) -> Column:
+    """The valid values of runs in a text; each start has its own window, so none hides another."""
     windows = F.array_distinct(F.regexp_extract_all(text, F.lit(WINDOWS), 1))
-    values = F.array_distinct(F.array_compact(F.transform(windows, _card)))
-    return values, lambda v: F.when(F.size(v) > 0, F.concat(F.lit(rf"{SINGLE}|(?={PATTERNS['card']})(?<![0-9])(?:"), F.array_join(v, "|"), F.lit(")(?![0-9])"))).otherwise(F.lit(SINGLE))
+    return F.array_distinct(F.array_compact(F.transform(windows, lambda w: F.when(w.rlike("^[0-9]"), _card(w)).otherwise(_iban(w)))))
+
+
+def _any(values: Column) -> Column:
+    """The pattern of all candidates of a text from its valid values of runs, the longest first."""
+    listed = F.array_join(F.transform(F.reverse(F.array_sort(values)), lambda v: F.concat(v, F.when(v.rlike("^[0-9]"), F.lit("(?![0-9])")).otherwise(F.lit(r"\b")))), "|")
+    runs = F.concat(F.lit(rf"|(?={'|'.join(PATTERNS[k] for k in RUNS)})(?:"), listed, F.lit(")"))
+    return F.when(F.size(values) > 0, F.concat(F.lit(SINGLE), runs)).otherwise(F.lit(SINGLE))
 
 
 def pseudonymised(docs: DataFrame, column: str = "text", key: str = KEY) -> DataFrame:
     """row (all columns of docs), text (with pseudonyms) and kinds (an array with the kind of each replaced value)."""
     df = docs.select(F.struct("*").alias("row"), F.col(column).alias("text"))
-    values, pattern = _any(F.col("text"))
-    df = df.withColumn("any", values).withColumn("any", pattern(F.col("any")))
+    df = df.withColumn("any", _run_values(F.col("text"))).withColumn("any", _any(F.col("any")))
     df = df.withColumn("found", F.regexp_extract_all("text", F.col("any"), 0))
     df = df.withColumn("x", F.transform("found", lambda m: F.struct(m.alias("m"), _kind(m).alias("kind"))))
-    for step in (_parsed, _parted, _listed, _permuted(key)):
+    for step in (_parsed, _parted, _listed, _permuted(key), _written):
         df = df.withColumn("x", F.transform("x", step))
     df = df.withColumn("new", F.transform("x", _rendered))
     pieces = F.zip_with(F.split("text", F.col("any"), -1), "new", lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
