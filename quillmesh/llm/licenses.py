@@ -4,7 +4,7 @@ Templates and texts are runs of lower-cased letters and digits. Hashes of GRAM w
 every WINDOW neighbours), so a run of GRAM + WINDOW - 1 shared words always shares a fingerprint. An inverted index over
 the templates' fingerprints gives, for each text, templates and the diagonals on which they meet it. Around each
 diagonal a banded alignment matches the whole template against the text: matches count for, skipped and replaced words
-against it. A find covers at least COVERAGE of the template's words; of finds that overlap the one with the best score
+against it. Hits outside these finds are chained over several diagonals and aligned in a band that holds them all. A find covers at least COVERAGE of the template's words; of finds that overlap the one with the best score
 stays.
 
 Defined cases: null or empty text has no finds; repeated rows are scanned once each; equal scores go to the first name;
@@ -89,9 +89,9 @@ class Scanner:
         self.index = dict(index)
         self.keys = np.array(sorted(index), np.uint64)
 
-    def align(self, k: int, words: list[str], diagonal: int) -> tuple[int, int, int, int] | None:
-        """(score, matched, first, last word) of template k in words near a diagonal (text minus template position)."""
-        want, width = self.words[k], 2 * BAND + 1
+    def align(self, k: int, words: list[str], diagonal: int, more: int = 0) -> tuple[int, int, int, int] | None:
+        """(score, matched, first, last word) of template k in words near a diagonal (text minus template position), or near those up to more above it."""
+        want, width = self.words[k], 2 * BAND + 1 + more
         low = -(1 << 30)
         # state: (score, matched, first, last); row i ends with template word i, column c is text position i + diagonal + c - BAND
         before = [(0, 0, -1, -1)] * width
@@ -112,6 +112,26 @@ class Scanner:
         best = max(before, default=(low, 0, -1, -1))
         return best if best[1] >= COVERAGE * len(want) else None
 
+    def chains(self, k: int, hits: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+        """(least, greatest diagonal) of chains of hits (text, template position) of template k that rise in both, with gaps of a template's length at most."""
+        hits, reach, low = sorted(hits), 2 * len(self.words[k]), 0
+        length, before = [1] * len(hits), [-1] * len(hits)
+        for i, (at, t) in enumerate(hits):
+            while hits[low][0] < at - reach:
+                low += 1
+            for j in range(low, i):
+                if hits[j][0] < at and hits[j][1] < t and length[j] >= length[i]:
+                    length[i], before[i] = length[j] + 1, j
+        used: set[int] = set()
+        for i in sorted(range(len(hits)), key=lambda i: -length[i]):
+            if i not in used:
+                chain = [i]
+                while before[chain[-1]] >= 0:
+                    chain.append(before[chain[-1]])
+                used.update(chain)
+                diagonals = [hits[j][0] - hits[j][1] for j in chain]
+                yield min(diagonals), max(diagonals)
+
     def finds(self, words: list[str], hits: list[tuple[int, int]]) -> list[tuple[int, int, int, int, int]]:
         """(template, matched, score, first, last) of non-overlapping finds; hits: (position, fingerprint)."""
         spots = {(k, at - t) for at, f in hits for k, t in self.index[f]}
@@ -122,6 +142,16 @@ class Scanner:
             last[k] = diagonal
             if a := self.align(k, words, diagonal):
                 found.add((a[0], a[1], self.names[k], k, a[2], a[3]))
+        # what no single band holds: runs of hits on several diagonals, as where words are put in or left out
+        rest: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for at, f in hits:
+            for k, t in self.index[f]:
+                if not any(x[3] == k and x[4] <= at <= x[5] for x in found):
+                    rest[k].append((at, t))
+        for k, mine in rest.items():
+            for low, high in set(self.chains(k, mine)):
+                if high > low and (a := self.align(k, words, low, high - low)):
+                    found.add((a[0], a[1], self.names[k], k, a[2], a[3]))
         out: list[tuple[int, int, int, int, int]] = []
         for score, matched, _, k, first, end in sorted(found, key=lambda x: (-x[0], x[2], x[4])):
             if all(end < a or first > b for _, _, _, a, b in out):

@@ -295,6 +295,18 @@ def test_licenses(spark, odd, none):
     assert set(by) == {0, 1, 2, 3} and licenses.scan_licenses(odd).count() == 0 and licenses.scan_licenses(none).count() == 0
 
 
+def test_licenses_with_long_insertions_and_gaps():
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    for name in ("Apache-2.0", "MIT", "BSD-2-Clause"):
+        words = next(t for n, t in licenses.TEMPLATES if n == name and len(t) > 100).split()
+        for at in (len(words) // 3, len(words) // 2):
+            put_in = " ".join(words[:at] + [f"product{i}" for i in range(12)] + words[at:])
+            left_out = " ".join(words[:at] + words[at + 10 :])
+            for text, least in ((put_in, 1.0), (left_out, 0.8), (f"{put_in} and then {put_in}", 1.0)):
+                got = [x for x in scanner.scan([text]) if x[1] == name and x[3] > 20]
+                assert len(got) == text.count(" and then ") + 1 and all(x[2] >= least for x in got), (name, at, got)
+
+
 # 10 --------------------------------------------------------------------------------------------------------------
 
 
