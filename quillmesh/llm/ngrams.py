@@ -3,29 +3,32 @@
 A text's set holds its distinct word shingles, as 64-bit hashes. Sets of a size band [lo, hi] that reach the similarity
 differ in at most H shingles, so of the segments into which hashing deals the universe, some must agree:
 
-* with H + 1 + g segments, at least g + 1 are equal; each segment's hash is indexed (``exact`` bands);
-* with H // 2 + 1 segments, at least one differs by one shingle at most; each segment's hash and those of its
-  one-deletion neighbourhood are indexed (``deletion`` bands).
-
-``plan`` chooses the kind of each band by cost (index entries against chance company of short segments) and the slack g.
-Costs decide inside exact bands, too: a segment hash that more than HOT texts share (empty segments, parts of passages
-that many documents hold) is dear. A text with at most g dear segments leaves them out of its subset; one with more
-keeps them all. That loses nothing: of the g + 1 equal segments of two similar texts either one is cheap, or both texts
-have more than g dear ones.
-
-Texts with equal sets are one class and join through it. Buckets are then worked off in rounds: each bucket's pivot
-against the others, verified on the whole texts, then components, then only buckets that still hold several components,
-with another pivot; at last all pairs of different components, in blocks of at most BLOCK x BLOCK inside the tasks. Before
-the texts are compared, the pair's counts of shingles in CELLS cells of the universe are: their differences add up to no
-more than the sets' difference, so pairs beyond the bound fall out, and blocks return only what is left. Every pair that
-shares a bucket is either judged or within one component already.
-
-Work is dealt by segment hash; hashes that a sample of the texts shows to be very common are salted. Tasks stream
-sorted rows and hold no bucket.
+* ``subsets``: with the segments in (H + 1 + g) / 2 groups of three, each two of a group are indexed as one subset. A
+  segment that differs takes two subsets of its group at first, then the last one, so g + 1 subsets stay equal;
+* ``deletion``: with H // 2 + 1 segments, at least one differs by one shingle at most; each segment's hash and those of
+  its one-deletion neighbourhood are indexed.
+
+Each band gets the kind of least cost: index entries, and COMPANY times the entries that it is expected to share with a
+text that shares SHARE of its shingles. Costs decide inside the bands of subsets, too: a hash that more than HOT texts
+share (empty segments, parts of passages that many documents hold) is dear. A text leaves out its g last hashes, as far
+as they are dear, in an order in which dear ones come last. That loses nothing: of the g + 1 hashes that two similar
+texts share, the first in this order has g others behind it in both texts, so neither leaves it out.
+
+Texts with equal sets are one class and join through it; bands in which H is 0 need nothing else. Buckets with the same
+members count once. They are then worked off in rounds: each bucket's pivot against the others, verified on the whole
+texts, then components, then only buckets that still hold several components, with another pivot; at last all pairs of
+different components, in blocks of at most BLOCK x BLOCK inside the tasks. Before texts are compared, the pair's counts
+of shingles in cells of the universe are: their differences add up to no more than the sets' difference, so pairs
+beyond the bound fall out, and blocks return only what is left. Cells grow with the set, so that counts stay as telling
+for long texts. Every pair that shares a bucket is either judged or within one component already.
+
+Work is dealt by hash; hashes that the sample shows to be very common are salted. Tasks stream sorted rows and hold no
+bucket.
 
 Defined cases: null or empty text (no words) has an empty set and links with nothing; fewer words than a shingle form
-one shingle; rows that share a doc_id are one document with several texts; repeated rows return once each; an empty
-table gives no rows; other columns are ignored.
+one shingle; very long texts are taken whole; rows that share a doc_id are one document with several texts; a row with
+a null doc_id gets its set size, a null component and no links; repeated rows return once each; ties take the smallest
+doc_id; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,14 +41,16 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import Memo, table, written
+from quillmesh.llm.common import table, written
 from quillmesh.llm.graph import components
 
 #: A segment hash shared by more texts than this is dear.
 HOT = 8
+#: The share of a text's shingles that costs suppose another text to share, and the weight of an entry shared by chance.
+SHARE, COMPANY = 0.6, 3
 #: Size bands grow by this factor.
 RATIO = 1.5
 #: The band number that marks a row about a text rather than a segment.
@@ -54,12 +59,14 @@ TEXT = 63
 ROUNDS, BLOCK = 3, 256
 #: Partners of one pivot that are verified in one group.
 GROUP = 128
-#: Cells of the counts that are compared before texts.
-CELLS = 256
+#: Cells of the counts that are compared before texts: FEWEST, or a power of two from a quarter of the set on.
+FEWEST = 256
 #: Ids are broadcast up to this number; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 #: Texts in the sample that finds hashes to salt, the share of it that makes one common, and the salts.
 SAMPLE, COMMON, SALTS = 4000, 0.02, 32
+#: Buckets whose pairs are so many times their rows at most are compared in blocks without more rounds.
+FEW_PAIRS = 32
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -71,28 +78,56 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@cache
-def _word_hashes() -> Memo:
-    return Memo(xxhash.xxh3_64_intdigest, 150_000)
+#: Words of up to so many bytes are hashed by sums over their bytes, for all words at once; longer ones singly.
+SHORT = 64
+_WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_LOWER = np.arange(256) + 32 * ((np.arange(256) >= 65) & (np.arange(256) <= 90))
+with np.errstate(over="ignore"):
+    _BYTES = np.where(_WHITE, np.uint64(0), mixed((_LOWER.astype(np.uint64) + np.uint64(1)) * _A))
+    _PLACES = np.append(mixed(np.arange(1, SHORT + 1, dtype=np.uint64) * _B) | np.uint64(1), np.uint64(0))
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """64-bit hashes of the words of a text in lower case (A-Z), in order."""
+    raw = text.encode()
+    codes = np.frombuffer(raw, np.uint8)
+    edges = np.flatnonzero(np.diff(~_WHITE[codes], prepend=False, append=False))
+    starts, ends = edges[::2], edges[1::2]
+    out = np.zeros(len(starts), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(0, len(starts), 100_000):
+            first, last = starts[k : k + 100_000], ends[k : k + 100_000]
+            at = np.arange(last[-1] - first[0]) - np.repeat(first - first[0], np.diff(np.append(first, last[-1])))
+            out[k : k + 100_000] = np.add.reduceat(_BYTES[codes[first[0] : last[-1]]] * _PLACES[np.minimum(at, SHORT)], first - first[0])
+        for k in np.flatnonzero(ends - starts > SHORT):
+            out[k] = xxhash.xxh3_64_intdigest(raw[starts[k] : ends[k]].lower())
+        return mixed(out + (ends - starts).astype(np.uint64) * _C)
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
     """Sorted distinct shingle hashes of a text."""
-    words = text.encode().lower().split() if text else []
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_word_hashes().__getitem__, words), np.uint64, len(words))
-    n = min(width, len(words))
+    h = word_hashes(text or "")
+    if not len(h):
+        return h
+    n = min(width, len(h))
     with np.errstate(over="ignore"):
-        out = np.full(len(words) - n + 1, n, np.uint64)
+        out = np.full(len(h) - n + 1, n, np.uint64)
         for k in range(n):
             out = mixed((out + h[k : len(h) - n + 1 + k]) * _A)
-    return np.unique(out)
+    out.sort()
+    return out[np.append(True, out[1:] != out[:-1])]
 
 
 def cells(items: np.ndarray) -> bytes:
     """Counts of a set's shingles in cells of the universe, at most 255 each."""
-    return np.minimum(np.bincount((items & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes()
+    n = max(FEWEST, 1 << (max(len(items) // 4, 1) - 1).bit_length())
+    return np.minimum(np.bincount((items & np.uint64(n - 1)).astype(np.int64), minlength=n), 255).astype(np.uint8).tobytes()
+
+
+def folded(counts: list[bytes], width: int) -> np.ndarray:
+    """Counts of several sets as a matrix of ``width`` cells; finer ones are added up."""
+    rows = [np.frombuffer(c, np.uint8) for c in counts]
+    return np.stack([r if len(r) == width else r.reshape(-1, width).sum(0, dtype=np.int32).clip(max=32767) for r in rows]).astype(np.int16)
 
 
 class Plan:
@@ -101,23 +136,25 @@ class Plan:
     def __init__(self, num: int, den: int, largest: int = 1 << 40):
         self.num, self.den = num, den
         self.lo: list[int] = []
-        self.band: list[tuple[int, bool, int]] = []  # segments, deletion, slack
+        self.band: list[tuple[int, bool, int]] = []  # segments (none: nothing to index), deletion, slack
         lo = 1
         while lo <= largest and len(self.lo) < TEXT:
             hi = max(lo, int(lo * RATIO)) if len(self.lo) < TEXT - 1 else largest
-            h = 2 * hi * (den - num) // (den + num)
+            self.band.append(self._choose((lo + hi) / 2, 2 * hi * (den - num) // (den + num)))
             self.lo.append(lo)
-            self.band.append(self._choose(lo, hi, h))
             lo = hi + 1
 
     @staticmethod
-    def _choose(lo: int, hi: int, h: int) -> tuple[int, bool, int]:
-        slack = h // 4 + 2 if h else 0
-        m = h + 1 + slack
-        size = (lo + hi) / 2
-        chance = m * np.exp(-2 * size / m)  # of two texts sharing an empty segment
-        exact, deletion = m + 100 * chance, size + h // 2 + 1
-        return (h // 2 + 1, True, 0) if h and deletion < exact else (m, False, slack)
+    def _choose(size: float, h: int) -> tuple[int, bool, int]:
+        if not h:
+            return 0, False, 0
+        groups = (h + 1 + h // 4 + 2 + 1) // 2
+        other = 2 * size / (3 * groups) * (1 - SHARE)  # shingles of a subset that the other text lacks, on average
+        subsets = 3 * groups * (1 + COMPANY * np.exp(-other))
+        segments = h // 2 + 1
+        other = size / segments * (1 - SHARE)
+        deletion = size + segments + COMPANY * segments * np.exp(-other) * (1 + other)
+        return (segments, True, 0) if deletion < subsets else (3 * groups, False, 2 * groups - h - 1)
 
     def bands(self, size: int) -> list[int]:
         """Bands in which a set of this size can have a partner of the band's sizes that is no smaller."""
@@ -126,7 +163,7 @@ class Plan:
         while b + 1 < len(self.lo) and self.den * size >= self.num * self.lo[b + 1]:
             b += 1
             found.append(b)
-        return found
+        return [b for b in found if self.band[b][0]]
 
     def keys(self, items: np.ndarray, band: int) -> np.ndarray:
         """Index hashes of a set in a band; the low six bits are the band."""
@@ -141,7 +178,10 @@ class Plan:
             keys = mixed(sums ^ mixed(place))
             if deletion:
                 keys = np.concatenate([keys, mixed((sums[seg] - x) ^ mixed(place[seg]))])
-        return np.unique(keys & ~np.uint64(63) | np.uint64(band))
+            else:
+                threes = keys.reshape(-1, 3)
+                keys = mixed(threes * _A + np.roll(threes, -1, axis=1)).ravel()
+        return keys & ~np.uint64(63) | np.uint64(band)
 
 
 @cache
@@ -193,7 +233,7 @@ def _index(width: int, p: Plan, common: np.ndarray):
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key, those about texts and those of hashes that several texts share; dear ones are marked."""
+    """Of rows sorted by key, those about texts and those of hashes that several texts share; dear: 1 if dear, 2 if salted."""
     held_key, held_doc = np.zeros(0, np.int64), np.zeros(0, np.int64)
     dear_key = None  # the key of a run of which HOT + 1 rows have gone out already
 
@@ -218,18 +258,26 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held_key, held_doc = key[starts[-1] :].copy(), doc[starts[-1] :].copy()
                 keep[starts[-1] :] = False
         if keep.any():
-            yield out(key[keep], doc[keep], dear[keep])
+            yield out(key[keep], doc[keep], (dear + (salt > 0)).astype(np.int32)[keep])
 
     for batch in batches:
         key, salt, doc = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
         texts = key & 63 == TEXT
         if texts.any():
             mask = pa.array(texts)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(2).filter(mask), pa.array(np.zeros(int(texts.sum()), bool)), batch.column(3).filter(mask)], ["key", "doc", "dear", "info"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(2).filter(mask), pa.array(np.zeros(int(texts.sum()), np.int32)), batch.column(3).filter(mask)], ["key", "doc", "dear", "info"])
         yield from runs(key[~texts], doc[~texts], salt[~texts], False)
     yield from runs(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), True)
 
 
+def _sizes(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(shingles(text.as_py(), width)) for text in batch.column(0)], pa.int64())], ["n_shingles"])
+
+    return run
+
+
 def _verify(width: int, num: int, den: int):
     """Of rows sorted by pivot, part and whether they are the pivot, the pairs that link."""
 
@@ -264,8 +312,15 @@ def _possible(num: int, den: int):
             if not len(batch):
                 continue
             n, m = (batch.column(k).to_numpy().astype(np.int64) for k in (2, 3))
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16) for k in (4, 5))
-            keep = np.abs(x - y).sum(1, dtype=np.int64) * (den + num) <= (n + m) * (den - num)
+            x, y = (batch.column(k).to_pylist() for k in (4, 5))
+            widths = np.minimum([len(c) for c in x], [len(c) for c in y])
+            keep = np.zeros(len(n), bool)
+            for width in np.unique(widths):
+                at = np.flatnonzero(widths == width)
+                for k in range(0, len(at), step := max(1, 4_000_000 // int(width))):
+                    some = at[k : k + step]
+                    apart = np.abs(folded([x[i] for i in some], width) - folded([y[i] for i in some], width)).sum(1, dtype=np.int64)
+                    keep[some] = apart * (den + num) <= (n[some] + m[some]) * (den - num)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], ["a", "b"])
 
     return run
@@ -286,8 +341,9 @@ def _blocks(num: int, den: int):
             d += 1
             at = at[at + d < until[at]]
             some = at[(comp[at] != comp[at + d]) & (~cross[at] | (chunk[at] != chunk[at + d]))]
-            for k in range(0, len(some), 20_000):
-                i, j = some[k : k + 20_000], some[k : k + 20_000] + d
+            step = max(1, 4_000_000 // counts.shape[1])
+            for k in range(0, len(some), step):
+                i, j = some[k : k + step], some[k : k + step] + d
                 near = np.abs(counts[i] - counts[j]).sum(1, dtype=np.int64) * (den + num) <= (n[i] + n[j]) * (den - num)
                 i, j = node[i[near]], node[j[near]]
                 found.append((np.minimum(i, j), np.maximum(i, j)))
@@ -308,10 +364,16 @@ def _blocks(num: int, den: int):
         ends = np.flatnonzero((key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1
         cuts = [0, *ends.tolist(), *([len(rows)] if last else [])]
         m = cuts[-1]
-        counts = np.frombuffer(b"".join(rows["cells"].iloc[:m]), np.uint8).reshape(-1, CELLS).astype(np.int16)
-        until = np.repeat(cuts[1:], np.diff(cuts)).astype(np.int64)
-        first, second = pairs_of(until, (x != y)[:m], chunk[:m], node[:m], comp[:m], n[:m], counts)
-        yield pd.DataFrame({"a": first, "b": second}).drop_duplicates()
+        sizes, blocks = np.diff(cuts), rows["cells"].iloc[:m].to_list()
+        widths = np.array([len(c) for c in blocks], np.int64)
+        least = np.repeat(np.minimum.reduceat(widths, cuts[:-1]), sizes) if m else widths  # in a block, counts are as fine as its coarsest
+        which = np.repeat(np.arange(len(sizes)), sizes)
+        for width in np.unique(least):
+            at = np.flatnonzero(least == width)
+            until = np.searchsorted(which[at], which[at], "right")
+            counts = folded([blocks[i] for i in at], width)
+            first, second = pairs_of(until, (x != y)[at], chunk[at], node[at], comp[at], n[at], counts)
+            yield pd.DataFrame({"a": first, "b": second}).drop_duplicates()
         return None if last else rows.iloc[cuts[-1] :]
 
     return run
@@ -339,7 +401,7 @@ class Join:
         common = np.array(sorted(r["key"] for r in counts.where(F.col("count") > least).collect()), np.int64).view(np.uint64)
         rows = self.docs.mapInArrow(_index(self.width, self.plan, common), _ROWS)
         rows = rows.repartition("key", "salt").sortWithinPartitions("key", "doc")
-        return written(rows.mapInArrow(_buckets, "key long, doc long, dear boolean, info binary"))
+        return written(rows.mapInArrow(_buckets, "key long, doc long, dear int, info binary"))
 
     def _verified(self, pairs: DataFrame, sketches: DataFrame) -> DataFrame:
         side = lambda c: sketches.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("cells").alias(f"cells_{c}"))
@@ -368,7 +430,7 @@ class Join:
         indexed = self._indexed()
         spans = indexed.where("info is not null")
         n = F.conv(F.hex(F.substring("info", 17, 8)), 16, 10).cast("long")
-        spans = spans.select(F.col("doc").alias("doc_id"), F.substring("info", 1, 16).alias("digest"), n.alias("n_shingles"), F.substring("info", 25, CELLS).alias("cells"))
+        spans = spans.select(F.col("doc").alias("doc_id"), F.substring("info", 1, 16).alias("digest"), n.alias("n_shingles"), F.substring("info", 25, 1 << 30).alias("cells"))
         classes = spans.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")).where("copies > 1").select("digest", "node")
         classes = written(classes)  # so that both sides of the join are shuffles, whose hot partitions can be split
         spans = written(spans.join(classes, "digest", "left").select("doc_id", "n_shingles", F.coalesce("node", "doc_id").alias("node"), "cells"))
@@ -376,15 +438,14 @@ class Join:
         spans = spans.drop("cells")
         moved = spans.where("doc_id <> node").select(F.col("doc_id").alias("doc"), "node").distinct()
 
-        slack = F.element_at(F.array(*(F.lit(s) for _, _, s in self.plan.band)), (F.col("band") + 1).cast("int"))
-        deletion = F.element_at(F.array(*(F.lit(d) for _, d, _ in self.plan.band)), (F.col("band") + 1).cast("int"))
+        slack = F.element_at(F.array(*(F.lit(s) for _, _, s in self.plan.band)), (F.col("key").bitwiseAND(63) + 1).cast("int"))
         rows = indexed.where("info is null").join(moved, "doc", "left").select("key", F.coalesce("node", "doc").alias("node"), "dear").distinct()
-        rows = rows.withColumn("band", F.col("key").bitwiseAND(63))
-        dear = rows.where("dear").groupBy("node", "band").agg(F.count("*").alias("n")).where((F.col("n") > slack) | deletion).select("node", "band")
-        rows = rows.where("not dear").select("key", "node").unionByName(rows.where("dear").join(dear, ["node", "band"], "left_semi").select("key", "node"))
+        rows = rows.withColumn("dear", F.when(slack > 0, F.col("dear")).otherwise(0))
+        last = F.row_number().over(Window.partitionBy("node", F.col("key").bitwiseAND(63)).orderBy(F.desc("dear"), "key"))
+        rows = rows.where("dear = 0").select("key", "node").unionByName(rows.where("dear > 0").withColumn("last", last).where(F.col("last") > slack).select("key", "node"))
         rows = written(rows)
-        full = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-        rows = written(rows.join(full, "key", "left_semi"))
+        members = rows.groupBy("key").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("c > 1")
+        rows = written(rows.join(members.groupBy("c", "x", "y").agg(F.min("key").alias("key")).select("key"), "key", "left_semi"))
 
         links = parts = tested = None
         for k in range(ROUNDS + 1):
@@ -398,7 +459,7 @@ class Join:
             left, n = by.agg(F.sum("pairs"), F.sum("n")).first()
             if not left:
                 break
-            last = k == ROUNDS or k and left <= 4 * n
+            last = k == ROUNDS or k and left <= FEW_PAIRS * n
             if last:
                 pairs = self._blocked(rows, sketches)
             else:
@@ -425,7 +486,8 @@ def similar(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10) -> Dat
     spans, parts = Join(docs, width, num, den).run()
     out = spans.join(parts, "node", "left")
     known = out.select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
-    nulls = docs.where("doc_id is null").select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
+    nulls = docs.where("doc_id is null").select("text").mapInArrow(_sizes(width), "n_shingles long")
+    nulls = nulls.select(F.lit(None).cast("long").alias("doc_id"), "n_shingles", F.lit(None).cast("long").alias("component_id"))
     return known.unionByName(nulls)
 
 
