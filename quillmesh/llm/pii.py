@@ -10,12 +10,16 @@ their length but addresses (octets of one to three digits) and dates written wit
 Cards and IBANs are parts of longer runs of digits or words: every start in a run has its own window, and the window's
 beginnings that end with a group are tried, so that a failing one hides no valid one.
 
-Kinds: email (local part), phone, card, ssn, iban, ip, date (between DATE_FROM and DATE_DAYS later; year-month-day, and
+Kinds: email (local part, permuted under its domain), phone, card, ssn, iban, ip, date (from 1800-01-01 to 2199-07-11; year-month-day, and
 day, month, year with dots or slashes, month first where only that is a date) and secret (access keys, and values given
-to names such as token or password).
+to names such as token or password). Dates outside that range and calendar stay as they are.
 
-Defined cases: null text stays null; text without valid values stays as it is; repeated rows are treated alike; an empty
-table gives no rows; all other columns are passed along.
+The key is the setting spark.quillmesh.pii.key of the session; without it an example key holds, which hides nothing from
+readers of this file.
+
+Defined cases: null text stays null; empty text and text without valid values stay as they are; very long texts are taken
+whole; of overlapping candidates the first start wins, at a tie the kinds' order and then the longer value; repeated rows
+are treated alike; an empty table gives no rows; all other columns are passed along.
 """
 
 from __future__ import annotations
@@ -25,9 +29,11 @@ from pyspark.sql import functions as F
 
 from quillmesh.llm.common import table
 
+#: The key where the session's KEY_SETTING is unset.
 KEY = "quillmesh-example-key"
+KEY_SETTING = "spark.quillmesh.pii.key"
 ROUNDS = 8
-DATE_FROM, DATE_SIDE = "1900-01-01", 270
+DATE_FROM, DATE_SIDE = "1800-01-01", 382
 DATE_DAYS = DATE_SIDE * DATE_SIDE
 
 _NAME = r"(?i:(?:token|password|passwd|secret(?:[_\-]?(?:access[_\-]?)?key)?|api[_\-]?key)(?:\\?[\"'])?[ \t]*+(?:=>|:=|[=:])[ \t]*+(?:\\?[\"'])?)"
@@ -40,7 +46,7 @@ PATTERNS = {
     "secret": rf"\b(?:AKIA|ASIA)[0-9A-Z]{{16}}\b|\bsk-[A-Za-z0-9_\-]{{20,}}+|\bgh[pousr]_[A-Za-z0-9]{{36,}}+|{_NAME}(?![A-Za-z0-9._%+\-]{{1,64}}+@[A-Za-z0-9\-]++\.[A-Za-z])(?:{_PART}|\.(?={_PART})){{8,}}+",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){8,31}\b",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2})\.){3}(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2})(?![0-9]|\.[0-9])",
-    "date": r"(?<![0-9\-/.])(?:(?:19|20)[0-9]{2}-[01][0-9]-[0-3][0-9]|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9\-/]|\.[0-9])",
+    "date": r"(?<![0-9\-/.])(?:(?:1[89]|2[01])[0-9]{2}-[01][0-9]-[0-3][0-9]|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9\-/]|\.[0-9])",
     "card": r"(?<![0-9])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])",
     "ssn": r"(?<![0-9\-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9\-])",
     "phone": r"(?<![0-9+])\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .\-]?[0-9]{2,4}){2,4}(?![0-9])(?<=\+" + _DIGIT * 10 + f"(?:{_DIGIT})?" * 5 + r")|(?<![0-9+(])(?:\([0-9]{3}\) ?|[0-9]{3}[.\-])[0-9]{3}[.\-][0-9]{4}(?![0-9])",
@@ -52,6 +58,9 @@ WINDOWS = "(?=(" + "|".join(PATTERNS[k] for k in RUNS) + "))"
 #: What is tried at a place of the text before the valid values of runs.
 SINGLE = "|".join(f"(?:{p})" for k, p in PATTERNS.items() if k not in RUNS)
 
+#: Something of this is in every text with a candidate; texts without skip the dearer patterns.
+GUARD = r"@|(?:AKIA|ASIA)[0-9A-Z]|\bsk-|\bgh[pousr]_|(?i:token|passw|secret|api[_\-]?key)|[0-9][./\-][0-9]{1,3}[./\-][0-9]|[0-9](?:[ .\-()]{0,2}[0-9]){9}|\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){8}"
+
 #: Length of an IBAN by country.
 IBAN_LENGTHS = {
     country: n
@@ -213,7 +222,8 @@ def _listed(x: Column) -> Column:
 
 def _permuted(key: str):
     def run(x: Column) -> Column:
-        v = F.when(x["kind"].isNotNull(), feistel(x["v"], x["b"], x["kind"], key)).otherwise(x["v"])
+        tweak = F.when(x["kind"] == "email", F.concat(x["kind"], F.lower(F.substring_index(x["m"], "@", -1)))).otherwise(x["kind"])
+        v = F.when(x["kind"].isNotNull(), feistel(x["v"], x["b"], tweak, key)).otherwise(x["v"])
         return F.struct(x["m"].alias("m"), x["kind"].alias("kind"), x["date"].alias("date"), x["head"].alias("head"), x["s"].alias("s"), v.alias("v"))
 
     return run
@@ -281,11 +291,16 @@ def _any(values: Column) -> Column:
     return F.when(F.size(values) > 0, F.concat(F.lit(SINGLE), runs)).otherwise(F.lit(SINGLE))
 
 
-def pseudonymised(docs: DataFrame, column: str = "text", key: str = KEY) -> DataFrame:
-    """row (all columns of docs), text (with pseudonyms) and kinds (an array with the kind of each replaced value)."""
+def pseudonymised(docs: DataFrame, column: str = "text", key: str | None = None) -> DataFrame:
+    """row (all columns of docs), text (with pseudonyms) and kinds (an array with the kind of each replaced value).
+
+    key: else that of the session's KEY_SETTING.
+    """
+    key = key or docs.sparkSession.conf.get(KEY_SETTING, KEY)
     df = docs.select(F.struct("*").alias("row"), F.col(column).alias("text"))
-    df = df.withColumn("any", _run_values(F.col("text"))).withColumn("any", _any(F.col("any")))
-    df = df.withColumn("found", F.regexp_extract_all("text", F.col("any"), 0))
+    df = df.withColumn("any", F.when(F.col("text").rlike(GUARD), _run_values(F.col("text"))))
+    df = df.withColumn("any", F.when(F.col("any").isNotNull(), _any(F.col("any"))))
+    df = df.withColumn("found", F.when(F.col("any").isNotNull(), F.regexp_extract_all("text", F.col("any"), 0)).when(F.col("text").isNotNull(), F.expr("cast(array() as array<string>)")))
     df = df.withColumn("x", F.transform("found", lambda m: F.struct(m.alias("m"), _kind(m).alias("kind"))))
     for step in (_parsed, _parted, _listed, _permuted(key), _written):
         df = df.withColumn("x", F.transform("x", step))
