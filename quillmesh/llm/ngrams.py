@@ -17,10 +17,10 @@ texts share, the first in this order has g others behind it in both texts, so ne
 Texts with equal sets are one class and join through it; bands in which H is 0 need nothing else. Buckets with the same
 members count once. They are then worked off in rounds: each bucket's pivot against the others, verified on the whole
 texts, then components, then only buckets that still hold several components, with another pivot; at last all pairs of
-different components, in blocks of at most BLOCK x BLOCK inside the tasks. Before texts are compared, the pair's counts
-of shingles in cells of the universe are: their differences add up to no more than the sets' difference, so pairs
-beyond the bound fall out, and blocks return only what is left. Cells grow with the set, so that counts stay as telling
-for long texts. Every pair that shares a bucket is either judged or within one component already.
+different components, in blocks of at most BLOCK x BLOCK inside the tasks. Before texts are compared, cells of the
+universe are, each with one bit that says whether the set has an odd number of shingles there: no more cells differ than
+shingles do, so pairs beyond the bound fall out, and blocks return only what is left. Cells grow with the set, so that
+they stay as telling for long texts. Every pair that shares a bucket is either judged or within one component already.
 
 Work is dealt by hash; hashes that the sample shows to be very common are salted. Tasks stream sorted rows and hold no
 bucket.
@@ -59,8 +59,8 @@ TEXT = 63
 ROUNDS, BLOCK = 3, 256
 #: Partners of one pivot that are verified in one group.
 GROUP = 128
-#: Cells of the counts that are compared before texts: FEWEST, or a power of two from a quarter of the set on.
-FEWEST = 256
+#: Cells that are compared before texts: FEWEST, or a power of two of at least twice the set.
+FEWEST = 2048
 #: Ids are broadcast up to this number; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 #: Texts in the sample that finds hashes to salt, the share of it that makes one common, and the salts.
@@ -119,15 +119,21 @@ def shingles(text: str | None, width: int) -> np.ndarray:
 
 
 def cells(items: np.ndarray) -> bytes:
-    """Counts of a set's shingles in cells of the universe, at most 255 each."""
-    n = max(FEWEST, 1 << (max(len(items) // 4, 1) - 1).bit_length())
-    return np.minimum(np.bincount((items & np.uint64(n - 1)).astype(np.int64), minlength=n), 255).astype(np.uint8).tobytes()
+    """Whether a set has an odd number of shingles in each cell of the universe, as bits."""
+    n = max(FEWEST, 1 << (2 * len(items)).bit_length())
+    odd = np.bincount((items & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def folded(counts: list[bytes], width: int) -> np.ndarray:
-    """Counts of several sets as a matrix of ``width`` cells; finer ones are added up."""
-    rows = [np.frombuffer(c, np.uint8) for c in counts]
-    return np.stack([r if len(r) == width else r.reshape(-1, width).sum(0, dtype=np.int32).clip(max=32767) for r in rows]).astype(np.int16)
+def folded(bits: list[bytes], width: int) -> np.ndarray:
+    """Cells of several sets as a matrix of ``width`` bytes in words of eight; finer ones are folded."""
+    rows = [np.frombuffer(c, np.uint64) for c in bits]
+    return np.stack([r if 8 * len(r) == width else np.bitwise_xor.reduce(r.reshape(-1, width // 8)) for r in rows])
+
+
+def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Cells in which rows of x and y differ: no more than the sets differ in shingles."""
+    return np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
 
 
 class Plan:
@@ -305,7 +311,7 @@ def _verify(width: int, num: int, den: int):
 
 
 def _possible(num: int, den: int):
-    """Of pairs with the sizes and cells of both sides, those whose counts allow the similarity."""
+    """Of pairs with the sizes and cells of both sides, those whose cells allow the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -319,21 +325,21 @@ def _possible(num: int, den: int):
                 at = np.flatnonzero(widths == width)
                 for k in range(0, len(at), step := max(1, 4_000_000 // int(width))):
                     some = at[k : k + step]
-                    apart = np.abs(folded([x[i] for i in some], width) - folded([y[i] for i in some], width)).sum(1, dtype=np.int64)
-                    keep[some] = apart * (den + num) <= (n[some] + m[some]) * (den - num)
+                    far = apart(folded([x[i] for i in some], width), folded([y[i] for i in some], width))
+                    keep[some] = far * (den + num) <= (n[some] + m[some]) * (den - num)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], ["a", "b"])
 
     return run
 
 
 def _blocks(num: int, den: int):
-    """Of rows sorted by key, x and y, the pairs of different components whose counts allow the similarity.
+    """Of rows sorted by key, x and y, the pairs of different components whose cells allow the similarity.
 
     Rows have key, x, y, chunk, node, comp, n and cells; with x = y all pairs of the block are meant, else those of
     chunk x with chunk y.
     """
 
-    def pairs_of(until: np.ndarray, cross: np.ndarray, chunk: np.ndarray, node: np.ndarray, comp: np.ndarray, n: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def pairs_of(until: np.ndarray, cross: np.ndarray, chunk: np.ndarray, node: np.ndarray, comp: np.ndarray, n: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """until: the end of each row's block; pairs are taken by their distance, for all blocks at once."""
         found = [(node[:0], node[:0])]
         at, d = np.arange(len(node)), 0
@@ -341,10 +347,10 @@ def _blocks(num: int, den: int):
             d += 1
             at = at[at + d < until[at]]
             some = at[(comp[at] != comp[at + d]) & (~cross[at] | (chunk[at] != chunk[at + d]))]
-            step = max(1, 4_000_000 // counts.shape[1])
+            step = max(1, 1_000_000 // bits.shape[1])
             for k in range(0, len(some), step):
                 i, j = some[k : k + step], some[k : k + step] + d
-                near = np.abs(counts[i] - counts[j]).sum(1, dtype=np.int64) * (den + num) <= (n[i] + n[j]) * (den - num)
+                near = apart(bits[i], bits[j]) * (den + num) <= (n[i] + n[j]) * (den - num)
                 i, j = node[i[near]], node[j[near]]
                 found.append((np.minimum(i, j), np.maximum(i, j)))
         return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
@@ -366,13 +372,13 @@ def _blocks(num: int, den: int):
         m = cuts[-1]
         sizes, blocks = np.diff(cuts), rows["cells"].iloc[:m].to_list()
         widths = np.array([len(c) for c in blocks], np.int64)
-        least = np.repeat(np.minimum.reduceat(widths, cuts[:-1]), sizes) if m else widths  # in a block, counts are as fine as its coarsest
+        least = np.repeat(np.minimum.reduceat(widths, cuts[:-1]), sizes) if m else widths  # in a block, cells are as fine as its coarsest
         which = np.repeat(np.arange(len(sizes)), sizes)
         for width in np.unique(least):
             at = np.flatnonzero(least == width)
             until = np.searchsorted(which[at], which[at], "right")
-            counts = folded([blocks[i] for i in at], width)
-            first, second = pairs_of(until, (x != y)[at], chunk[at], node[at], comp[at], n[at], counts)
+            bits = folded([blocks[i] for i in at], width)
+            first, second = pairs_of(until, (x != y)[at], chunk[at], node[at], comp[at], n[at], bits)
             yield pd.DataFrame({"a": first, "b": second}).drop_duplicates()
         return None if last else rows.iloc[cuts[-1] :]
 
