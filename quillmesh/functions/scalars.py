@@ -340,17 +340,6 @@ def rendered(template: Column | str, values: dict[str, Column]) -> Column:
     return F.regexp_replace(out, r"\{\w+\}", "")
 
 
-def source_quality(url: Column | str) -> Column:
-    """[C38] Score of a source URL, 0 to 1."""
-    u, path = F.lower(_col(url)), F.lower(url_path(url))
-    count = lambda words: sum((path.contains(w).cast("int") for w in words), F.lit(0))
-    depth = F.size(F.filter(F.split(path, "/"), lambda p: p != ""))
-    blocked = url_host(u).rlike(r"(^|\.)(facebook|instagram|twitter|x|linkedin|wikipedia|youtube|reddit)\.(com|org)$")
-    positive, weak, generic = count(["chapter", "directory", "find", "locator", "locations", "campus"]), count(["news", "blog", "event", "article"]), count(["about", "history", "contact", "join"])
-    score = F.lit(0.55) - F.when(blocked, 0.7).otherwise(0.0) + F.least(F.lit(0.35), 0.08 * positive) - F.least(F.lit(0.75), 0.24 * weak) - F.least(F.lit(0.4), 0.16 * generic) - F.when(depth == 0, 0.12).otherwise(0.0) + F.when(depth >= 2, 0.06).otherwise(0.0)
-    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 4)
-
-
 def safe_ratio(num: Column | str, den: Column | str) -> Column:
     """[C39] 0 where the denominator isn't positive."""
     return F.when(_col(den) > 0, _col(num) / F.when(_col(den) > 0, _col(den))).otherwise(0.0)
@@ -371,9 +360,14 @@ def context_bucket(kind: Column, role: Column, has_map: Column, tables: Column)
     return F.concat_ws(":", kind, role, F.when(has_map, "map").otherwise("nomap"), F.when(tables > 0, "table").otherwise("notable"))
 
 
+#: Words of campus pages about organisations; a fixed value.
+ORG_WORDS = ["fraternity", "sorority", "chapter", "chapters", "recognized", "suspended", "closed", "unrecognized", "interfraternity", "ifc"]
+
+
 def org_density(text: Column | str) -> Column:
-    """[C42] A step function of the names of Greek letters in a text."""
-    hits = F.regexp_count(F.lower(_col(text)), F.lit(rf"\b(?:{_LETTERS})\b"))
+    """[C42] A step function of how often a text holds words of organisations, each counted as a part of the text."""
+    low = F.lower(F.coalesce(_col(text), F.lit("")))
+    hits = sum((F.regexp_count(low, F.lit(w)) for w in ORG_WORDS), F.lit(0))
     return F.when(hits >= 18, 0.98).when(hits >= 10, 0.9).when(hits >= 5, 0.78).when(hits >= 2, 0.58).otherwise(0.28)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmesh.functions import scalars as S
+from quillmesh.operators.candidates import BLOCKED_SOURCE_HOSTS, source_quality
 
 
 def when_sum(*terms: tuple[Column, float]) -> Column:
@@ -59,9 +60,20 @@ def layout(p: Column) -> Column:
     return F.when(p["tables"] > 0, made("table", 0.92)).when((p["cards"] >= 1) & (p["repeated"] >= 2), made("mixed_cards", 0.9)).when(p["cards"] >= 2, made("explicit_cards", 0.88)).when(p["anchors"] >= 2, made("anchor_cards", 0.86)).when(p["links"] >= 6, made("linked_list", 0.78)).when(p["repeated"] >= 2, made("repeated_blocks", 0.72)).otherwise(made("unclear", 0.2))
 
 
-def index_mode(p: Column) -> Column:
-    """[D44]"""
-    return F.when(p["has_map"], "map").when(p["tables"] > 0, "table").when(p["repeated"] >= 2, "cards").when(p["links"] >= 10, "link_list").otherwise("none")
+def index_mode(p: Column, page_type: Column, html: Column, api_url: Column, override: Column) -> Column:
+    """[D44] struct of mode, confidence and reason of a page that lists chapters, from its profile, class and text."""
+    low = F.lower(html)
+    gated = F.exists(F.array(*map(F.lit, ["member portal", "member login", "sign in to view", "directory login"])), low.contains)
+    made = lambda m, c, r: F.struct((m if isinstance(m, Column) else F.lit(m)).alias("mode"), F.lit(c).alias("confidence"), F.lit(r).alias("reason"))
+    return (
+        F.when(F.coalesce(override, F.lit("")) != "", made(override, 0.98, "source_metadata_override"))
+        .when(gated, made("member_portal_gated", 0.9, "member_portal_keywords"))
+        .when((page_type == "locator_map") | api_url.isNotNull(), made("map_or_api_locator", 0.9, "locator_or_api_hint"))
+        .when((p["tables"] > 0) | (p["repeated"] >= 2), made("direct_chapter_list", 0.85, "table_or_repeated_blocks"))
+        .when((p["role"] == "directory") & (p["links"] >= 12), made("internal_detail_pages", 0.7, "directory_with_many_links"))
+        .when(p["role"].isin("directory", "index"), made("mixed", 0.55, "mixed_directory_indicators"))
+        .otherwise(made("mixed", 0.35, "fallback_mixed"))
+    )
 
 
 def frontier_score(url: Column, anchor: Column, depth: Column, source_url: Column, has_map: Column, repeated: Column, template_bonus: Column, parent_bonus: Column, selected: Column) -> Column:
@@ -103,7 +115,7 @@ def chapter_link_score(label: Column, url: Column, context: Column) -> Column:
 # Adaptive crawl ------------------------------------------------------------------------------------------------------
 
 PRIORS = {"extract_locator_api": 2.5, "extract_script_json": 2.1, "extract_table": 1.6, "extract_repeated_block": 1.4, "extract_stubs_only": 1.0, "expand_map_children": 0.9, "expand_same_section_links": 0.8, "expand_internal_links": 0.4, "review_branch": -0.5, "skip_page": -0.6, "stop_branch": -1.0}
-ENRICH_PRIORS = {"parse_supporting_page": 1.9, "verify_school": 1.4, "verify_website": 1.2, "defer": 0.55, "search_web": 0.45, "search_social": 0.3, "stop_no_signal": -0.55, "review_branch": -0.8}
+ENRICH_PRIORS = {"parse_supporting_page": 1.9, "verify_school": 1.4, "verify_website": 1.2, "search_web": 0.45, "search_social": 0.3, "defer": 0.55, "stop_no_signal": -0.55, "review_required": -0.8}
 
 
 def action_scores(contexts: DataFrame, weights: tuple[float, float] = (0.75, 0.35)) -> DataFrame:
@@ -135,7 +147,7 @@ def enrichment_scores(contexts: DataFrame) -> DataFrame:
     bonus = when_sum(
         ((a == "parse_supporting_page") & F.col("has_page"), 2.0), ((a == "verify_school") & ~F.col("school_ok"), 1.5), ((a == "verify_website") & F.col("has_website"), 1.35),
         ((a == "search_web") & ~F.col("has_website") & ~F.col("busy"), 1.0), ((a == "search_social") & (F.col("identity") >= 0.6) & ~F.col("busy"), 0.95), ((a == "defer") & F.col("busy"), 1.45),
-        ((a == "stop_no_signal") & (F.col("identity") < 0.3), 0.85), ((a == "review_branch") & (F.col("identity") < 0.5), 0.7),
+        ((a == "stop_no_signal") & (F.col("identity") < 0.3), 0.85), ((a == "review_required") & (F.col("identity") < 0.5), 0.7),
     )
     return df.withColumn("score", F.bround(F.col("prior") + bonus, 4))
 
@@ -205,9 +217,17 @@ def replayed_policy(snapshot: DataFrame, rewards: DataFrame) -> DataFrame:
 
 # Candidates ----------------------------------------------------------------------------------------------------------
 
-SOURCE_PRIORS = {"official_school_chapter_page": 0.97, "official_school_directory_row": 0.95, "verified_chapter_website": 0.95, "nationals_chapter_row": 0.93, "provenance_supporting_page": 0.88, "search_result_profile": 0.72, "existing_db_value": 0.6, "generated_handle_search": 0.35}
+#: Fixed values.
+SOURCE_PRIORS = {
+    "official_school_chapter_page": 0.97, "official_school_directory_row": 0.97, "verified_chapter_website": 0.95, "chapter_website_structured_data": 0.92, "chapter_website_social_link": 0.92,
+    "nationals_directory_row": 0.93, "nationals_chapter_entry": 0.93, "nationals_chapter_page": 0.92, "authoritative_bundle": 0.95, "provenance_supporting_page": 0.9, "search_result_profile": 0.72,
+    "generated_handle_search": 0.6, "existing_db_value": 0.5, "national_following_seed": 0.35, "review_override": 1.0,
+}
 NEGATIVE_MARKERS = ["hq", "national", "international", "foundation", "ifc", "panhellenic", "greeklife", "greek_life", "fsl", "office", "alumni"]
-WRITE_THRESHOLDS = {"official_school_chapter_page": 0.84, "official_school_directory_row": 0.84, "verified_chapter_website": 0.86, "nationals_chapter_row": 0.88, "search_result_profile": 0.94}
+WRITE_THRESHOLDS = {
+    "official_school_chapter_page": 0.88, "official_school_directory_row": 0.88, "verified_chapter_website": 0.88, "chapter_website_structured_data": 0.88, "chapter_website_social_link": 0.88, "authoritative_bundle": 0.88,
+    "provenance_supporting_page": 0.84, "nationals_directory_row": 0.9, "nationals_chapter_entry": 0.9, "nationals_chapter_page": 0.9, "search_result_profile": 0.94, "generated_handle_search": 0.94,
+}
 
 
 def overlap(tokens: Column, wanted: Column) -> Column:
@@ -236,74 +256,33 @@ def resolution(score: Column, source: Column) -> Column:
     return F.when(score >= least, "write").when(score >= 0.82, "review").otherwise("reject")
 
 
-def exclusive_best(candidates: DataFrame, rounds: int = 5) -> DataFrame:
+def _kept(df: DataFrame) -> DataFrame:
+    """df computed once: checkpointed where the session names a shared folder, else persisted."""
+    spark = df.sparkSession
+    if path := spark.conf.get("spark.checkpoint.dir", None):
+        if spark.sparkContext.getCheckpointDir() is None:
+            spark.sparkContext.setCheckpointDir(path)
+        return df.checkpoint()
+    return df.persist()
+
+
+def exclusive_best(candidates: DataFrame) -> DataFrame:
     """[D27] One candidate per chapter and one chapter per handle: chapters take their best free handle, lowest id first.
 
-    candidates: chapter_id, handle, score. Losers of a round try again without the handles and chapters that are settled.
+    candidates: chapter_id, handle, score. Losers of a round try again without the handles and chapters that are settled,
+    until a round settles nobody. A round settles a chapter for each handle that is wanted, so rounds are as many as the
+    longest chain of chapters that lose to each other.
     """
-    settled = candidates.limit(0).select("chapter_id", "handle", "score")
+    free = candidates.groupBy("chapter_id", "handle").agg(F.max("score").alias("score"))
+    settled = free.limit(0)
     best = Window.partitionBy("chapter_id").orderBy(F.col("score").desc(), "handle")
-    first = Window.partitionBy("handle").orderBy("chapter_id")
-    for _ in range(rounds):
-        free = candidates.join(settled.select("chapter_id"), "chapter_id", "left_anti").join(settled.select("handle"), "handle", "left_anti").select("chapter_id", "handle", "score")
-        picks = free.withColumn("r", F.row_number().over(best)).where("r = 1").withColumn("k", F.row_number().over(first)).where("k = 1")
-        settled = settled.unionByName(picks.select("chapter_id", "handle", "score"))
-    return settled
-
-
-def email_score(email: Column, context: Column, school: Column, fraternity: Column, chapter: Column, host: Column) -> Column:
-    """[D22] Confidence of an address from what its context names."""
-    low = F.lower(context)
-    domain = F.substring_index(email, "@", -1)
-    points = when_sum((low.contains(F.lower(school)), 2), (low.contains(F.lower(fraternity)), 2), (low.contains(F.lower(chapter)), 1), (domain == host, 1))
-    edu = F.when(domain.endswith(".edu"), 0.08).otherwise(0.0)
-    generic = F.when(F.split(email, "@")[0].rlike("^(info|office|hq|national|contact|webmaster)"), 0.2).otherwise(0.0)
-    return F.round(F.least(F.lit(0.95), F.greatest(F.lit(0.0), 0.45 + 0.08 * points + edu - generic)), 4)
-
-
-def handle_score(handle: Column, fraternity: Column, school: Column, chapter: Column) -> Column:
-    """[D23]"""
-    h = S.compact_key(handle)
-    f = F.when(h.contains(S.compact_key(fraternity)), 2.0).when(h.contains(S.initials(fraternity)), 1.0).otherwise(0.0)
-    s = F.when(h.contains(S.initials(school)), 2.0).when(F.exists(F.split(F.lower(school), " "), lambda t: (F.length(t) >= 5) & h.contains(t)), 1.0).otherwise(0.0)
-    c = F.when(h.contains(S.compact_key(chapter)), 1.0).otherwise(0.0)
-    return F.round(F.least(F.lit(0.95), 0.4 + 0.11 * (f + s + c)), 4)
-
-
-BLOCKED_HOSTS = ["facebook.com", "instagram.com", "twitter.com", "x.com", "linkedin.com", "wikipedia.org", "youtube.com", "reddit.com"]
-TIER2_HOSTS = ["wixsite.com", "weebly.com", "wordpress.com", "squarespace.com", "google.com", "blogspot.com"]
-
-
-def trust_tier(url: Column, source_host: Column) -> Column:
-    """[D24] blocked, tier2, tier1 or unknown."""
-    family = S.host_family(url)
-    return F.when(family.isin(BLOCKED_HOSTS), "blocked").when(family.isin(TIER2_HOSTS), "tier2").when(S.url_host(url).endswith(".edu") | (S.url_host(url) == source_host), "tier1").otherwise("unknown")
-
-
-def website_score(url: Column, source_host: Column, mentions: Column) -> Column:
-    """[D24]"""
-    tier = trust_tier(url, source_host)
-    base = F.when(tier == "blocked", 0.0).when(tier == "tier1", 0.8).when(tier == "tier2", 0.6).otherwise(0.5)
-    return F.round(F.when(tier == "blocked", 0.0).otherwise(F.least(F.lit(0.99), base + 0.05 * F.least(mentions, F.lit(3)))), 4)
-
-
-def discovery_score(url: Column, title: Column, snippet: Column, name: Column, rank: Column) -> Column:
-    """[D15]"""
-    text, path = F.lower(F.concat_ws(" ", title, snippet)), F.lower(S.url_path(url))
-    host = S.url_host(url)
-    slug = F.replace(S.slugify(name), F.lit("-"), F.lit(""))
-    score = F.lit(0.2) + when_sum(
-        (text.contains(F.lower(name)), 0.25), (F.replace(host, F.lit("-"), F.lit("")).contains(slug), 0.25), (path.rlike("chapter|directory|locator|find"), 0.15), (host.rlike(r"\.org$"), 0.05), (host.rlike(r"\.edu$"), -0.1),
-        (text.contains("official"), 0.05), (text.contains("national"), 0.04), (path.rlike("news|blog|event"), -0.15), (S.host_family(url).isin(BLOCKED_HOSTS), -0.6), (text.contains("wikipedia"), -0.2), (text.rlike("sorority|fraternity"), 0.05),
-    )
-    return F.round(clamp(score + F.greatest(F.lit(0.0), 0.05 - 0.01 * rank), 0.0, 0.99), 4)
-
-
-def source_identity(phrase: Column, slug_match: Column, host_tokens: Column, directory: Column, context: Column, root: Column, generic: Column, blocked: Column, conflict: Column) -> Column:
-    """[D16] struct of decision and score."""
-    score = 0.18 + when_sum((phrase, 0.3), (slug_match, 0.18), (host_tokens >= 2, 0.14), (host_tokens == 1, 0.08), (directory, 0.16), (context >= 2, 0.12), (context == 1, 0.06), (root, -0.05), (generic, -0.18))
-    score = F.round(clamp(score), 4)
-    return F.struct(F.when(blocked, "blocked").when(conflict, "conflict").when(score >= 0.72, "match").when(score >= 0.48, "weak").otherwise("reject").alias("decision"), F.when(blocked | conflict, 0.0).otherwise(score).alias("score"))
+    while True:
+        first = free.withColumn("r", F.row_number().over(best)).where("r = 1").groupBy("handle").agg(F.min(F.struct("chapter_id", "score")).alias("x"))
+        picks = _kept(first.select("x.chapter_id", "handle", "x.score"))
+        if picks.isEmpty():
+            return settled
+        settled = settled.unionByName(picks)
+        free = _kept(free.join(picks.select("chapter_id"), "chapter_id", "left_anti").join(picks.select("handle"), "handle", "left_anti").select("chapter_id", "handle", "score"))
 
 
 def official_domain(identity: Column, slug: Column, chapter_hits: Column, school_hits: Column, affiliation_hits: Column, specific: Column, edu: Column, directory: Column, generic: Column, rejected: Column) -> Column:
@@ -400,29 +379,37 @@ def roster_conclusive(tier: Column, currentness: Column, completeness: Column, z
     return (tier <= 2) & (currentness >= 0.70) & (completeness >= 0.85) & (zones >= 1) & (greek_hits >= 5) & recognition
 
 
-def national_capability(text: Column) -> Column:
-    """[D34] What a national directory tells: all statuses, active ones only, or none."""
-    low = F.lower(text)
-    return F.when(low.rlike("inactive|dormant|closed") & low.contains("active"), "all_status").when(low.rlike("active chapters|collegiate chapters"), "active_only").otherwise("unknown")
+def national_capability(url: Column, title: Column, text: Column) -> Column:
+    """[D34] What a national directory tells of its chapters' statuses. Of the text, 8,000 characters are its head."""
+    low = F.trim(F.regexp_replace(F.lower(F.concat_ws(" ", url, title, F.substring(text, 1, 8000))), r"\s+", " "))
+    any_of = lambda *words: F.exists(F.array(*map(F.lit, words)), low.contains)
+    return (
+        F.when(any_of("dormant chapters", "active chapters and colonies"), "active_dormant_split")
+        .when(low.contains("active") & low.contains("inactive"), "all_status")
+        .when(any_of("map", "locator", "chapter map") & (F.regexp_count(low, F.lit("chapter")) < 5), "map_with_status_filter")
+        .when(any_of("history", "historical", "chapter roll", "archives"), "history_roll")
+        .when(any_of("don t see a chapter at your school", "bring", "start a chapter", "our chapters", "chapter directory"), "active_only")
+        .otherwise("unknown")
+    )
 
 
 def alias_matches(zones: DataFrame, aliases: DataFrame) -> DataFrame:
-    """[J18] zone_id and alias rows where the zone's text holds the alias's words in order.
+    """[J18] zone_id and alias rows where the zone's text holds the alias's words in order, however many they are.
 
-    zones: zone_id, text; aliases: fraternity_id, alias. Instead of comparing all with all, the zones' runs of up to
-    four words are exploded and joined with the aliases by equality.
+    zones: zone_id, text; aliases: fraternity_id, alias. Instead of comparing all with all, words that begin an alias are
+    joined with the lengths of the aliases that they begin, then the runs of those lengths with the aliases.
     """
-    words = F.split(F.trim(F.regexp_replace(F.lower(S.greek_names("text")), "[^a-z0-9]+", " ")), " ")
-    z = zones.select("zone_id", words.alias("w"))
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("w"), F.lit(1))), lambda i: F.array_join(F.slice("w", i, n), " "))))
-    keys = z.select("zone_id", F.explode(F.array_distinct(runs)).alias("key"))
-    a = aliases.select("fraternity_id", "alias", F.trim(F.regexp_replace(F.lower(S.greek_names("alias")), "[^a-z0-9]+", " ")).alias("key")).where("key <> ''")
+    plain = lambda c: F.trim(F.regexp_replace(F.lower(S.greek_names(c)), "[^a-z0-9]+", " "))
+    a = aliases.select("fraternity_id", "alias", plain("alias").alias("key")).where("key <> ''")
+    firsts = a.select(F.split("key", " ").alias("w")).select(F.col("w")[0].alias("first"), F.size("w").alias("n")).groupBy("first").agg(F.collect_set("n").alias("lengths"))
+    words = zones.select("zone_id", F.split(plain("text"), " ").alias("w"))
+    longest = firsts.agg(F.max(F.array_max("lengths"))).first()[0] or 1
+    starts = words.select("zone_id", F.explode(F.transform("w", lambda x, i: F.struct(x.alias("first"), F.slice(F.col("w"), i + 1, F.lit(longest)).alias("run")))).alias("x")).select("zone_id", "x.*")
+    runs = starts.join(firsts, "first").select("zone_id", "run", F.explode("lengths").alias("n")).where(F.size("run") >= F.col("n"))
+    keys = runs.select("zone_id", F.array_join(F.slice("run", F.lit(1), F.col("n")), " ").alias("key")).distinct()
     return keys.join(a, "key").select("zone_id", "fraternity_id", "alias").distinct()
 
 
-# Records and jobs ----------------------------------------------------------------------------------------------------
-
-
 def validity(name: Column, school: Column, signals: Column, greek: Column) -> Column:
     """[D35] canonical_valid, repairable_candidate, provisional_candidate or invalid_non_chapter."""
     junk = S.invalid_reason(name, school, F.lit("")).isNotNull() & ~((F.size(greek) > 0) & S.looks_like_person(name))
@@ -484,11 +471,6 @@ def job_outcome(found: Column, confidence: Column, threshold: Column, attempts:
     return F.struct(action.alias("action"), F.when(action == "requeue", (F.lit(base_s) * F.pow(F.lit(2.0), F.greatest(attempts - 1, F.lit(0)))).cast("long")).otherwise(F.lit(0).cast("long")).alias("backoff_s"))
 
 
-def promotion(has_school: Column, validity_class: Column, evidence: Column, confidence: Column) -> Column:
-    """[D39]"""
-    return F.when(validity_class == "invalid_non_chapter", "rejected").when(has_school & (evidence >= 1) & (confidence >= 0.8), "promoted").when(has_school & (evidence >= 2), "promoted").otherwise("provisional")
-
-
 def benchmark_alerts(runs: DataFrame) -> DataFrame:
     """[D40] Alerts of runs: id, mismatch_rate, checks (an array of struct name, passed)."""
     failed = F.transform(F.filter("checks", lambda c: ~c["passed"]), lambda c: F.struct(F.concat(F.lit("gate:"), c["name"]).alias("kind"), F.lit("warning").alias("severity")))
@@ -531,7 +513,7 @@ def low_signal_queries(results: DataFrame, low_hosts: list[str]) -> DataFrame:
 def smoke_flags(results: DataFrame) -> DataFrame:
     """Flags of each query's results (query, url, score): official, national, accepted, review, unsafe."""
     edu, org = S.url_host("url").endswith(".edu"), S.url_host("url").endswith(".org")
-    unsafe = S.on_hosts(S.url_host("url"), BLOCKED_HOSTS)
+    unsafe = S.on_hosts(S.url_host("url"), BLOCKED_SOURCE_HOSTS)
     return results.groupBy("query").agg(F.bool_or(edu).alias("official"), F.bool_or(org).alias("national"), F.bool_or(F.col("score") >= 0.8).alias("accepted"), F.bool_or(F.col("score").between(0.5, 0.8)).alias("review"), F.bool_or(unsafe).alias("unsafe"))
 
 
@@ -587,5 +569,5 @@ def sweep(candidates: DataFrame, identities: DataFrame, taken: DataFrame) -> Dat
 
 def best_source(candidates: DataFrame) -> DataFrame:
     """[D56, K08] The best source of each fraternity: quality of its URL, then health, then slug."""
-    order = Window.partitionBy("fraternity_id").orderBy(S.source_quality("url").desc(), F.col("health").desc_nulls_last(), F.col("slug").desc())
+    order = Window.partitionBy("fraternity_id").orderBy(source_quality(F.col("url"))["score"].desc(), F.col("health").desc_nulls_last(), F.col("slug").desc())
     return candidates.withColumn("r", F.row_number().over(order)).where("r = 1").drop("r")

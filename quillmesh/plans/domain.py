@@ -89,11 +89,6 @@ def insert_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.absent_only(jobs, new, ["chapter_id", "field_name"])
 
 
-def exclusive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = relation(spark, sf_dir, "chapters").where("instagram_url is not null").select(F.col("id").alias("chapter_id"), S.instagram_handle("instagram_url").alias("handle"), F.lit(0.9).alias("score"))
-    return D.exclusive_best(c, 2)
-
-
 def review(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = relation(spark, sf_dir, "review_items").select("id", "status")
     return M.transitioned(items, items.select("id", F.when(F.col("id") % 2 == 0, "resolved").otherwise("ignored").alias("to")))[0]
@@ -128,20 +123,19 @@ def statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     zones = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("zone_id"), "text")
-    names = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("fraternity_id"), F.array_join(F.slice(F.split(F.lower(F.regexp_replace("text", "[^A-Za-z0-9]+", " ")), " "), 1, 3), " ").alias("alias"))
-    return D.alias_matches(zones, names).groupBy("fraternity_id").agg(F.count("*").alias("zones"))
+    whole = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("fraternity_id"), F.col("text").alias("alias"))
+    names = whole.unionByName(whole.withColumn("alias", F.split("alias", r"\.")[0]))
+    return D.alias_matches(zones, names.distinct()).groupBy("fraternity_id", "alias").agg(F.count("*").alias("zones"))
 
 
 QUERIES: dict[str, Query] = {
     "c01_slug_variants": _on("chapters", lambda d: d.select("id", S.slugify("university").alias("slug"), S.school_slug("university").alias("school_slug"), S.school_slug_edges("university").alias("edge_slug"), S.compact_key_quirk("university").alias("quirk"), S.compact_key("university").alias("compact"))),
-    "c05_states": _on("chapters", lambda d: d.select("id", S.state_code("state").alias("state"), S.state_code_strict(F.concat(F.col("state"), F.lit("-"))).alias("strict"))),
     "c07_canonical_urls": _table_on("pages", lambda d: d.select("page_id", S.canonical_url("url").alias("canonical"), S.host_family("url").alias("family"))),
     "c10_route_classes": _table_on("pages", lambda d: d.select("page_id", S.route_class(S.url_path("url")).alias("route"))),
     "c12_contacts": _on("chapters", lambda d: d.select("id", S.as_website("website_url").alias("website"), S.as_email("contact_email").alias("email"), S.as_instagram("instagram_url").alias("instagram"), S.instagram_kind("instagram_url").alias("kind"), S.instagram_handle("instagram_url").alias("handle"))),
     "c18_emails_in_texts": _table_on("documents", lambda d: d.select("doc_id", F.explode(S.emails_in("text")).alias("email"))),
     "c24_richness": _on("chapters", lambda d: d.select("id", S.richness("website_url", "instagram_url", "contact_email", "state").alias("richness"), S.field_state("website_url", F.lit(0.7)).alias("website_state"), S.confidence_tier(F.col("score") / 10000).alias("tier"))),
     "c34_keyword_scores": _table_on("pages", lambda d: d.select("page_id", S.keyword_score("url").alias("score"))),
-    "c38_source_quality": _table_on("pages", lambda d: d.select("page_id", S.source_quality("url").alias("score"))),
     "c40_json_guarded_sum": _table_on("events", lambda d: d.groupBy("event_type").agg(F.sum(S.json_number("props", "$.k")).alias("total"), F.count(S.json_number("props", "$.none")).alias("missing"))),
     "d01_page_profiles": _pages(lambda d: d.select("page_id", H.profile().alias("p")).select("page_id", "p.*")),
     "d02_source_classes": _pages(lambda d: d.select("page_id", H.profile().alias("p")).select("page_id", D.source_class(F.col("p")).alias("c")).select("page_id", "c.*")),
@@ -152,7 +146,6 @@ QUERIES: dict[str, Query] = {
     "d12_terminal_rewards": _on("crawl_runs", terminal),
     "d13_stop_reasons": _on("observations", stops),
     "d14_policy_replay": policy,
-    "d27_exclusive_handles": exclusive,
     "d30_status_zones": _pages(H.status_zones),
     "d32_chapter_status": statuses,
     "d36_normalized": lambda spark, sf_dir: D.normalized_records(records(spark, sf_dir))[0],
@@ -177,7 +170,9 @@ QUERIES: dict[str, Query] = {
 SLUG = "regexp_replace(regexp_replace(lower(trim({0})), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
 _SQL: dict[str, str] = {
     "c01_slug_variants": f"select id, {SLUG.format('university')} as slug, regexp_replace(regexp_replace(lower(trim(university)), '[^\\p{{L}}\\p{{N}}]+', '-', 'g'), '^-+|-+$', '', 'g') as school_slug, regexp_replace(lower(university), '[^a-z0-9]+', '-', 'g') as edge_slug, lower(regexp_replace(university, '[^a-z0-9]+', '', 'g')) as quirk, regexp_replace(lower(university), '[^a-z0-9]+', '', 'g') as compact from chapters",
-    "c05_states": "select id, state, state as strict from chapters",
+    "j18_alias_zones": """with b as (select item_id as fraternity_id, text as alias from {benchmark}), a as (select * from b union select fraternity_id, split_part(alias, '.', 1) from b),
+        k as (select *, trim(regexp_replace(lower(alias), '[^a-z0-9]+', ' ', 'g')) as key from a), z as (select doc_id, ' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) || ' ' as t from {documents})
+        select fraternity_id, alias, count(*) as zones from k join z on key <> '' and contains(t, ' ' || key || ' ') group by 1, 2""",
     "c07_canonical_urls": r"""with u as (select page_id, url, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\-]*)://', 1)) as scheme, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)', 1)) as host, regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)', 1), '/+$', '') as path,
         list_filter(string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&'), lambda p: p <> '' and not starts_with(lower(p), 'utm_') and lower(split_part(p, '=', 1)) not in ('fbclid','gclid','mc_cid','mc_eid','mkt_tok','igshid','ref','ref_src','ref_url','source')) as q from {pages})
         select page_id, scheme || '://' || host || case when path = '' then '/' else path end || case when len(q) = 0 then '' else '?' || array_to_string(q, '&') end as canonical, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') as family from u""",

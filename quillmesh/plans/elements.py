@@ -40,31 +40,11 @@ def signatures(d: DataFrame) -> DataFrame:
     return d.select("id", S.structural_signature(F.lit("directory"), v % 5, v % 6, v * 3, F.lit("https://example.edu/"), v % 2 == 0, v % 3 == 0, v % 7 == 0).alias("signature"))
 
 
-def places(d: DataFrame) -> DataFrame:
-    one, two = S.city_state(F.concat_ws(", ", "university", "state")), S.locator_city_state(F.concat_ws(", ", "name", F.lit("mid"), "state"))
-    return d.select("id", one["city"].alias("city"), one["state"].alias("state"), two["city"].alias("first"), two["state"].alias("last"))
-
-
-def headings(d: DataFrame) -> DataFrame:
-    x = S.heading_parts(F.concat("name", F.lit(" ("), "university", F.lit(")")))
-    return d.select("id", x["name"].alias("name"), x["school"].alias("school"))
-
-
-def descriptions(d: DataFrame) -> DataFrame:
-    x = S.described(F.concat(F.lit("City: "), "name", F.lit("<br>State: <b>"), F.coalesce("state", F.lit("none")), F.lit("</b><br/>none")))
-    return d.select("id", F.try_element_at(x, F.lit("city")).alias("city"), F.try_element_at(x, F.lit("state")).alias("state"), F.size(x).alias("n"))
-
-
 def candidates(d: DataFrame) -> DataFrame:
     raw = _by(3, F.col("website_url"), F.concat(F.lit("mailto:"), "contact_email"), F.concat(F.lit("@c"), F.col("id").cast("string"), F.lit("_x")))
     return d.select("id", raw.alias("raw")).withColumn("x", S.as_candidate("raw", "website")).select("id", "x.kind", "x.value", "x.coerced")
 
 
-def greek(d: DataFrame) -> DataFrame:
-    text = F.concat(F.lit("the "), _by(2, "Alpha Beta Gamma", "Alpha"), F.lit(" of "), "name")
-    return d.select("id", F.size(S.greek_phrases(text)).alias("phrases"), S.org_density(text).alias("density"))
-
-
 def targets(d: DataFrame) -> DataFrame:
     x = S.target_class(F.lit("https://c1.example.edu/x"), F.coalesce("website_url", "instagram_url"))
     return d.select("id", x["target"].alias("target"), x["follow_allowed"].alias("follow_allowed"))
@@ -84,25 +64,12 @@ QUERIES: dict[str, Query] = {
     "c09_signatures": _on("templates", signatures),
     "c11_without_host": _on("templates", lambda d: d.select("id", S.without_host(F.concat(F.lit("example.org|"), "signature")).alias("a"), S.without_host(F.concat(F.lit("role|"), "signature")).alias("b"))),
     "c15_candidates": _on("chapters", candidates),
-    "c17_deobfuscated": _on("chapters", lambda d: d.select("id", S.deobfuscated(F.replace(F.replace("contact_email", F.lit("@"), F.lit(" (at) ")), F.lit("."), F.lit(" [dot] "))).alias("email"))),
-    "c19_places": _on("chapters", places),
-    "c21_headings": _on("chapters", headings),
-    "c22_calm_titles": _on("chapters", lambda d: d.select("id", S.calm_title(F.upper("university")).alias("calm"), S.calm_title("name").alias("kept"))),
-    "c23_addresses": _on("chapters", lambda d: d.select("id", S.looks_like_address(_by(3, F.concat(F.col("id").cast("string"), F.lit(" Main Street")), "P.O. Box 12", F.col("name"))).alias("address"))),
-    "c25_descriptions": _on("chapters", descriptions),
     "c26_first_filled": _on("chapters", lambda d: d.select("id", S.first_filled("website_url", F.lit(" "), "contact_email", "instagram_url").alias("contact"))),
     "c27_initials": _on("chapters", lambda d: d.select("id", S.initials(F.concat(F.lit("University of the "), F.coalesce("university", F.lit("East")))).alias("initials"))),
-    "c29_greek_phrases": _on("chapters", greek),
-    "c30_people": _on("chapters", lambda d: d.select("id", S.looks_like_person(_by(3, "John Smith", "Alpha Smith", F.col("name"))).alias("person"))),
-    "c31_schools": _on("chapters", lambda d: d.select("id", S.school_in(_by(3, "to the University of Texas, then", "now at Rice University in town", F.coalesce("university", F.lit("")))).alias("school"))),
-    "c32_signals": _on("chapters", lambda d: d.select("id", S.institution_signals(_by(4, "Rice University", "blue lakes", "1999", "west region")).alias("signals"))),
     "c36_rendered": _on("chapters", lambda d: d.select("id", S.rendered(F.lit("Hi {name}, {state}{nobody}!"), {"name": F.col("name"), "state": F.col("state")}).alias("text"))),
     "c39_ratios": _on("crawl_runs", lambda d: d.select("id", S.safe_ratio("records", F.col("pages") - 100).alias("ratio"))),
     "c41_buckets": _on("review_items", lambda d: d.select("id", S.context_bucket(F.col("reason"), F.col("status"), F.col("turn") % 2 == 0, F.col("turn") % 3).alias("bucket"))),
-    "d24_trust_tiers": _on("chapters", lambda d: d.select("id", D.trust_tier(F.col("website_url"), F.lit("c1.example.edu")).alias("tier"))),
-    "d26_resolutions": _on("chapters", lambda d: d.select("id", D.resolution(F.col("id") % 100 / 100.0, F.lit("other")).alias("resolution"))),
     "d33_conclusive_rosters": _on("chapters", conclusive),
-    "d34_capabilities": _texts(lambda d: d.select("doc_id", D.national_capability(F.col("text")).alias("capability"))),
     "d42_specificity": _on("chapters", lambda d: d.select("id", S.contact_specificity(_by(5, "chapter_site", "school_affiliation_page", "nationals_chapter_page", "nationals_generic", "elsewhere")).alias("specificity"))),
     "f16_invalid_reasons": _on("chapters", lambda d: d.select("id", S.invalid_reason(_by(5, "1999", "Home", "Rank 5", "Alpha Award", F.col("name")), F.lit("Rice"), F.lit("")).alias("reason"))),
     "f18_blocked_hosts": _on("chapters", lambda d: d.select("id", S.on_hosts(S.url_host("website_url"), ["example.edu"]).alias("inside"), S.on_hosts(S.url_host("website_url"), ["ample.edu"]).alias("beside"))),
@@ -121,25 +88,12 @@ _SQL: dict[str, str] = {
     "c11_without_host": "select id, signature as a, 'role|' || signature as b from templates",
     "c15_candidates": """with x as (select id, case id % 3 when 0 then website_url when 1 then contact_email else 'https://www.instagram.com/c' || id || '_x' end as value from chapters)
         select id, case when value is not null then case id % 3 when 0 then 'website' when 1 then 'email' else 'instagram' end end as kind, value, case when value is not null then id % 3 <> 0 end as coerced from x""",
-    "c17_deobfuscated": "select id, contact_email as email from chapters",
-    "c19_places": """select id, coalesce(university, state) as city, case when university is not null then state end as state, name as first, coalesce(state, 'mid') as last from chapters""",
-    "c21_headings": "select id, case when university is not null then name end as name, university as school from chapters",
-    "c22_calm_titles": "select id, university as calm, name as kept from chapters",
-    "c23_addresses": "select id, id % 3 < 2 as address from chapters",
-    "c25_descriptions": "select id, name as city, coalesce(state, 'none') as state, 2 as n from chapters",
     "c26_first_filled": "select id, coalesce(website_url, contact_email, instagram_url) as contact from chapters",
     "c27_initials": "select id, case when university is null then 'ue' else 'us' || substr(split_part(university, ' ', 2), 1, 1) end as initials from chapters",
-    "c29_greek_phrases": "select id, case when id % 2 = 0 then 1 else 0 end as phrases, case when id % 2 = 0 then 0.58e0 else 0.28e0 end as density from chapters",
-    "c30_people": "select id, id % 3 = 0 as person from chapters",
-    "c31_schools": "select id, case id % 3 when 0 then 'University of Texas' when 1 then 'Rice University' end as school from chapters",
-    "c32_signals": "select id, case id % 4 when 0 then 2 when 1 then 1 else 0 end as signals from chapters",
     "c36_rendered": "select id, concat('Hi ', name, ', ', coalesce(state, ''), '!') as text from chapters",
     "c39_ratios": "select id, case when pages > 100 then records / cast(pages - 100 as double) else 0e0 end as ratio from crawl_runs",
     "c41_buckets": "select id, concat_ws(':', reason, status, case when turn % 2 = 0 then 'map' else 'nomap' end, case when turn % 3 > 0 then 'table' else 'notable' end) as bucket from review_items",
-    "d24_trust_tiers": "select id, case when website_url is null then 'unknown' else 'tier1' end as tier from chapters",
-    "d26_resolutions": "select id, case when id % 100 >= 90 then 'write' when id % 100 >= 82 then 'review' else 'reject' end as resolution from chapters",
     "d33_conclusive_rosters": "select id, id % 4 <= 2 and id % 10 >= 7 and id % 3 >= 1 and id % 13 >= 5 and id % 2 = 0 as conclusive from chapters",
-    "d34_capabilities": "select doc_id, case when regexp_matches(lower(text), 'inactive|dormant|closed') and contains(lower(text), 'active') then 'all_status' when regexp_matches(lower(text), 'active chapters|collegiate chapters') then 'active_only' else 'unknown' end as capability from {documents}",
     "d42_specificity": "select id, case id % 5 when 0 then 'chapter_specific' when 1 then 'school_specific' when 2 then 'national_specific_to_chapter' when 3 then 'national_generic' else 'ambiguous' end as specificity from chapters",
     "f16_invalid_reasons": "select id, case id % 5 when 0 then 'year_or_percentage' when 1 then 'navigation_noise' when 2 then 'ranking_row' when 3 then 'award_row' end as reason from chapters",
     "f18_blocked_hosts": "select id, website_url is not null as inside, false as beside from chapters",

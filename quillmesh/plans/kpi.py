@@ -138,11 +138,13 @@ SQL: dict[str, str] = {
     "j12_double_aggregate_join": "select o.session_id, o.n as observations, coalesce(r.n, 0) as delayed from (select session_id, count(*) as n from observations group by 1) o left join (select session_id, count(*) as n from rewards where reward_stage = 'delayed' group by 1) r on r.session_id = o.session_id",
     "j13_donor_fill": "with d as (select fraternity_id, university, min(instagram_url) as donor from chapters where instagram_url is not null and university is not null group by 1, 2 having count(distinct instagram_url) = 1) select c.id, d.donor from chapters c join d on d.fraternity_id = c.fraternity_id and d.university = c.university where c.instagram_url is null",
     "j14_source_coverage": f"select s.slug, {COVERAGE} from sources s join chapters c on c.fraternity_id = s.fraternity_id group by s.slug",
-    "j15_handle_assignments": "select c.id, count(o.id) as others from chapters c left join chapters o on o.instagram_url = c.instagram_url and o.id <> c.id where c.instagram_url is not null group by c.id",
+    "j15_handle_assignments": "select c.id, h.n - 1 as others from chapters c join (select instagram_url, count(*) as n from chapters where instagram_url is not null group by 1) h on h.instagram_url = c.instagram_url",
     "j16_replay_join": "with o as (select selected_action as action, count(*) as n from observations group by 1), r as (select action_type as action, sum(reward_value) as reward from rewards where reward_stage <> 'immediate' group by 1) select o.action, o.n, coalesce(r.reward, 0) as reward from o left join r on r.action = o.action",
     "j17_snapshot_diff": "with a as (select selected_action as k, count(*) as n from observations where session_id % 2 = 0 group by 1), b as (select selected_action as k, count(*) as n from observations where outcome = 'records' group by 1) select coalesce(a.k, b.k) as action, coalesce(a.n, 0) as before_n, coalesce(b.n, 0) as after_n, coalesce(b.n, 0) - coalesce(a.n, 0) as delta from a full outer join b on a.k = b.k",
     "j19_decision_window": "select o.id, j.status from observations o join rewards r on r.id = o.id and r.created_at between o.created_at - interval '1' hour and o.created_at + interval '1' hour left join field_jobs j on j.id = o.id",
-    "j20_nearest_baseline": "select id, base from (select r.id, b.id as base, row_number() over (partition by r.id order by b.started_at desc, b.id desc) as rn from (select * from crawl_runs where status = 'failed') r join crawl_runs b on b.source_id = r.source_id and b.session_id = r.session_id and b.status = 'succeeded' and b.started_at < r.started_at) x where rn = 1",
+    "j20_nearest_baseline": """with d as (select source_id, session_id, started_at, max(case when status = 'succeeded' then id end) as s from crawl_runs group by 1, 2, 3),
+        w as (select source_id, session_id, started_at, max(cast(started_at as varchar(30)) || '|' || cast(s as varchar(20))) over (partition by source_id, session_id order by started_at rows between unbounded preceding and 1 preceding) as latest from d)
+        select r.id, cast(split_part(w.latest, '|', 2) as bigint) as base from crawl_runs r join w on w.source_id = r.source_id and w.session_id = r.session_id and w.started_at = r.started_at where r.status = 'failed' and w.latest is not null""",
     "j21_tiered_lookup": "select chapter_id, field_value from (select chapter_id, field_value, row_number() over (partition by chapter_id order by tier, case when reason_code is null then 1 else 0 end, created_at desc nulls last, id desc) as rn from (select *, case when reason_code = 'accepted' then 0 else 1 end as tier from evidence) t) x where rn = 1",
     "j22_transient_probe": "select c.id, exists (select 1 from field_jobs j where j.chapter_id = c.id and (j.blocked_reason ilike '%network%' or j.attempts >= 3)) as transient from chapters c",
     "j23_provenance_context": "select chapter_id, source_id, field_name, confidence from (select *, row_number() over (partition by chapter_id order by created_at desc nulls last, id desc) as rn from evidence) x where rn = 1",
@@ -194,3 +196,9 @@ SQL: dict[str, str] = {
 }
 #: DuckDB replaces the first match unless told otherwise.
 DUCK_GLOBAL, SPARK_GLOBAL = ", 'g'", ""
+
+#: The plain joins that stand for reports whose plan avoids them: what they are checked against.
+PLAIN: dict[str, str] = {
+    "j15_handle_assignments": "select c.id, count(o.id) as others from chapters c left join chapters o on o.instagram_url = c.instagram_url and o.id <> c.id where c.instagram_url is not null group by c.id",
+    "j20_nearest_baseline": "select id, base from (select r.id, b.id as base, row_number() over (partition by r.id order by b.started_at desc, b.id desc) as rn from (select * from crawl_runs where status = 'failed') r join crawl_runs b on b.source_id = r.source_id and b.session_id = r.session_id and b.status = 'succeeded' and b.started_at < r.started_at) x where rn = 1",
+}

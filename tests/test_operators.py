@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,9 +75,45 @@ def test_alias_join(spark):
     assert sorted((r["zone_id"], r["fraternity_id"]) for r in D.alias_matches(z, a).collect()) == [(1, 1), (1, 2)]
 
 
+def test_alias_join_takes_whole_aliases_of_any_length(spark):
+    rng = random.Random(4)
+    words = ["alpha", "beta", "gamma"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 25))) for _ in range(60)]
+    aliases = sorted({" ".join(rng.choice(words) for _ in range(n)) for n in (1, 2, 3, 5, 6, 7, 9) for _ in range(4)})
+    z = spark.createDataFrame([*enumerate(texts), (99, None)], "zone_id long, text string")
+    a = spark.createDataFrame([*enumerate(aliases), (99, " ")], "fraternity_id long, alias string")
+    got = sorted((r["zone_id"], r["fraternity_id"]) for r in D.alias_matches(z, a).collect())
+    assert got == sorted((i, k) for i, t in enumerate(texts) for k, x in enumerate(aliases) if f" {x} " in f" {t} ")
+
+
+def exclusive(rows):
+    """Chapters take their best free handle, the lowest id first, until nobody takes one."""
+    settled, free = {}, dict(sorted(rows.items()))
+    while free:
+        wants = {}
+        for (c, h), s in free.items():
+            if c not in wants or (-s, h) < (-wants[c][1], wants[c][0]):
+                wants[c] = (h, s)
+        taken = {}
+        for c, (h, _) in wants.items():
+            taken[h] = min(c, taken.get(h, c))
+        settled |= {c: h for h, c in taken.items()}
+        free = {(c, h): s for (c, h), s in free.items() if c not in settled and h not in taken}
+    return settled
+
+
+def test_exclusive_best_goes_on_until_nobody_is_left(spark):
+    rng = random.Random(5)
+    rows = {(rng.randint(0, 30), f"h{rng.randint(0, 12)}"): rng.randint(0, 4) / 4 for _ in range(150)}
+    rows |= {(100 + k, "hot"): 1.0 for k in range(20)} | {(100 + k, f"h{k}x"): 0.5 for k in range(20)}
+    c = spark.createDataFrame([(*k, s) for k, s in rows.items()], "chapter_id long, handle string, score double")
+    assert {r["chapter_id"]: r["handle"] for r in D.exclusive_best(c).collect()} == exclusive(rows)
+    assert D.exclusive_best(c.limit(0)).count() == 0
+
+
 def test_exclusive_best(spark):
     c = spark.createDataFrame([(1, "h", 0.9), (2, "h", 0.95), (2, "g", 0.5)], "chapter_id long, handle string, score double")
-    assert {(r["chapter_id"], r["handle"]) for r in D.exclusive_best(c, 3).collect()} == {(1, "h"), (2, "g")}
+    assert {(r["chapter_id"], r["handle"]) for r in D.exclusive_best(c).collect()} == {(1, "h"), (2, "g")}
 
 
 def test_merge_rules_and_snapshots(spark, tmp_path):
