@@ -172,10 +172,10 @@ def pack(pieces: DataFrame, size: int = SEQUENCE, open_bins: int = OPEN_BINS, bl
         if held:
             yield from placed(held)
 
-    dealt = F.xxhash64("doc_id", "piece")
+    dealt = F.xxhash64(*names)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
     return (
-        pieces.repartition("doc_id", "piece")
+        pieces.repartition(*names)  # so that rows of one id, or of none, are spread
         .sortWithinPartitions(dealt, *names)
         .mapInArrow(task, f"{schema}, sequence_id long, offset long")
     )
