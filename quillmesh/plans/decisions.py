@@ -106,6 +106,11 @@ def resolutions(d: DataFrame) -> DataFrame:
     return d.select("id", source.alias("source")).select("id", "source", D.resolution(F.lit(0.8) + F.col("id") % 20 / 100.0, F.col("source")).alias("resolution"))
 
 
+def source_types(d: DataFrame) -> DataFrame:
+    source = C.source_type(*(F.col(c) for c in ("named", "specificity", "scope", "url", "provider", "query")))
+    return d.groupBy(source.alias("canonical")).agg(F.count("*").alias("n"))
+
+
 def exclusive(d: DataFrame) -> DataFrame:
     c = d.select((F.col("id") % 40).alias("chapter_id"), (F.col("id") % 23).cast("string").alias("handle"), (F.col("id") % 17 / 17.0).alias("score"))
     return D.exclusive_best(c).select("chapter_id", "handle", F.round("score", 9).alias("score"))
@@ -122,6 +127,7 @@ QUERIES: dict[str, Query] = {
     "d27_exclusive_handles": _on(FOUND, exclusive),
     "d34_capabilities": _on(FOUND, lambda d: d.select("id", D.national_capability(F.col("url"), F.concat_ws(" ", "title", F.when(F.col("id") % 4 == 0, "Active and inactive").when(F.col("id") % 17 == 1, "dormant chapters")), F.coalesce("snippet", F.lit(""))).alias("capability"))),
     "d39_promotions": _on(FOUND, promotions),
+    "f08_source_type": _on(TYPED, source_types),
 }
 
 # SQL ------------------------------------------------------------------------------------------------------------------
@@ -233,6 +239,7 @@ _SQL: dict[str, str] = {
     "d34_capabilities": f"""with x as (select id, trim(regexp_replace(lower(concat_ws(' ', url, concat_ws(' ', title, case when id % 4 = 0 then 'Active and inactive' when id % 17 = 1 then 'dormant chapters' end), coalesce(snippet, ''))), '\\s+', ' ', 'g')) as t from ({FOUND}) c)
         select id, case when contains(t, 'dormant chapters') or contains(t, 'active chapters and colonies') then 'active_dormant_split' when contains(t, 'active') and contains(t, 'inactive') then 'all_status' when regexp_matches(t, 'map|locator') and (len(t) - len(replace(t, 'chapter', ''))) // 7 < 5 then 'map_with_status_filter'
         when regexp_matches(t, 'history|historical|chapter roll|archives') then 'history_roll' when regexp_matches(t, 'don t see a chapter at your school|bring|start a chapter|our chapters|chapter directory') then 'active_only' else 'unknown' end as capability from x""",
+    "f08_source_type": f"{_SOURCE} select source as canonical, count(*) as n from s group by 1",
     "d39_promotions": f"select id, source_url is not null and school is not null and (id % 2 = 0 or official and id % 3 < 2) as promoted from ({_QUALITY}) x",
 }
 

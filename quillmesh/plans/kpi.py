@@ -132,7 +132,7 @@ SQL: dict[str, str] = {
     "j06_lateral_two": "select f.id, s.source_id, r.run_id from fraternities f left join (select fraternity_id, max(id) as source_id from sources where active group by fraternity_id) s on s.fraternity_id = f.id left join (select s.fraternity_id, max(r.id) as run_id from crawl_runs r join sources s on s.id = r.source_id group by 1) r on r.fraternity_id = f.id",
     "j07_latest_audit": "select chapter_id, id, status from (select *, row_number() over (partition by chapter_id order by turn desc, id desc) as rn from review_items) x where rn = 1",
     "j08_semi_scoped_jobs": "select j.id from field_jobs j where exists (select 1 from crawl_runs r join sources s on s.id = r.source_id where r.id = j.crawl_run_id and s.active)",
-    "j09_anti_sources": "select s.id, s.slug from sources s where not exists (select 1 from evidence e where e.source_id = s.id and e.confidence >= 0.10)",
+    "j09_anti_sources": "select s.id, s.slug from sources s where not exists (select 1 from evidence e where e.source_id = s.id and e.confidence >= 0.10 and e.weight >= 49)",
     "j10_semi_derived_key": "select c.id from chapters c where exists (select 1 from (select distinct regexp_replace(lower(university), '[^a-z0-9]+', '-'{g}) as k from chapters where chapter_status = 'inactive') x where x.k = regexp_replace(lower(c.university), '[^a-z0-9]+', '-'{g}))",
     "j11_preaggregated_join": "select r.id, coalesce(x.n, 0) as jobs from crawl_runs r left join (select crawl_run_id, count(*) as n from field_jobs group by 1) x on x.crawl_run_id = r.id",
     "j12_double_aggregate_join": "select o.session_id, o.n as observations, coalesce(r.n, 0) as delayed from (select session_id, count(*) as n from observations group by 1) o left join (select session_id, count(*) as n from rewards where reward_stage = 'delayed' group by 1) r on r.session_id = o.session_id",
@@ -157,7 +157,6 @@ SQL: dict[str, str] = {
     "f05_guarded_cast": "select reason, sum(coalesce(try_cast(case when turn % 2 = 0 then cast(size as varchar(20)) else 'n/a' end as int), 0)) as total from review_items group by reason",
     "f06_blank_to_null": f"select {REASON} as reason, count(*) as n from field_jobs group by 1",
     "f07_membership": "select id from field_jobs where field_name in ('find_email', 'find_website') and status not in ('done', 'failed')",
-    "f08_source_type": "select case when source_type = 'html_directory' then 'directory' when source_type = 'script_embedded' then 'script' when slug ilike '%#%1%' then 'numbered' else 'unsupported' end as canonical, count(*) as n from sources group by 1",
     "f09_queue_lanes": f"select {LANE} as lane, {LANE_STATE_FIRST} as lane_state_first, count(*) as n from field_jobs where {WAITING} group by 1, 2",
     "f10_age": f"select id, {AGE} as age_bucket from field_jobs",
     "f11_display_sanitizer": "select id, case when email_specificity = 'national_generic' then null else contact_email end as contact_email, case when instagram_specificity = 'national_generic' then null else instagram_url end as instagram_url from chapters",
