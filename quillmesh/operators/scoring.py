@@ -411,9 +411,10 @@ def alias_matches(zones: DataFrame, aliases: DataFrame) -> DataFrame:
 
 
 def validity(name: Column, school: Column, signals: Column, greek: Column) -> Column:
-    """[D35] canonical_valid, repairable_candidate, provisional_candidate or invalid_non_chapter."""
-    junk = S.invalid_reason(name, school, F.lit("")).isNotNull() & ~((F.size(greek) > 0) & S.looks_like_person(name))
-    return F.when(junk, "invalid_non_chapter").when(school.isNotNull() & ((F.size(greek) > 0) | (signals >= 1)), "canonical_valid").when(school.isNotNull(), "provisional_candidate").otherwise("repairable_candidate")
+    """[D35] canonical_valid, repairable_candidate, provisional_candidate or invalid_non_chapter (null names, too)."""
+    letters = F.coalesce(F.size(greek) > 0, F.lit(False))
+    junk = S.invalid_reason(name, school, F.lit("")).isNotNull() & ~(letters & F.coalesce(S.looks_like_person(name), F.lit(False)))
+    return F.when(junk, "invalid_non_chapter").when(school.isNotNull() & (letters | (signals >= 1)), "canonical_valid").when(school.isNotNull(), "provisional_candidate").otherwise("repairable_candidate")
 
 
 FIELDS = ["name", "university_name", "city", "state", "website_url", "instagram_url", "contact_email", "external_id"]

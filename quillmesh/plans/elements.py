@@ -71,7 +71,6 @@ QUERIES: dict[str, Query] = {
     "c41_buckets": _on("review_items", lambda d: d.select("id", S.context_bucket(F.col("reason"), F.col("status"), F.col("turn") % 2 == 0, F.col("turn") % 3).alias("bucket"))),
     "d33_conclusive_rosters": _on("chapters", conclusive),
     "d42_specificity": _on("chapters", lambda d: d.select("id", S.contact_specificity(_by(5, "chapter_site", "school_affiliation_page", "nationals_chapter_page", "nationals_generic", "elsewhere")).alias("specificity"))),
-    "f16_invalid_reasons": _on("chapters", lambda d: d.select("id", S.invalid_reason(_by(5, "1999", "Home", "Rank 5", "Alpha Award", F.col("name")), F.lit("Rice"), F.lit("")).alias("reason"))),
     "f18_blocked_hosts": _on("chapters", lambda d: d.select("id", S.on_hosts(S.url_host("website_url"), ["example.edu"]).alias("inside"), S.on_hosts(S.url_host("website_url"), ["ample.edu"]).alias("beside"))),
     "f21_target_classes": _on("chapters", targets),
     "s11_search_targets": _on("chapters", lambda d: d.select("id", S.search_target(F.concat(F.lit("https://duckduckgo.com/l/?x=1&uddg="), F.url_encode("website_url"))).alias("target"))),
@@ -95,7 +94,6 @@ _SQL: dict[str, str] = {
     "c41_buckets": "select id, concat_ws(':', reason, status, case when turn % 2 = 0 then 'map' else 'nomap' end, case when turn % 3 > 0 then 'table' else 'notable' end) as bucket from review_items",
     "d33_conclusive_rosters": "select id, id % 4 <= 2 and id % 10 >= 7 and id % 3 >= 1 and id % 13 >= 5 and id % 2 = 0 as conclusive from chapters",
     "d42_specificity": "select id, case id % 5 when 0 then 'chapter_specific' when 1 then 'school_specific' when 2 then 'national_specific_to_chapter' when 3 then 'national_generic' else 'ambiguous' end as specificity from chapters",
-    "f16_invalid_reasons": "select id, case id % 5 when 0 then 'year_or_percentage' when 1 then 'navigation_noise' when 2 then 'ranking_row' when 3 then 'award_row' end as reason from chapters",
     "f18_blocked_hosts": "select id, website_url is not null as inside, false as beside from chapters",
     "f21_target_classes": """select id, case when website_url is not null then case when id = 1 then 'national' else 'institutional' end when instagram_url is not null then 'social' else 'unknown' end as target, website_url is not null as follow_allowed from chapters""",
     "s11_search_targets": "select id, website_url as target from chapters",
