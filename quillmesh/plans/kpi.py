@@ -38,6 +38,16 @@ GOOD_EMAIL, GOOD_INSTAGRAM = f"(contact_email is not null and email_specificity
 COVERAGE = f"count(*) as chapters, {n('website_url is not null or instagram_url is not null or contact_email is not null', 'any_contact')}, {n('website_url is not null', 'with_website')}, {n('instagram_url is not null', 'with_instagram')}, {n('contact_email is not null', 'with_email')}, {n('website_url is not null and instagram_url is not null and contact_email is not null', 'all_three')}"
 CONSENSUS = "select lower(trim(university)) as school, min(state) as state, count(state) as known_rows, count(distinct state) as distinct_states from chapters where university is not null group by lower(trim(university))"
 
+#: [A55] A campaign item's scorecard: event sums, contacts beyond the baseline, six ratios.
+_CARD = (
+    "with e as (select job_id, sum(case when reason_code = 'accepted' then 1 else 0 end) as processed, sum(case when reason_code is null then 1 else 0 end) as requeued, sum(case when reason_code = 'rejected' then 1 else 0 end) as failed_terminal, sum(case when field_name = 'website_url' then 1 else 0 end) as websites, sum(case when field_name = 'contact_email' then 1 else 0 end) as emails, "
+    "sum(case when field_name = 'instagram_url' then 1 else 0 end) as instagrams, sum(case when field_name <> 'chapter_status' then 1 else 0 end) as any_, sum(case when source_id % 5 = 0 then 1 else 0 end) as three, count(*) as total from evidence group by 1), "
+    "b as (select r.id, r.source_id, r.status, r.records % 9 as chapters_discovered, r.pages % 12 as field_jobs_created, processed, requeued, failed_terminal, greatest(0, websites - r.id % 3) as websites_found, greatest(0, emails - r.id % 2) as emails_found, greatest(0, instagrams - r.id % 4) as instagrams_found, greatest(0, any_ - r.id % 5) as any_contact, greatest(0, three - r.id % 2) as all_three, "
+    "greatest(r.records % 9, greatest(0, total - r.id % 6), 1) as total_chapters, greatest(processed + requeued + failed_terminal, 1) as job_events from crawl_runs r join e on e.job_id = r.id) "
+    "select id, source_id, status, chapters_discovered, field_jobs_created, processed, requeued, failed_terminal, websites_found, emails_found, instagrams_found, any_contact, all_three, least(1e0, chapters_discovered * 1e0 / greatest(field_jobs_created, chapters_discovered, 1)) as source_native_yield, (websites_found + emails_found + instagrams_found) * 1e0 / job_events as search_efficiency, "
+    "any_contact * 1e0 / greatest(requeued, 1) as retry_efficiency, any_contact * 1e0 / total_chapters as confidence_quality, case status when 'succeeded' then 1e0 when 'running' then 65e-2 else 35e-2 end as provider_resilience, processed * 1e0 / job_events as queue_efficiency from b"
+)
+
 SQL: dict[str, str] = {
     # 2.4 aggregations
     "a01_accuracy_kpis": f"""with latest as ({LATEST}), enriched as (select c.*, coalesce(c.email_specificity, e.contact_specificity) as es, coalesce(c.instagram_specificity, i.contact_specificity) as isp, s.reason_code as status_source
@@ -94,7 +104,13 @@ SQL: dict[str, str] = {
         k as (select *, (c - 1) * 5e-1 as x from r) select provider, max(latency_ms) as p50 from k where i = case when x - floor(x) = 0.5 then case when cast(floor(x) as bigint) % 2 = 0 then floor(x) else floor(x) + 1 end else floor(x + 0.5) end group by provider""",
     "a34_kpi_slope": "with d as (select date_trunc('day', created_at) as day, avg(reward_value) as y from rewards group by 1), k as (select y, row_number() over (order by day) - 1 as x from d) select coalesce(regr_slope(y, x), 0e0) as slope from k",
     "a35_balanced_score": "select family, avg(cast(records as double)) / 10 - avg(cast(pages as double) / greatest(records, 1)) - avg(case when status = 'failed' then 1e0 else 0e0 end) as balanced_score from crawl_runs group by family",
-    "a36_smoke_metrics": "select provider, avg(case when status = 'success' then 1e0 else 0e0 end) as success_rate, avg(case when result_count = 0 then 1e0 else 0e0 end) as empty_rate, case when sum(case when status = 'success' then 1 else 0 end) > 0 then count(*) * 1e0 / sum(case when status = 'success' then 1 else 0 end) else 0 end as cost_per_accepted from attempts group by provider",
+    "a36_smoke_metrics": "with q as (select provider, id % 400 as query, max(case when status = 'success' then 1 else 0 end) as good, max(case when result_count = 5 then 1 else 0 end) as official, max(case when result_count = 4 then 1 else 0 end) as national, max(case when latency_ms > 600 then 1 else 0 end) as accepted, max(case when latency_ms between 300 and 600 then 1 else 0 end) as review, max(case when latency_ms < 50 then 1 else 0 end) as unsafe from attempts group by 1, 2), "
+    "r as (select provider, latency_ms, row_number() over (partition by provider order by latency_ms, id) - 1 as i, count(*) over (partition by provider) - 1 as n from attempts), x as (select provider, latency_ms, i, n, cast(floor(n * 50 / 100e0) as bigint) as f50, n * 50 % 100 as r50, cast(floor(n * 95 / 100e0) as bigint) as f95, n * 95 % 100 as r95 from r), "
+    "p as (select provider, max(case when i = f50 + case when r50 > 50 or r50 = 50 and f50 % 2 = 1 then 1 else 0 end then latency_ms end) as median_latency_ms, max(case when i = f95 + case when r95 > 50 or r95 = 50 and f95 % 2 = 1 then 1 else 0 end then latency_ms end) as p95_latency_ms from x group by 1), "
+    "a as (select provider, count(*) as attempt_count, sum(case when status = 'failed' then 1 else 0 end) as errors, sum(case when status = 'empty' and result_count = 0 then 1 else 0 end) as gone, sum(case when status = 'empty' and result_count > 3 then 1 else 0 end) as challenged, sum(case when result_count = 1 then 1 else 0 end) as low from attempts group by 1), "
+    "k as (select provider, count(*) as query_count, sum(good) as good, sum(official) as official, sum(national) as national, sum(accepted) as accepted, sum(review) as review, sum(unsafe) as unsafe, case provider when 'tavily' then 8e0 when 'brave' then 5e0 else 0e0 end as cost_per_1000_queries from q group by 1) "
+    "select k.provider, " + ", ".join(f"floor({n} * 10000e0 / {d} + 5e-1) / 10000e0 as {c}" for c, n, d in [("raw_success_rate", "good", "query_count"), ("request_error_rate", "errors", "attempt_count"), ("unavailable_rate", "gone", "attempt_count"), ("challenge_anomaly_rate", "challenged", "attempt_count"), ("low_signal_rate", "low", "attempt_count"), ("official_school_result_rate", "official", "query_count"), ("national_directory_result_rate", "national", "query_count"), ("accepted_evidence_rate", "accepted", "query_count"), ("review_required_rate", "review", "query_count"), ("unsafe_candidate_rate", "unsafe", "query_count")])
+    + ", median_latency_ms, p95_latency_ms, cost_per_1000_queries, case when accepted > 0 then floor(cost_per_1000_queries * query_count * 10e0 / accepted + 5e-1) / 10000e0 end as cost_per_accepted_evidence, query_count, attempt_count from k join a on a.provider = k.provider join p on p.provider = k.provider",
     "a37_queue_health": f"""with top as (select {LANE_STATE_FIRST} as lane, {REASON} as reason, count(*) as n from field_jobs where {WAITING} group by 1, 2 order by n desc, 2, 1 limit 20), q as (select count(*) as queued from field_jobs where status = 'queued')
         select lane, sum(n) as jobs, case when max(queued) > 0 then sum(n) * 1e0 / max(queued) else 0 end as ratio from top cross join q group by lane""",
     "a38_goldset_metrics": f"select count(*) as cases, {n('expected = predicted', 'correct')}, avg(case when expected = predicted then 1e0 else 0e0 end) as accuracy, {n('predicted = 1 and expected = 0', 'false_active')}, count(*) filter (where predicted = 1 and expected = 1) * 1e0 / greatest(count(*) filter (where predicted = 1), 1) as precision_ from goldset",
@@ -118,9 +134,19 @@ SQL: dict[str, str] = {
     "a52_provider_health": "select provider, avg(case when status = 'success' then 1e0 else 0e0 end) as success_rate, avg(case when status = 'success' then 1e0 else 0e0 end) >= 0.5 as healthy from attempts group by provider",
     "a53_ops_summary": "select (select count(*) from field_jobs where status = 'queued') as queued, (select count(*) from crawl_runs where status = 'running') as running, (select count(*) from alerts where status = 'open') as open_alerts, (select count(*) from workers where status = 'active') as workers",
     "a54_filtered_export": "select id, session_id, selected_action, created_at from observations where selected_action = 'click' and risk_score > 50 order by created_at desc nulls last, id desc limit 100",
-    "a55_item_scorecard": "select r.id, r.records, r.pages, greatest(0, r.records - j.done) as extra, r.records * 1e0 / greatest(r.pages, 1) as records_per_page from crawl_runs r join (select crawl_run_id, sum(case when status = 'done' then 1 else 0 end) as done from field_jobs group by crawl_run_id) j on j.crawl_run_id = r.id",
-    "a56_campaign_summary": "select count(*) as items, sum(greatest(records, pages)) as discovered, sum(records) * 1e0 / sum(greatest(records, pages, 1)) as any_rate from crawl_runs",
-    "a57_promotion_decision": "with s as (select avg(case when family = 'adaptive' then cast(records as double) end) as a, avg(case when family = 'legacy' then cast(records as double) end) as l from crawl_runs) select a, l, case when a >= l * 1.1 then 'promote' when a >= l then 'hold' else 'reject' end as decision from s",
+    "a55_item_scorecard": _CARD,
+    "a55_failure_histogram": "with f as (select job_id as id, 'rejected ' || field_name as reason from evidence where reason_code = 'rejected' union all select crawl_run_id, trim(blocked_reason) from field_jobs where status = 'failed' and trim(coalesce(blocked_reason, '')) <> '') select id, reason, count(*) as n from f group by 1, 2",
+    "a56_campaign_summary": "with card as (" + _CARD + "), t as (select source_id, count(*) as item_count, sum(case when status = 'succeeded' then 1 else 0 end) as completed_count, sum(case when status = 'failed' then 1 else 0 end) as failed_count, sum(case when status = 'running' then 1 else 0 end) as active_count, sum(greatest(chapters_discovered, any_contact, all_three)) as chapters, sum(any_contact) as a, sum(all_three) as b, sum(websites_found) as w, sum(emails_found) as e, sum(instagrams_found) as g, sum(processed) as total_processed, sum(requeued) as total_requeued, sum(failed_terminal) as total_failed_terminal from card group by 1), "
+    "q as (select r.source_id, sum(case when j.status in ('queued', 'running') then 1 else 0 end) as queue_depth_start, sum(case when j.status = 'queued' then 1 else 0 end) as queue_depth_end from field_jobs j join crawl_runs r on r.id = j.crawl_run_id group by 1) "
+    "select t.source_id, item_count, completed_count, failed_count, active_count, a * 1e0 / greatest(chapters, 1) as any_contact_success_rate, b * 1e0 / greatest(chapters, 1) as all_three_success_rate, w * 1e0 / greatest(chapters, 1) as website_coverage_rate, e * 1e0 / greatest(chapters, 1) as email_coverage_rate, g * 1e0 / greatest(chapters, 1) as instagram_coverage_rate, "
+    "queue_depth_start, queue_depth_end, queue_depth_start - queue_depth_end as queue_depth_delta, total_processed, total_requeued, total_failed_terminal, case when total_processed > 0 or total_requeued > 0 or total_failed_terminal > 0 or queue_depth_start > queue_depth_end or completed_count > 0 then 'progressed' else 'no_business_progress' end as business_status from t join q on q.source_id = t.source_id",
+    "a57_promotion_decision": "with s as (select chapter_id % 60 as round, avg(case when status = 'done' then 1e0 else 0e0 end) as score, sum(case when status = 'queued' and attempts < 2 then 1 else 0 end) as queue_now, sum(case when status = 'queued' and attempts >= 2 then 1 else 0 end) as queue_before, sum(case when blocked_reason = 'website_required' and attempts < 2 then 1 else 0 end) as placeholder_now, sum(case when blocked_reason = 'website_required' and attempts >= 2 then 1 else 0 end) as placeholder_before, "
+    "sum(case when blocked_reason = 'transient_network' and attempts < 2 then 1 else 0 end) as overlong_now, sum(case when blocked_reason = 'transient_network' and attempts >= 2 then 1 else 0 end) as overlong_before from field_jobs group by 1), g as (select round, score > 31e-2 + 1e-4 as improved, queue_now <= queue_before as queue_ok, placeholder_now <= placeholder_before and overlong_now <= overlong_before as review_ok from s) "
+    "select round, improved and queue_ok and review_ok as promoted, case when improved and queue_ok and review_ok then 'balanced_score_queue_and_review_gates_passed' when not improved then 'balanced_score_not_improved' when not queue_ok then 'queue_efficiency_regressed' else 'precision_safety_regressed' end as reason from g",
+    "a57_acceptance_gate": "with r as (select id % 100 as campaign, case when id % 100 % 3 = 0 and status in ('failed', 'running') then 'succeeded' else status end as status, records % 40 as records from crawl_runs), i as (select campaign, count(*) as n, sum(case when status <> 'running' then 1 else 0 end) as terminal, sum(case when status = 'succeeded' then 1 else 0 end) as succeeded, sum(case when status = 'failed' then 1 else 0 end) as failed, sum(greatest(records, 0)) as records from r group by 1), "
+    "q as (select crawl_run_id % 100 as campaign, sum(case when j.status in ('queued', 'running') then 1 else 0 end) as before, sum(case when j.status = 'running' then 1 else 0 end) as queued, sum(case when j.blocked_reason in ('website_required', 'transient_network') then 1 else 0 end) as low from field_jobs j group by 1), d as (select session_id % 100 as campaign, sum(case when reward_stage = 'delayed' and session_id % 3 > 0 then 1 else 0 end) as delayed from rewards group by 1), "
+    "c as (select i.campaign, terminal = n as terminal_requests, succeeded >= 18 as succeeded_requests, failed = 0 as failed_requests, case when records > 0 then low * 1e0 / records else 0e0 end < 3e-2 as low_confidence_rate, case when before > 0 then (before - queued) * 1e0 / before else 0e0 end >= 5e-1 as queue_improvement, coalesce(delayed, 0) > 0 as delayed_rewards from i join q on q.campaign = i.campaign left join d on d.campaign = i.campaign) "
+    "select campaign, terminal_requests, succeeded_requests, failed_requests, low_confidence_rate, queue_improvement, delayed_rewards, terminal_requests and succeeded_requests and failed_requests and low_confidence_rate and queue_improvement and delayed_rewards as passed from c",
     "a58_reason_drift": f"with a as (select {REASON} as reason, count(*) as n from field_jobs where attempts < 2 group by 1), b as (select {REASON} as reason, count(*) as n from field_jobs where status = 'failed' group by 1) select coalesce(a.reason, b.reason) as reason, coalesce(b.n, 0) - coalesce(a.n, 0) as delta from a full outer join b on a.reason = b.reason",
     "a59_failure_reasons": f"select {REASON} as reason, count(*) as n from field_jobs where status = 'failed' group by 1 order by n desc, 1 limit 10",
     # 2.3 joins
