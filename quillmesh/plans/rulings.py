@@ -37,6 +37,9 @@ RECORDS = f"""select id, x, case id % 9 when 0 then null when 1 then 'Home' when
     union all select 1000000 + p_partkey, {_pick(31, "Home", "No 5", "1999", "42.5 %", "1998-1999", "3rd", "rank 12", "References", "Total enrollment", "Chapter of the Year", "Western Division", "Alpha Beta Region", "John Smith", "Alpha Beta", " ", None, "TBA", "Scholarship winners", "edit", "Learn more", "Beta Rho", "Gamma Delta Award", "N/A", "white", "21st", "conference", of="p_partkey")},
     case p_partkey % 4 when 0 then null when 1 then 'search' else 'State College' end, case when p_partkey % 5 = 0 then 'wikipedia' else '' end, null from {{part}}"""
 
+#: Handles found for chapters, one row each.
+SWEPT = f"select id % 40 as chapter_id, regexp_extract(handle, 'com/(.*)', 1) as handle, max(title) as text from ({FOUND}) f where handle is not null group by 1, 2"
+
 
 def _on(cases: str, make: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: make(run_sql(spark, sf_dir, f"select * from ({cases}) c"))
@@ -125,6 +128,19 @@ def instagrams(d: DataFrame) -> DataFrame:
     return d.select("id", "source", F.round("x.score", 4).alias("score"), F.array_join("x.rejects", ",").alias("rejects"), D.resolution(F.col("x.score"), F.col("source")).alias("action"))
 
 
+def swept(d: DataFrame) -> DataFrame:
+    i = F.col("chapter_id")
+    kind = F.element_at(F.array(*map(F.lit, [*D.SOURCE_PRIORS, "unheard_of"])), ((i * 7 + F.length("handle")) % 16 + 1).cast("int"))
+    candidates = d.select("chapter_id", "handle", "text", kind.alias("source_type"), F.when(i % 3 == 0, "chapter_specific").otherwise("national_generic").alias("contact_specificity"))
+    of = lambda k, *words: F.element_at(F.array(*map(F.lit, words)), (k % len(words) + 1).cast("int"))
+    split = lambda c: F.split(F.lower(c), " ")
+    name = of(i, "Sigma Chi", "Kappa Sigma", "Tau Kappa Epsilon")
+    identities = d.select("chapter_id").distinct().select("chapter_id", F.concat(split(name), F.array(F.replace(F.lower(name), F.lit(" "), F.lit("")))).alias("fraternity"), split(of(i, "Texas Tech University", "State College", "Rice University", "none")).alias("school"), split(of(i + 1, "Beta Rho", "Texas Tech Chapter", "Zeta")).alias("chapter"))
+    taken = d.where(i % 3 == 0).groupBy("handle").agg(F.min("chapter_id").alias("chapter_id"))
+    best = D.sweep(candidates, identities, taken)
+    return best.select("chapter_id", "handle", F.col("source_type").alias("source"), F.round("score", 4).alias("score"), F.array_join("rejects", ",").alias("rejects"), "action")
+
+
 def best_sources(d: DataFrame) -> DataFrame:
     i = F.col("id")
     c = d.select((i % 40).alias("fraternity_id"), "url", F.when(~_is(4), i % 6 / 5.0).alias("health"), F.concat(F.lit("s"), i.cast("string")).alias("slug"))
@@ -159,6 +175,7 @@ QUERIES: dict[str, Query] = {
     "d41_search_queries": _on(FOUND, lambda d: d.select("id", F.array_join(D.search_queries(F.col("name"), F.col("school"), F.col("chapter")), "|").alias("queries"))),
     "d44_index_modes": _on(PAGES, lambda d: d.select("id", D.index_mode(_profile(), F.when(_is(23), "locator_map").otherwise("x"), F.col("text"), _api(), F.when(_is(29), "mixed")).alias("x")).select("id", "x.*")),
     "d49_contact_audits": _on(CONTACTS, audits),
+    "d51_handle_sweep": _on(SWEPT, swept),
     "d56_best_sources": _on(PAGES, best_sources),
     "f16_invalid_reasons": _on(RECORDS, lambda d: d.select("id", S.invalid_reason("x", "school", "snippet").alias("reason"))),
     "f17_navigation": _on(RECORDS, lambda d: d.select("id", S.is_navigation("x", "school", "slug").alias("navigation"))),
@@ -291,11 +308,25 @@ def _share(wanted: str) -> str:
 
 _TYPES = [*D.SOURCE_PRIORS, "unheard_of"]
 _OPEN = "source in ('search_result_profile', 'generated_handle_search', 'existing_db_value')"
-_INSTAGRAM = f"""with x as (select id, lower(concat_ws(' ', regexp_extract(handle, 'com/(.*)', 1), title)) as low, ({_list(_TYPES)})[id % 16 + 1] as source, id % 10 = 0 as taken, string_split(lower(name), ' ') || [replace(lower(name), ' ', '')] as fw, string_split(lower(coalesce(school, 'none')), ' ') as sw, string_split(lower(coalesce(chapter, 'none')), ' ') as cw from ({FOUND}) c),
+def _scored(rows: str, keys: str) -> str:
+    """Scores of candidates: rows hold keys, near, low, source, taken and the words fw, sw and cw."""
+    return f"""with x as ({rows}),
     y as (select *, {_share("fw")} as f, {_share("sw")} as s, {_share("cw")} as c, {_cases(*((f"source = '{k}'", f"{v}e0") for k, v in D.SOURCE_PRIORS.items()), other="0.5e0")} as trust from x),
     z as (select *, list_transform(list_filter({_list(D.NEGATIVE_MARKERS)}, lambda m: contains(low, m)), lambda m: 'marker:' || m) || case when taken then ['cross_chapter_reuse'] else [] end || case when source = 'generated_handle_search' then ['generated_without_confirmation'] else [] end || case when {_OPEN} and s <= 0 and c <= 0 then ['wrong_school'] else [] end || case when {_OPEN} and f <= 0 then ['wrong_fraternity'] else [] end as rejects from y),
-    w as (select id, source, rejects, case when len(rejects) > 0 then 0e0 else round(greatest(0e0, least(1e0, trust * 0.35e0 + f * 0.2e0 + s * 0.16e0 + c * 0.08e0 + case when f > 0 and (s > 0 or c > 0) then 1e0 when f > 0 then 0.5e0 else 0e0 end * 0.08e0 + greatest(0e0, least(1e0, (f + s + c) / 2)) * 0.06e0 + case when id % 3 = 0 then 1e0 else 0.4e0 end * 0.04e0 + case when taken then 0e0 else 1e0 end * 0.03e0)), 4) end as score from z)
-    select id, source, score, array_to_string(rejects, ',') as rejects, case when score >= {_cases(*((f"source = '{k}'", f"{v}e0") for k, v in D.WRITE_THRESHOLDS.items()), other="0.9e0")} then 'write' when score >= 0.82e0 then 'review' else 'reject' end as action from w"""
+    w as (select {keys}, source, rejects, case when len(rejects) > 0 then 0e0 else round(greatest(0e0, least(1e0, trust * 0.35e0 + f * 0.2e0 + s * 0.16e0 + c * 0.08e0 + case when f > 0 and (s > 0 or c > 0) then 1e0 when f > 0 then 0.5e0 else 0e0 end * 0.08e0 + greatest(0e0, least(1e0, (f + s + c) / 2)) * 0.06e0 + case when near then 1e0 else 0.4e0 end * 0.04e0 + case when taken then 0e0 else 1e0 end * 0.03e0)), 4) end as score from z)
+    select {keys}, source, score, array_to_string(rejects, ',') as rejects, case when score >= {_cases(*((f"source = '{k}'", f"{v}e0") for k, v in D.WRITE_THRESHOLDS.items()), other="0.9e0")} then 'write' when score >= 0.82e0 then 'review' else 'reject' end as action from w"""
+
+
+_INSTAGRAM = _scored(
+    f"""select id, id % 3 = 0 as near, lower(concat_ws(' ', regexp_extract(handle, 'com/(.*)', 1), title)) as low, ({_list(_TYPES)})[id % 16 + 1] as source, id % 10 = 0 as taken, string_split(lower(name), ' ') || [replace(lower(name), ' ', '')] as fw, string_split(lower(coalesce(school, 'none')), ' ') as sw, string_split(lower(coalesce(chapter, 'none')), ' ') as cw from ({FOUND}) c""",
+    "id",
+)
+_NAMED = f"""select chapter_id, handle, text, {_pick(3, "Sigma Chi", "Kappa Sigma", "Tau Kappa Epsilon", of="chapter_id")} as name, {_pick(4, "Texas Tech University", "State College", "Rice University", "none", of="chapter_id")} as school, {_pick(3, "Beta Rho", "Texas Tech Chapter", "Zeta", of="(chapter_id + 1)")} as chapter from ({SWEPT}) s"""
+_SWEEP = _scored(
+    f"""select chapter_id, s.handle, chapter_id % 3 = 0 as near, lower(concat_ws(' ', s.handle, text)) as low, ({_list(_TYPES)})[(chapter_id * 7 + length(s.handle)) % 16 + 1] as source, coalesce(owner <> chapter_id, false) as taken, string_split(lower(name), ' ') || [replace(lower(name), ' ', '')] as fw, string_split(lower(school), ' ') as sw, string_split(lower(chapter), ' ') as cw
+        from ({_NAMED}) s left join (select handle, min(chapter_id) as owner from ({SWEPT}) t where chapter_id % 3 = 0 group by 1) o on o.handle = s.handle""",
+    "chapter_id, handle",
+)
 
 _STOP = _list(["of", "the", "at", "and", "for", "in"])
 
@@ -334,6 +365,7 @@ _SQL: dict[str, str] = {
     "d41_search_queries": _SEARCHES,
     "d44_index_modes": f"with {_PROFILED} select id, {_made([c[:3] for c in _MODE_CASES], ('mixed', 0.35), 'mode')}, {_cases(*((c[0], f"'{c[3]}'") for c in _MODE_CASES), other="'fallback_mixed'")} as reason from p",
     "d49_contact_audits": f"with {_PROFILES} select id, case when full_ = '' then 'missing' when kind <> 'profile' then 'clear' when sure >= 0.9e0 then 'keep' when sure >= 0.6e0 then 'review' else 'clear' end as audit from k",
+    "d51_handle_sweep": f"with scored as ({_SWEEP}) select * from scored qualify row_number() over (partition by chapter_id order by score desc, handle) = 1",
     "d56_best_sources": _QUALITY,
     "f16_invalid_reasons": f"with {_LABELLED} select id, {_reason('t')} as reason from l",
     "f17_navigation": f"with {_LABELLED} select id, {_NAV} or regexp_matches(slug, {_PREFIXED})) as navigation from l",
