@@ -90,6 +90,8 @@ PLACES = f"""select p_partkey as page_id, '<kml><Placemark><name>' || {_SCHOOL}
     case when p_partkey % 3 = 0 then '<Placemark><name>Rho</name><description>location: Nome&lt;br&gt;website: none</description></Placemark>' else '' end || '</kml>' as html from {{part}}"""
 #: JSON arrays of objects: whole, with a missing key, empty, broken or null.
 LISTS = f"""select p_partkey as id, case p_partkey % 5 when 0 then '[{{"school": "S' || {_S} || '", "n": 1}}, {{"school": "T", "n": ' || cast(p_partkey % 9 as varchar(9)) || '}}]' when 1 then '[{{"n": 3}}]' when 2 then '[]' when 3 then cast(null as varchar(9)) else '' end as doc from {{part}}"""
+#: Pages that each link to two more, so that rounds of a crawl walk down a tree.
+LINKED = f"""select p_partkey as page_id, 'https://x.org/p' || {_S} as url, '<html><body><a href="/p' || cast(2 * p_partkey as varchar(20)) || '">A</a> <a href="p' || cast(2 * p_partkey + 1 as varchar(20)) || '#top">B</a> <a href="/p1">C</a></body></html>' as html from {{part}}"""
 #: Paths of directories, profiles and other pages.
 PATHS = f"""select page_id as id, coalesce({_pick(15, "https://x.org/find-a-chapter/new-york/12", "https://x.org/Our_History/", "https://x.org/", "https://x.org/district-of-columbia/2020/very-long-token-of-a-path-that-is-cut", "https://x.org/join/recruit", "https://x.org/news/chapter", "https://x.org/campus/contact-us", "https://x.org/a/b/c/d", "https://x.org", of="page_id")}, url) as url from {{pages}}"""
 
@@ -115,6 +117,11 @@ def hints(d: DataFrame) -> DataFrame:
     return H.contact_hints(d).select("page_id", F.array_join("emails", ",").alias("emails"), F.array_join("instagrams", ",").alias("instagrams"))
 
 
+def walks(d: DataFrame) -> DataFrame:
+    starts = d.sparkSession.createDataFrame([("s", "https://x.org/p1"), ("t", "https://x.org/p5")], "session_id string, url string")
+    return H.crawl_rounds(starts, H.parsed(d), 3, 5).select("session_id", "link", "depth", F.round("score", 4).alias("score"))
+
+
 def _route(d: DataFrame) -> DataFrame:
     return d.select("id", S.route_class(S.url_path("url")).alias("route"))
 
@@ -123,6 +130,7 @@ QUERIES: dict[str, Query] = {
     "c10_routes": _sql(PATHS, _route),
     "d08_action_scores": _sql(PAGES, actions),
     "d30_made_zones": _parsed(zones),
+    "d46_walks": _sql(LINKED, walks),
     "d47_made_hints": _parsed(hints),
     "s03_table_records": _parsed(tables),
     "s06_json_records": _parsed(lambda d: H.json_records(d).select("page_id", "name", "university_name", "city", "state", "website_url", "external_id", "confidence")),
@@ -172,6 +180,13 @@ def _routes(rows: str, key: str = "id") -> str:
         select {key}, case when len(k) = 0 then 'root' when best = 0 then 'generic:' || array_to_string(k[1:3], '-') {" ".join(f"""when "{n}" = best then '{n}'""" for n in _HITS)} end as route from b"""
 
 
+def _level(depth: int) -> str:
+    """The best five pages that the level before links to and no level before holds."""
+    seen = " union all ".join(f"select s, i from l{d}" for d in range(depth))
+    found = f"select distinct l.s, n.i from l{depth - 1} l join n on n.i in (2 * l.i, 2 * l.i + 1, 1) where (l.s, n.i) not in ({seen})"
+    return f"l{depth} as (select s, i from ({found}) f qualify row_number() over (partition by s order by 'https://x.org/p' || i) <= 5)"
+
+
 #: The records of domain.records normalised: their names need no calming and their schools are named in full.
 _NORMAL = """select cast(id as int) as ordinal, regexp_replace(regexp_replace(lower(concat_ws('-', name, university)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') as slug, name, university as university_name, cast(null as varchar) as city, state, website_url, instagram_url, contact_email, cast(id as varchar) as external_id,
     case when university is null then 'repairable_candidate' else 'canonical_valid' end as validity_class, 'https://example.edu/chapters' as source_url, 0.8e0 as source_confidence from chapters"""
@@ -187,6 +202,8 @@ _SQL: dict[str, str] = {
     "d30_made_zones": f"""select p_partkey as page_id, h as zone_heading, t as zone_text, k as zone_type, c as confidence from {{part}} join (values (0, 'Recognized chapters', 'Alpha Beta', 'recognized', 0.9e0), (0, 'Loss of recognition', 'Kappa Sigma {_END}', 'unrecognized', 0.9e0),
         (1, 'Suspended groups', 'Mu Nu', 'suspended', 0.9e0), (1, 'Staff', '{_END}', null, 0.3e0)) z(m, h, t, k, c) on p_partkey % 3 = m
         union all select p_partkey, '', case p_partkey % 4 when 0 then 'School Chapter E-Mail State ' || {_SCHOOL} || ' Beta ' || {_S} || ' b' || {_S} || '@x.org TX Empty NY' when 1 then 'Zeta ' || {_S} || ' ' || {_SCHOOL} || ' Waco' else 'No table' end || case when p_partkey % 3 = 2 then ' {_END}' else '' end, null, 0.3e0 from {{part}}""",
+    "d46_walks": f"""with n as (select p_partkey as i from {{part}}), l0 as (select * from (values ('s', 1), ('t', 5)) v(s, i)), {", ".join(map(_level, (1, 2, 3)))},
+        a as ({" union all ".join(f"select s, i, {d} as depth from l{d}" for d in range(4))}) select s as session_id, 'https://x.org/p' || i as link, depth, case when depth = 0 then 0e0 else round(1e0 - 0.45e0 * depth, 4) end as score from a""",
     "d47_made_hints": f"select p_partkey as page_id, 'c' || {_S} || '@example.edu' || case when p_partkey % 4 = 0 then ',b' || {_S} || '@x.org' else '' end || ',jane@rice.edu' as emails, 'https://www.instagram.com/c' || {_S} || '_x' as instagrams from {{part}}",
     "s03_table_records": _TABLES,
     "s06_json_records": _JSONS,
