@@ -27,8 +27,8 @@ from quillmesh.llm.order import numbered
 BLOCK = 256
 #: Rows of a bucket of a line, about; a level of buckets sums at most 2 ** LEVEL of the next.
 BUCKET, LEVEL = 1024, 12
-#: Slots that one row of the schedule is spread from.
-CHUNK = 4096
+#: Slots that one row of the schedule is spread from, and such rows a task.
+CHUNK, CHUNKS = 4096, 4
 DIGEST_BITS = 60
 
 
@@ -129,9 +129,10 @@ def schedule(sources: DataFrame, mix: Mix) -> DataFrame:
     low = F.coalesce(F.sum("slots").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bounds = ranked.withColumn("low", low).join(groups, "upper").withColumn("low", F.col("low") + F.col("first")).withColumn("high", F.col("low") + F.col("slots"))
     bounds = written(bounds.select("key", "words", "quota", "blocks", "low", "high"))
-    digits = max(1, ((bounds.agg(F.max("high")).first()[0] or 1) - 1).bit_length())
+    every = bounds.agg(F.max("high")).first()[0] or 1
+    digits = max(1, (every - 1).bit_length())
     bounds = bounds.withColumns({"low_turned": reversed_bits(F.col("low"), digits), "high_turned": reversed_bits(F.col("high") % (1 << digits), digits)})
-    chunks = bounds.withColumn("chunk", F.explode(F.expr(f"sequence(low, high - 1, {CHUNK}L)"))).repartition("key", "chunk")
+    chunks = bounds.withColumn("chunk", F.explode(F.expr(f"sequence(low, high - 1, {CHUNK}L)"))).repartition(-(-every // (CHUNK * CHUNKS)), "key", "chunk")
     points = chunks.withColumn("point", F.explode(F.expr(f"sequence(chunk, least(chunk + {CHUNK - 1}L, high - 1))")))
     points = points.withColumn("slot", reversed_bits(F.col("point"), digits))
     rank = before(F.col("slot"), F.col("high"), F.col("high_turned"), digits) - before(F.col("slot"), F.col("low"), F.col("low_turned"), digits)
@@ -149,7 +150,7 @@ def mixed(docs: DataFrame, mix: Mix = Mix()) -> tuple[DataFrame, DataFrame]:
     """
     rows = written(lined(written(sized(docs, mix.seed))))
     sources = written(targeted(rows.groupBy("key").agg(F.sum("size").alias("words")), mix))
-    slots = schedule(sources.withColumn("quota", F.floor(F.col("target") + 0.5)), mix).withColumnRenamed("words", "allowed")
+    slots = written(schedule(sources.withColumn("quota", F.floor(F.col("target") + 0.5)), mix).withColumnRenamed("words", "allowed"))  # so that its size is known to the join
     block = mix.block
     parts = rows.where("size > 0").select("key", "bucket", "at", "start", "size", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")).alias("block"))
     begun = F.col("block") * block
