@@ -1,10 +1,10 @@
 """Merkle manifest of a dataset: a digest a row, a tree a group, one root over all, and a proof for each row.
 
-Rows get their place in their group without a single-task sort. Aligned blocks of FAN leaves are walked recursively in
+Rows get their place in their group without a single-task sort. Aligned blocks of 2 ** HEIGHT leaves are walked recursively in
 postorder: each call returns its subtree's digest and, while unwinding, appends each half's digest to the proofs of the
 leaves in the other half. The blocks' roots are the leaves of the next distributed walk, and so on; the groups' roots go
 through the same walks in order of the group. Proofs are gathered on the way down, where a block meets the proof of its
-own root, so only a FANth of all proofs is ever written.
+own root, so the leaves' proofs are never written.
 
 Defined cases: null fields have a form of their own; null text, group or id are values like others (null comes first);
 rows that share an id are ordered by digest, equal rows are leaves each; a lone leaf is its group's root; very long texts
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from quillmesh.llm.common import held_out, table, written
 from quillmesh.llm.order import numbered
 
+#: Levels of a block; it has two to this power leaves.
 HEIGHT = 10
-FAN = 1 << HEIGHT
 PROOF = "array<struct<before:string,after:string>>"
 
 
@@ -57,12 +57,12 @@ def walk(nodes: list[str], height: int, low: int = 0, proofs: list[list[tuple[st
     return combine(left, right)
 
 
-def _height(members: int) -> int:
-    """Of a block in a tree of so many nodes: whole, unless the tree is this block alone."""
-    return HEIGHT if members > FAN else (members - 1).bit_length()
+def _levels(members: int, height: int) -> int:
+    """Of a block in a tree of so many nodes: all, unless the tree is this block alone."""
+    return min(height, (members - 1).bit_length())
 
 
-def tops(nodes: DataFrame) -> DataFrame:
+def tops(nodes: DataFrame, height: int) -> DataFrame:
     """The blocks' roots as nodes of the next walk: tree, position, members, node."""
     tree = nodes.schema["tree"]
     names = ["tree", "position", "members", "node"]
@@ -70,21 +70,21 @@ def tops(nodes: DataFrame) -> DataFrame:
     def work(block: pa.Table) -> pa.Table:
         block = block.sort_by("position").combine_chunks()
         members = block["members"][0].as_py()
-        top = walk(block["node"].to_pylist(), _height(members))
-        return pa.table([block["tree"].slice(0, 1), pa.array([block["position"][0].as_py() // FAN], pa.int64()), pa.array([-(-members // FAN)], pa.int64()), pa.array([top], pa.string())], names=names)
+        top = walk(block["node"].to_pylist(), _levels(members, height))
+        return pa.table([block["tree"].slice(0, 1), pa.array([block["position"][0].as_py() >> height], pa.int64()), pa.array([-(-members >> height)], pa.int64()), pa.array([top], pa.string())], names=names)
 
-    blocks = nodes.select(*names, F.shiftright("position", HEIGHT).alias("block")).groupBy("tree", "block")
+    blocks = nodes.select(*names, F.shiftright("position", height).alias("block")).groupBy("tree", "block")
     return blocks.applyInArrow(work, f"tree {tree.dataType.simpleString()}, position long, members long, node string")
 
 
-def unwound(nodes: DataFrame, above: DataFrame) -> DataFrame:
+def unwound(nodes: DataFrame, above: DataFrame, height: int) -> DataFrame:
     """nodes with the proof (up to the root) and other columns of their block's root, found in above by tree and position."""
     more = [c for c in above.columns if c not in ("tree", "position", "proof")]
 
     def work(block: pa.Table, top: pa.Table) -> pa.Table:
         block = block.sort_by("position").drop_columns("block").combine_chunks()
         proofs: list[list[tuple[str, str]]] = [[] for _ in range(len(block))]
-        walk(block["node"].to_pylist(), _height(block["members"][0].as_py()), 0, proofs)
+        walk(block["node"].to_pylist(), _levels(block["members"][0].as_py(), height), 0, proofs)
         rest = [(x["before"], x["after"]) for x in top["proof"][0].as_py()]
         length = len(proofs[0]) + len(rest)
         flat = [x for own in proofs for x in (*own, *rest)]
@@ -97,36 +97,36 @@ def unwound(nodes: DataFrame, above: DataFrame) -> DataFrame:
 
     fields = [*nodes.schema.fields, *(above.schema[c] for c in more)]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    left = nodes.withColumn("block", F.shiftright("position", HEIGHT)).groupBy("tree", "block")
+    left = nodes.withColumn("block", F.shiftright("position", height)).groupBy("tree", "block")
     right = above.select("tree", F.col("position").alias("block"), "proof", *more).groupBy("tree", "block")
     return left.cogroup(right).applyInArrow(work, f"{schema}, proof {PROOF}")
 
 
-def climb(nodes: DataFrame) -> list[DataFrame]:
+def climb(nodes: DataFrame, height: int) -> list[DataFrame]:
     """The nodes of each walk, up to one node a tree."""
-    levels = [nodes, written(tops(nodes))]
+    levels = [nodes, written(tops(nodes, height))]
     while not levels[-1].where("members > 1").isEmpty():
-        levels.append(written(tops(levels[-1])))
+        levels.append(written(tops(levels[-1], height)))
     return levels
 
 
-def descend(levels: list[DataFrame], above: DataFrame) -> DataFrame:
+def descend(levels: list[DataFrame], above: DataFrame, height: int) -> DataFrame:
     """The first level's nodes with their proofs; above has those of the last level's."""
     for nodes in levels[-2:0:-1]:
-        above = written(unwound(nodes, above).drop("members", "node"))
-    return unwound(levels[0], above)
+        above = written(unwound(nodes, above, height).drop("members", "node"))
+    return unwound(levels[0], above, height)
 
 
-def manifest(leaves: DataFrame, group: str, order: list[str], digest: str = "leaf") -> DataFrame:
+def manifest(leaves: DataFrame, group: str, order: list[str], digest: str = "leaf", height: int = HEIGHT) -> DataFrame:
     """leaves (one digest a row) with subroot, root and proof: the siblings before and after the node, level by level."""
     rows = leaves.select(F.col(f"`{group}`").alias("tree"), F.col(f"`{digest}`").alias("node"), *(F.col(f"`{c}`").alias(f"by{k}") for k, c in enumerate(order)), F.struct("*").alias("row"))
     placed = written(numbered(rows, "tree", [*(f"by{k}" for k in range(len(order))), "node"]).select("tree", "position", "members", "node", "row"))
-    levels = climb(placed)
+    levels = climb(placed, height)
     trees = levels[-1].select(F.lit(0).alias("tree"), F.col("tree").alias("of"), "node")
-    upper = climb(written(numbered(trees, "tree", ["of"])))
+    upper = climb(written(numbered(trees, "tree", ["of"])), height)
     top = upper[-1].select("tree", "position", F.col("node").alias("root"), F.expr(f"cast(array() as {PROOF})").alias("proof"))
-    above = descend(upper, top).select(F.col("of").alias("tree"), F.lit(0).cast("long").alias("position"), F.col("node").alias("subroot"), "root", "proof")
-    return descend(levels, written(above)).select("row.*", "subroot", "root", "proof")
+    above = descend(upper, top, height).select(F.col("of").alias("tree"), F.lit(0).cast("long").alias("position"), F.col("node").alias("subroot"), "root", "proof")
+    return descend(levels, written(above), height).select("row.*", "subroot", "root", "proof")
 
 
 def folded(digest: Column, proof: Column) -> Column:
