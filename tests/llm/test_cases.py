@@ -204,3 +204,18 @@ def test_pipeline_of_an_empty_table_and_of_null_and_repeated_ids(spark, tmp_path
     got = [r["doc_id"] for r in cp.run(spark, str(tmp_path / "full")).where("piece = 0").select("doc_id").collect()]
     assert got.count(None) == 2 and sorted(x for x in got if x is not None) == list(range(30))
     common.release(spark, "pipeline")
+
+
+def test_texts_under_one_id_stay_unless_they_are_copies(spark):
+    import corpus_pipeline as cp
+
+    rng = random.Random(14)
+    text = lambda: " ".join("w%d" % rng.randrange(5000) for _ in range(40))
+    a, b, c, d = text(), text(), text(), text()
+    rows = [(1, a, "x", "s", 1), (5, b, "x", "s", 1), (5, c, "x", "s", 2), (5, c, "w", "s", 2), (5, None, "x", "s", 3), (5, None, "x", "s", 3), (5, a + " more", "x", "s", 4), (7, d, "x", "s", 5), (None, d, "x", "s", 6), (9, b, "x", "s", 7)]
+    docs = spark.createDataFrame(rows, DOC).withColumn("position", F.lit("clash"))
+    for df in (docs, docs.repartition(5, "n_chars"), docs.orderBy(F.desc("lang"))):
+        got = cp.near_duplicates(spark, df, "").drop("position").collect()
+        want = [(1, a, "x", "s", 1), (5, c, "w", "s", 2), (5, None, "x", "s", 3), (5, None, "x", "s", 3), (7, d, "x", "s", 5), (None, d, "x", "s", 6), (9, b, "x", "s", 7)]
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    common.release(spark, "pipeline")
