@@ -4,18 +4,21 @@ Templates and texts are runs of lower-cased letters and digits. Hashes of GRAM w
 every WINDOW neighbours), so a run of GRAM + WINDOW - 1 shared words always shares a fingerprint. An inverted index over
 the templates' fingerprints gives, for each text, templates and the diagonals on which they meet it. Around each
 diagonal a banded alignment matches the whole template against the text: matches count for, skipped and replaced words
-against it. Hits outside these finds are chained over several diagonals and aligned in a band that holds them all. A find covers at least COVERAGE of the template's words; of finds that overlap the one with the best score
-stays.
+against it. Every diagonal with a hit that no find of its template covers is aligned, so notices side by side are finds
+each. Hits outside these finds are chained over several diagonals and aligned in a band that holds them all. A find
+covers at least COVERAGE of the template's words; of finds that overlap the one with the best score stays.
 
-Defined cases: null or empty text has no finds; repeated rows are scanned once each; equal scores go to the first name;
-an empty table gives no rows; other columns are ignored.
+Defined cases: null or empty text has no finds; repeated rows are scanned once each; equal scores go to the occurrence
+nearest to the diagonal, then to the first name, then to the first place; very long texts are scanned whole in time that
+is linear in their words and hits; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections import defaultdict
+from bisect import bisect_right, insort
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import cache
 
@@ -76,10 +79,32 @@ def winnowed(grams: np.ndarray) -> np.ndarray:
     return np.unique(np.arange(n) + WINDOW - 1 - rows.argmin(0))
 
 
+class Spans:
+    """Sorted spans without overlap."""
+
+    def __init__(self) -> None:
+        self.first: list[int] = []
+        self.last: list[int] = []
+
+    def meets(self, first: int, last: int) -> bool:
+        k = bisect_right(self.first, last) - 1
+        return k >= 0 and self.last[k] >= first
+
+    def add(self, first: int, last: int) -> None:
+        """The span together with those that it meets."""
+        k = bisect_right(self.first, last)
+        low = k
+        while low and self.last[low - 1] >= first:
+            low -= 1
+            first, last = min(first, self.first[low]), max(last, self.last[low])
+        self.first[low:k], self.last[low:k] = [first], [last]
+
+
 class Scanner:
     def __init__(self, templates: list[tuple[str, str]]):
         self.names = [n for n, _ in templates]
         self.words = [_WORD.findall(t.lower()) for _, t in templates]
+        self.counts = [Counter(words) for words in self.words]
         self.memo = Memo(_hash, 200_000)
         index: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for k, words in enumerate(self.words):
@@ -92,25 +117,32 @@ class Scanner:
     def align(self, k: int, words: list[str], diagonal: int, more: int = 0) -> tuple[int, int, int, int] | None:
         """(score, matched, first, last word) of template k in words near a diagonal (text minus template position), or near those up to more above it."""
         want, width = self.words[k], 2 * BAND + 1 + more
-        low = -(1 << 30)
-        # state: (score, matched, first, last); row i ends with template word i, column c is text position i + diagonal + c - BAND
-        before = [(0, 0, -1, -1)] * width
+        if diagonal >= 0 and words[diagonal : diagonal + len(want)] == want:  # nothing scores more or lies nearer
+            return len(want), len(want), diagonal, diagonal + len(want) - 1
+        there = Counter(words[max(0, diagonal - BAND) : max(0, diagonal + len(want) + BAND + more)])
+        if sum(min(n, there[w]) for w, n in self.counts[k].items()) < COVERAGE * len(want):
+            return None  # the band's words can't cover enough in any order
+        # state: (score, matched, -distance of the first word from the diagonal, -first, last); row i ends with template word i, column c is text position i + diagonal + c - BAND
+        before = [(0, 0, 0, 1, -1)] * width
         for i, w in enumerate(want):
             row = []
             for c in range(width):
                 j = i + diagonal + c - BAND
-                s, m, a, z = before[c]
-                best = (s + 1, m + 1, j if a < 0 else a, j) if 0 <= j < len(words) and words[j] == w else (s - 1, m, a, z)
+                s, m, d, a, z = before[c]
+                if 0 <= j < len(words) and words[j] == w:
+                    best = (s + 1, m + 1, -max(diagonal - j, j - diagonal - more, 0), -j, j) if a > 0 else (s + 1, m + 1, d, a, j)
+                else:
+                    best = (s - 1, m, d, a, z)
                 if c + 1 < width:  # a template word that the text lacks
-                    s, m, a, z = before[c + 1]
-                    best = max(best, (s - 1, m, a, z))
+                    s, m, d, a, z = before[c + 1]
+                    best = max(best, (s - 1, m, d, a, z))
                 if row:  # a text word that the template lacks; free before the first match
-                    s, m, a, z = row[-1]
-                    best = max(best, (s - (a >= 0), m, a, z))
+                    s, m, d, a, z = row[-1]
+                    best = max(best, (s - (a <= 0), m, d, a, z))
                 row.append(best)
             before = row
-        best = max(before, default=(low, 0, -1, -1))
-        return best if best[1] >= COVERAGE * len(want) else None
+        score, matched, _, first, last = max(before)
+        return (score, matched, -first, last) if matched >= COVERAGE * len(want) else None
 
     def chains(self, k: int, hits: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
         """(least, greatest diagonal) of chains of hits (text, template position) of template k that rise in both, with gaps of a template's length at most."""
@@ -120,7 +152,7 @@ class Scanner:
             while hits[low][0] < at - reach:
                 low += 1
             for j in range(low, i):
-                if hits[j][0] < at and hits[j][1] < t and length[j] >= length[i]:
+                if hits[j][0] < at and hits[j][1] < t and length[j] + 1 >= length[i]:  # of equals the nearest
                     length[i], before[i] = length[j] + 1, j
         used: set[int] = set()
         for i in sorted(range(len(hits)), key=lambda i: -length[i]):
@@ -134,28 +166,40 @@ class Scanner:
 
     def finds(self, words: list[str], hits: list[tuple[int, int]]) -> list[tuple[int, int, int, int, int]]:
         """(template, matched, score, first, last) of non-overlapping finds; hits: (position, fingerprint)."""
-        spots = {(k, at - t) for at, f in hits for k, t in self.index[f]}
-        found, last = set(), {}
-        for k, diagonal in sorted(spots):
-            if k in last and diagonal - last[k] <= BAND // 2:
-                continue
-            last[k] = diagonal
-            if a := self.align(k, words, diagonal):
-                found.add((a[0], a[1], self.names[k], k, a[2], a[3]))
-        # what no single band holds: runs of hits on several diagonals, as where words are put in or left out
-        rest: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        mine: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for at, f in hits:
             for k, t in self.index[f]:
-                if not any(x[3] == k and x[4] <= at <= x[5] for x in found):
-                    rest[k].append((at, t))
-        for k, mine in rest.items():
-            for low, high in set(self.chains(k, mine)):
-                if high > low and (a := self.align(k, words, low, high - low)):
-                    found.add((a[0], a[1], self.names[k], k, a[2], a[3]))
-        out: list[tuple[int, int, int, int, int]] = []
-        for score, matched, _, k, first, end in sorted(found, key=lambda x: (-x[0], x[2], x[4])):
-            if all(end < a or first > b for _, _, _, a, b in out):
-                out.append((k, matched, score, first, end))
+                mine[k].append((at, t))
+        found: set[tuple[int, int, str, int, int, int]] = set()
+
+        def note(k: int, a: tuple[int, int, int, int] | None, covered: Spans) -> bool:
+            if a:
+                found.add((-a[0], a[1], self.names[k], k, a[2], a[3]))
+                covered.add(a[2], a[3])
+            return a is not None
+
+        for k, own in mine.items():
+            covered, tried, failed = Spans(), set(), []
+            for at, t in own:
+                diagonal = at - t
+                if diagonal in tried or covered.meets(at, at):
+                    continue
+                tried.add(diagonal)
+                near = bisect_right(failed, diagonal + BAND // 2) - 1
+                if near >= 0 and failed[near] >= diagonal - BAND // 2:
+                    continue
+                if not note(k, self.align(k, words, diagonal), covered):
+                    insort(failed, diagonal)
+            # what no single band holds: runs of hits on several diagonals, as where words are put in or left out
+            rest = [(at, t) for at, t in own if not covered.meets(at, at)]
+            for low, high in sorted(set(self.chains(k, rest))):
+                if high > low:
+                    note(k, self.align(k, words, low, high - low), covered)
+        out, taken = [], Spans()
+        for score, matched, _, k, first, last in sorted(found, key=lambda x: (x[0], x[2], x[4], -x[5], x[3])):
+            if not taken.meets(first, last):
+                taken.add(first, last)
+                out.append((k, matched, -score, first, last))
         return out
 
     def scan(self, texts: list[str | None]) -> Iterator[tuple[int, str, float, int, int, int]]:

@@ -219,3 +219,33 @@ def test_texts_under_one_id_stay_unless_they_are_copies(spark):
         want = [(1, a, "x", "s", 1), (5, c, "w", "s", 2), (5, None, "x", "s", 3), (5, None, "x", "s", 3), (7, d, "x", "s", 5), (None, d, "x", "s", 6), (9, b, "x", "s", 7)]
         assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
     common.release(spark, "pipeline")
+
+
+def test_notices_side_by_side_are_finds_each():
+    scanner, rng = licenses.Scanner(licenses.TEMPLATES), random.Random(15)
+    for n in (1, 2, 3, 6, 40, 500):
+        for gap in (0, 1, 2, 7, 8, 20):
+            pool = [t for t in licenses.TEMPLATES if len(t[1]) < 100] if n > 6 or gap % 2 else licenses.TEMPLATES
+            one, words, want = rng.choice(pool), [], []
+            for _ in range(n):
+                name, text = one if rng.random() < 0.5 else rng.choice(pool)
+                own = licenses._WORD.findall(text.lower())
+                want.append((name, len(words), len(words) + len(own) - 1))
+                words += own + rng.choices(["lorem", "ipsum", "dolor", "sit", "amet"], k=gap)
+            text = " ".join(words)
+            starts = {m.start(): k for k, m in enumerate(licenses._WORD.finditer(text))}
+            ends = {m.end(): k for k, m in enumerate(licenses._WORD.finditer(text))}
+            got = [(name, starts[a], ends[b]) for _, name, _, _, a, b in scanner.scan([text])]
+            assert sorted(got, key=lambda x: x[1]) == want, (n, gap)
+
+
+def test_many_notices_take_linear_time():
+    import time
+
+    scanner, took = licenses.Scanner(licenses.TEMPLATES), []
+    for size in (100_000, 400_000):
+        began = time.process_time()
+        for text in ("Released under the MIT License. ", licenses.TEMPLATES[4][1] + " ", "Foo bar Licensed under the Apache License Version 3 x "):
+            list(scanner.scan([text * (size // len(text))]))
+        took.append(time.process_time() - began)
+    assert took[1] < 10 and took[1] < 8 * took[0]
