@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillmesh.functions import scalars as S
+from quillmesh.operators.organisations import Mail, names_another
 
 # Fixed values ---------------------------------------------------------------------------------------------------------
 
@@ -116,18 +117,15 @@ def website_score(url: Column, provider: Column, doc_url: Column, title: Column,
     return F.when(tier == "blocked", 0.0).otherwise(_bounded(score + 0.03 * context_hits(keywords, url, title, F.substring(text, 1, 200)), 0.95))
 
 
-def email_score(email: Column, provider: Column, doc_url: Column, title: Column, text: Column, keywords: Column, doc_tier: Column, *, mailto: Column, obfuscated: Column, overlap: Column, identity: Column, office: Column, person: Column, known_domain: Column, low_signal: Column, contact_page: Column, relevant: Column) -> Column:
-    """[D22] Confidence of an address found in a document, 0 to 0.95.
-
-    overlap: words of the job around the address; identity, office, person: what its local part looks like.
-    """
+def email_score(email: Column, provider: Column, doc_url: Column, title: Column, text: Column, keywords: Column, doc_tier: Column, looks: Mail, *, mailto: Column, obfuscated: Column) -> Column:
+    """[D22] Confidence of an address found in a document, 0 to 0.95. looks: of ``organisations.mail_facts``."""
     local, domain = F.lower(F.substring_index(email, "@", 1)), F.lower(F.substring_index(email, "@", -1))
-    searched = provider.isin("search_result", "search_page")
+    searched = F.coalesce(provider.isin("search_result", "search_page"), F.lit(False))
     score = (
-        _base(provider, EMAIL_BASE, EMAIL_DEFAULT) + _if(mailto, 0.05) - _if(obfuscated, 0.04) + 0.02 * context_hits(keywords, email, title, F.substring(text, 1, 200)) + 0.025 * F.least(F.lit(6), overlap)
+        _base(provider, EMAIL_BASE, EMAIL_DEFAULT) + _if(mailto, 0.05) - _if(obfuscated, 0.04) + 0.02 * context_hits(keywords, email, title, F.substring(text, 1, 200)) + 0.025 * F.least(F.lit(6), looks.overlap)
         + _if(doc_tier == "tier1", 0.05) - _if(doc_tier == "blocked", 0.25) + _if(_any(F.lower(F.coalesce(doc_url, F.lit(""))), ["contact", "officer", "leadership", "board", "about", "staff"]), 0.03)
-        - _if(local.isin(GENERIC_EMAIL_PREFIXES), 0.08) + _if(domain.endswith(".edu"), 0.05) + _if(known_domain, 0.04) - _if(domain.isin(FREE_EMAIL_DOMAINS) & searched, 0.08)
-        - _if(searched & ~identity, 0.12) - _if(office & searched, 0.08) - _if(person & ~identity, 0.16) - _if(low_signal, 0.2) + _if(contact_page, 0.03) - _if(~relevant, 0.24)
+        - _if(local.isin(GENERIC_EMAIL_PREFIXES), 0.08) + _if(domain.endswith(".edu"), 0.05) + _if(looks.known_domain, 0.04) - _if(domain.isin(FREE_EMAIL_DOMAINS) & searched, 0.08)
+        - _if(searched & ~looks.identity, 0.12) - _if(looks.office & searched, 0.08) - _if(looks.person & ~looks.identity, 0.16) - _if(looks.low_signal, 0.2) + _if(looks.contact_page, 0.03) - _if(~looks.relevant, 0.24)
     )
     return _bounded(score, 0.95)
 
@@ -151,8 +149,8 @@ def handle_score(url: Column, provider: Column, title: Column, text: Column, que
     return _bounded(score, 0.95)
 
 
-def source_identity(url: Column, title: Column, snippet: Column, name: Column, slug: Column, conflict: Column) -> Column:
-    """[D16] struct of decision (match, weak_match, reject), confidence and reason. conflict: another organisation is named."""
+def source_identity(url: Column, title: Column, snippet: Column, name: Column, slug: Column) -> Column:
+    """[D16] struct of decision (match, weak_match, reject), confidence and reason."""
     host, path = S.url_host(url), F.lower(S.url_path(url))
     parts = [F.lower(F.coalesce(title, F.lit(""))), F.lower(F.coalesce(snippet, F.lit(""))), host, path]
     text = F.concat_ws(" ", *parts)
@@ -172,7 +170,7 @@ def source_identity(url: Column, title: Column, snippet: Column, name: Column, s
     return (
         F.when(host == "", made("reject", 0, "missing_host"))
         .when(S.on_hosts(host, BLOCKED_SOURCE_HOSTS), made("reject", 0, "blocked_host"))
-        .when(conflict, made("reject", 0.05, "cross_fraternity_conflict"))
+        .when(names_another(name, slug, title, snippet, host, path), made("reject", 0.05, "cross_fraternity_conflict"))
         .when(_any(plain, OTHER_MARKERS) & (context == 0), made("reject", _bounded(score, 0.2), "non_org_context"))
         .when(sure >= 0.72, made("match", F.bround(sure, 4), "identity"))
         .when(sure >= 0.48, made("weak_match", F.bround(sure, 4), "identity"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmesh.functions import scalars as S
+from quillmesh.operators import organisations as O
 from quillmesh.operators.candidates import BLOCKED_SOURCE_HOSTS, source_quality
 
 
@@ -394,20 +395,13 @@ def national_capability(url: Column, title: Column, text: Column) -> Column:
 
 
 def alias_matches(zones: DataFrame, aliases: DataFrame) -> DataFrame:
-    """[J18] zone_id and alias rows where the zone's text holds the alias's words in order, however many they are.
+    """[J18] zone_id, fraternity_id and alias where the zone's text holds the alias's words in order, however many they are.
 
-    zones: zone_id, text; aliases: fraternity_id, alias. Instead of comparing all with all, words that begin an alias are
-    joined with the lengths of the aliases that they begin, then the runs of those lengths with the aliases.
+    zones: zone_id (unique), text; aliases: fraternity_id, alias.
     """
-    plain = lambda c: F.trim(F.regexp_replace(F.lower(S.greek_names(c)), "[^a-z0-9]+", " "))
-    a = aliases.select("fraternity_id", "alias", plain("alias").alias("key")).where("key <> ''")
-    firsts = a.select(F.split("key", " ").alias("w")).select(F.col("w")[0].alias("first"), F.size("w").alias("n")).groupBy("first").agg(F.collect_set("n").alias("lengths"))
-    words = zones.select("zone_id", F.split(plain("text"), " ").alias("w"))
-    longest = firsts.agg(F.max(F.array_max("lengths"))).first()[0] or 1
-    starts = words.select("zone_id", F.explode(F.transform("w", lambda x, i: F.struct(x.alias("first"), F.slice(F.col("w"), i + 1, F.lit(longest)).alias("run")))).alias("x")).select("zone_id", "x.*")
-    runs = starts.join(firsts, "first").select("zone_id", "run", F.explode("lengths").alias("n")).where(F.size("run") >= F.col("n"))
-    keys = runs.select("zone_id", F.array_join(F.slice("run", F.lit(1), F.col("n")), " ").alias("key")).distinct()
-    return keys.join(a, "key").select("zone_id", "fraternity_id", "alias").distinct()
+    a = aliases.select("fraternity_id", "alias", O.name_key("alias").alias("key")).where("key <> ''")
+    found = O.marks(zones.select("zone_id", "text"), a, "zone_id").select("zone_id", "key").distinct()
+    return found.join(a, "key").select("zone_id", "fraternity_id", "alias").distinct()
 
 
 def validity(name: Column, school: Column, signals: Column, greek: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions import scalars as S
 from quillmesh.operators import candidates as C
+from quillmesh.operators import organisations as O
 from quillmesh.operators import scoring as D
 from quillmesh.plans.analogs import duck_sql, run_sql
 
@@ -30,13 +31,21 @@ FOUND = f"""select id, coalesce({_pick(13, None, "https://www.sigmachi.org/chapt
     {_pick(6, "Official Sigma Chi International Fraternity", "Kappa Sigma chapter directory", "Tau Kappa Epsilon", "Software tutorial", "Alumni of Sigma Chi")} as title,
     {_pick(7, "The official website of the chapter", "A fraternity with chapters and brotherhood: Sigma Chi", "vacation on an island", "directory of Kappa Sigma", "greek life and ifc")} as snippet,
     {_pick(3, "Sigma Chi", "Kappa Sigma", "Tau Kappa Epsilon")} as name, {_pick(3, "sigma-chi", "kappa-sigma", "tau-kappa-epsilon")} as slug,
-    id % 12 + 1 as rank_, id % 11 = 0 as conflict, {_pick(7, "provenance", "search_result", "search_page", "chapter_website", "nationals_directory", "source_page", of="(id + 2)")} as provider,
+    id % 12 + 1 as rank_, {_pick(7, "provenance", "search_result", "search_page", "chapter_website", "nationals_directory", "source_page", of="(id + 2)")} as provider,
     {_pick(5, "https://www.state.edu/orgs/list", "https://greek.tech.example.com/chapters/", "https://example.org/contact", "https://facebook.com/x", of="(id + 1)")} as doc_url,
     {_pick(4, "https://sigmachi.org/", "https://kappasigma.org/chapters", "https://example.org", of="(id + 3)")} as source_url, {_pick(3, "Beta Rho", "Texas Tech Chapter", "Zeta", of="(id + 1)")} as chapter, {_pick(4, "Texas Tech University", "State College", "Rice University")} as school,
     {_pick(8, "info@sigmachi.org", "betarho@gmail.com", "jane.doe@state.edu", "office@greek.tech.example.com", "rho@yahoo.com", "HQ@tke.org", "sigma@rice.edu", "x@example.org", of="(id + 5)")} as email,
     {_pick(12, *(f"https://www.instagram.com/{h}" for h in ("ttusigmachi_texastechchapter", "kappasigma.state", "tke_betarho", "sc", "ks_ttu", "riceuniversity", "sigchi.official", "ttukappasigma", "hq", "sigma_chi_ttc", "rice", "tau.kappa.epsilon_zeta")))} as handle,
     text from (select page_id as id, url, text from {{pages}} left join {{documents}} on doc_id = page_id) t"""
 
+#: Found addresses and their jobs: documents that name the job's organisation and school, others of like names, or none.
+MAILS = f"""select id, provider, doc_url, source_url, title, chapter, {_pick(4, "sigma-chi", "kappa-sigma", "tau-kappa-epsilon", "phi-gamma-delta-national", of="(id + 1)")} as slug,
+    {_pick(7, "Texas Tech University", "University of Texas", "Rice University", "Florida State University", "State College", "University of the South", of="(id + 2)")} as school, {_pick(5, "https://ttusigchi.example.org/", "https://www.x.org", of="(id + 1)")} as website,
+    coalesce({_pick(14, "info@sigmachi.org", "ttu.president@gmail.com", "betarho@gmail.com", "jane.doe@state.edu", "office@greek.tech.example.com", "greeklife@ttu.edu", "john_smith12@mail.ttusigchi.example.org", "HQ@tke.org", "sigmachi@rice.edu", "x@example.org", "jane.roe@tech.example.com", "rush-chair@kappasigma.org", "fsu.zeta@yahoo.com", of="(id + 5)")}, email) as email,
+    coalesce({_pick(15, "Contact the president of Sigma Chi at Texas Tech University. ", "The North University of Texas chapter of FIJI. ", "Texas State University news and events. ", "Kappa Sigma at Rice University: officers. ", "University of Florida, Tau Kappa Epsilon. ", "Delta Chi fraternity and Beta Theta Pi. ",
+      "Sigma Chi, University of Texas. Email the rush chair of Beta Rho. ", "TKE at Texas Tech: scholarships. ", "Leadership of Phi Gamma Delta at the University of the South. ", "Rice University Zeta chapter of Kappa Sigma. ", of="(id + 3)")}, '') || text as text
+    from ({FOUND}) f"""
+
 #: Evidence of handles: names of source types, page scopes and specificities.
 TYPED = f"""select id, {_pick(29, *C.SOURCE_TYPE_ALIASES, " Search ", "authoritative_bundle", "unheard_of")} as named, {_pick(5, "school_specific", "national_specific_to_chapter", "chapter_specific", " ", of="(id + 3)")} as specificity,
     {_pick(7, "school_page", "international", "chapter_site", "the chapter_website", of="(id + 1)")} as scope, {_pick(11, "https://x.edu/a", "https://n.org/chapter-directory", "https://n.org/find-a-chapter", "https://n.org/chapters/1", "https://instagram.com/x", "https://y.org/page", " ", of="(id + 2)")} as url,
@@ -60,7 +69,7 @@ def _on(cases: str, make: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 def _guard() -> Column:
-    return C.source_identity(F.col("url"), F.col("title"), F.col("snippet"), F.col("name"), F.col("slug"), F.col("conflict"))
+    return C.source_identity(F.col("url"), F.col("title"), F.col("snippet"), F.col("name"), F.col("slug"))
 
 
 def discovery(d: DataFrame) -> DataFrame:
@@ -76,12 +85,12 @@ def websites(d: DataFrame) -> DataFrame:
 
 
 def emails(d: DataFrame) -> DataFrame:
-    flag = lambda k: F.col("id") % k == 0
-    score = C.email_score(
-        F.col("email"), F.col("provider"), F.col("doc_url"), F.col("title"), F.col("text"), _words(), C.website_tier(F.col("doc_url"), _campus(), F.col("source_url")),
-        mailto=flag(2), obfuscated=flag(5), identity=flag(3), office=flag(4), person=flag(6), known_domain=flag(8), low_signal=flag(13), contact_page=flag(9), **_free(),
-    )
-    return d.select("id", F.round(score, 6).alias("score"))
+    d = d.withColumn("job", O.job_facts(F.col("slug"), F.col("chapter"), F.lit(None).cast("string"), F.col("school")))
+    tier = C.website_tier(F.col("doc_url"), _campus(), F.col("source_url"))
+    looks = O.mail_facts(F.col("email"), F.col("job"), *(F.col(c) for c in ("provider", "doc_url", "title", "text")), tier, _campus(), F.col("source_url"), F.col("website"))
+    score = C.email_score(F.col("email"), F.col("provider"), F.col("doc_url"), F.col("title"), F.col("text"), _words(), tier, looks, mailto=F.col("id") % 2 == 0, obfuscated=F.col("id") % 5 == 0)
+    facts = {k: v for k, v in vars(looks).items() if k != "low_signal"}
+    return d.select("id", *(v.alias(k) for k, v in facts.items()), F.round(score, 6).alias("score"))
 
 
 def handles(d: DataFrame) -> DataFrame:
@@ -120,7 +129,7 @@ QUERIES: dict[str, Query] = {
     "c38_source_quality": _on(FOUND, qualities),
     "c42_org_densities": lambda spark, sf_dir: run_sql(spark, sf_dir, f"select id, repeat(coalesce(title, '') || ' ' || coalesce(snippet, ''), cast(id % 9 as int)) || ' ' || text as t from ({FOUND}) c").select("id", S.org_density("t").alias("density")),
     "d15_discovery_scores": _on(FOUND, discovery),
-    "d22_email_scores": _on(FOUND, emails),
+    "d22_email_scores": _on(MAILS, emails),
     "d23_handle_scores": _on(FOUND, handles),
     "d24_website_scores": _on(FOUND, websites),
     "d26_resolutions": _on(TYPED, resolutions),
@@ -186,17 +195,70 @@ _WEB = f"""with c as ({FOUND}), f as (select *, {_tier("url")} as tier, {_tier("
         + {_if("on_page and doc_tier = 'tier1' and doc_listing", 0.08)} + {_if("on_page and doc_tier = 'tier1' and doc_listing and host <> '' and host <> doc_host and not listing", 0.08)} - {_if("listing", 0.18)} - {_if("listing and provider = 'search_result'", 0.12)} as raw from f)
     select id, tier, case when tier = 'blocked' then 0e0 else round(greatest(0e0, least(0.95e0, case when tier = 'tier2' then least(raw - 0.08e0, 0.78e0) else raw end + 0.03e0 * {_hits("url")})), 6) end as score from s"""
 
-_MAIL = f"""with c as ({FOUND}), f as (select *, {_tier("doc_url")} as doc_tier, lower(split_part(email, '@', 1)) as local_, lower(split_part(email, '@', 2)) as dom, coalesce(provider in ('search_result', 'search_page'), false) as searched from c)
-    select id, round(greatest(0e0, least(0.95e0, {_base(C.EMAIL_BASE, C.EMAIL_DEFAULT)} + {_if("id % 2 = 0", 0.05)} - {_if("id % 5 = 0", 0.04)} + 0.02e0 * {_hits("email")} + 0.025e0 * least(6, id % 9) + {_if("doc_tier = 'tier1'", 0.05)} - {_if("doc_tier = 'blocked'", 0.25)}
-        + {_if("regexp_matches(lower(doc_url), 'contact|officer|leadership|board|about|staff')", 0.03)} - {_if(f"list_contains({_list(C.GENERIC_EMAIL_PREFIXES)}, local_)", 0.08)} + {_if("ends_with(dom, '.edu')", 0.05)} + {_if("id % 8 = 0", 0.04)}
-        - {_if(f"list_contains({_list(C.FREE_EMAIL_DOMAINS)}, dom) and searched", 0.08)} - {_if("searched and id % 3 <> 0", 0.12)} - {_if("searched and id % 4 = 0", 0.08)} - {_if("id % 6 = 0 and id % 3 <> 0", 0.16)} - {_if("id % 13 = 0", 0.2)} + {_if("id % 9 = 0", 0.03)} - {_if("id % 7 = 0", 0.24)})), 6) as score from f"""
+def _plain(*parts: str) -> str:
+    return f"trim(regexp_replace(lower(concat_ws(' ', {', '.join(parts)})), '[^a-z0-9]+', ' ', 'g'))"
+
+
+def _split(text: str, keep: str) -> str:
+    return f"list_filter(string_split({text}, ' '), lambda w: w <> '' and {keep})"
+
+
+_SHORT = "w not in ('the', 'and', 'of', 'for')"
+_FIRSTS = "array_to_string(list_transform(" + _split("{0}", "w not in ('of', 'the', 'and', 'at')") + ", lambda w: w[1]), '')"
+
+
+def _telling(text: str) -> str:
+    long = _split(text, f"len(w) >= 4 and not list_contains({_list(O.MATCH_STOPWORDS)}, w)")
+    return f"case when len({long}) > 0 then {long} else {_split(text, f'len(w) >= 3 and {_SHORT}')} end"
+
+
+_ALL_GREEK = _list([*S.GREEK.values()])
+_RUNS = "\\b(?:" + "|".join(S.GREEK.values()) + ")(?:\\s+(?:" + "|".join(S.GREEK.values()) + ")){1,3}\\b"
+
+
+def _own(x: str) -> str:
+    """Whether a plain text names the organisation."""
+    j = f"replace({x}, ' ', '')"
+    return f"""(phrase <> '' and {x} <> '' and (contains({x}, phrase) or contains({j}, replace(phrase, ' ', '')) or len(list_filter(aliases, lambda a: contains({x}, a) or case when regexp_full_match(replace(a, ' ', ''), '[a-z]{{1,3}}')
+        then contains(' ' || {x} || ' ', ' ' || replace(a, ' ', '') || ' ') else contains({j}, replace(a, ' ', '')) end)) > 0
+        or len(tokens) > 0 and len(list_filter(tokens, lambda w: contains({x}, w))) >= case when len(list_filter(tokens, lambda w: not list_contains({_ALL_GREEK}, w))) = 0 then len(tokens) else least(len(tokens), 2) end))"""
+
+
+def _other(x: str) -> str:
+    return f"({x} <> '' and phrase <> '' and not contains({x}, phrase) and regexp_matches({x}, '{_RUNS}'))"
+
+
+_MAIL = f"""with c as ({MAILS}), n as (select *, {_plain("replace(coalesce(slug, ''), '-', ' ')")} as shown, {_plain("coalesce(school, '')")} as sch, {_plain("coalesce(chapter, '')")} as cha, {_tier("doc_url")} as doc_tier,
+        lower(split_part(email, '@', 1)) as local_, lower(split_part(email, '@', 2)) as dom, coalesce(provider in ('search_result', 'search_page'), false) as searched,
+        {_plain("title", "substr(text, 1, 1200)", "doc_url", "email")} as near, {_plain("title", "substr(text, 1, 1200)", "doc_url")} as page, {_plain("title", "substr(text, 1, 900)", "doc_url")} as front, {_plain("title", "substr(text, 1, 300)", "doc_url")} as start_, {_plain("title")} as head from c),
+    o as (select *, array_to_string({_split("shown", f"not list_contains({_list(O.NO_IDENTITY)}, w)")}, ' ') as phrase, {_split("shown", f"len(w) >= 3 and {_SHORT}")} as own_words, {_telling("sch")} as sw, {_telling("cha")} as cw, regexp_replace(local_, '[^a-z0-9]+', '', 'g') as lj, {_FIRSTS.format("shown")} as ini, {_FIRSTS.format("sch")} as sini from n),
+    p as (select *, {_split("phrase", f"len(w) >= 3 and {_SHORT}")} as tokens, {_FIRSTS.format("phrase")} as pini, list_filter(cw, lambda w: not list_contains(sw, w) and not list_contains(own_words, w) and not list_contains({_list(O.CHAPTER_STOPWORDS)}, w)) as signal_ from o),
+    q as (select *, list_filter([phrase, case when len(replace(phrase, ' ', '')) >= 6 then replace(phrase, ' ', '') else '' end, case when len(pini) >= 2 then pini else '' end, array_to_string({_split("phrase", "true")}[1:2], ' '), array_to_string({_split("shown", "w not in ('main', 'national')")}, ' '),
+          case phrase {" ".join(f"when '{k}' then '{v[0]}'" for k, v in O.SEARCH_NAMES.items())} else '' end], lambda a: a <> '') as aliases,
+        starts_with(sch, 'university of ') as of_, regexp_replace(sch, '^university of | state university$', '') as core, case when sch <> '' then regexp_extract(near, '\\b([a-z0-9]+) ' || sch || '\\b', 1) else '' end as pre from p),
+    r as (select *, {_own("near")} as own, sch <> '' and (of_ and pre <> '' and not list_contains({_list(O.PREFIXES_ALLOWED)}, pre) and not list_contains(own_words, pre) and not list_contains(tokens, pre)
+          or of_ and core <> '' and contains(near, core || ' state') or ends_with(sch, ' state university') and core <> '' and contains(near, 'university of ' || core) and not contains(near, sch)) as clash,
+        len(list_filter(signal_, lambda w: contains(near, w))) > 0 as chap, lj <> '' and (contains(lj, replace(shown, ' ', '')) or len(sini) >= 3 and contains(lj, sini) or len(list_filter(cw, lambda w: len(w) >= 4 and contains(lj, w))) > 0 or len(ini) >= 3 and contains(lj, ini)) as identity,
+        list_contains({_list(O.OFFICE_PREFIXES)}, local_) or {_n("local_", O.OFFICE_MARKERS)} > 0 as office, regexp_full_match(local_, '[a-z]{{2,}}[._-][a-z]{{2,}}[0-9]{{0,4}}') as person, {_n("page", O.ROLE_MARKERS)} > 0 as contact_page, {_n("front", O.LOW_SIGNAL_MARKERS)} > 0 as low_,
+        dom <> '' and (ends_with(dom, '.edu') or {" or ".join(f"coalesce({h} <> '' and (dom = {h} or ends_with(dom, '.' || {h})), false)" for h in (_host("website"), _host("source_url"), "'tech.example.com'"))}) as known_domain from q),
+    s as (select *, not clash and (sch <> '' and contains(near, sch) or len(sw) > 0 and len(list_filter(sw, lambda w: contains(near, w))) >= least(len(sw), 2)) as at_school, {_other("head")} or {_other("start_")} and not {_own("start_")} as other from r),
+    t as (select *, case when clash then false when office and not identity then coalesce(provider = 'chapter_website', false) and own and contact_page and (at_school or chap)
+          when coalesce(provider = 'provenance', false) and known_domain and not office and not other then true when doc_tier = 'tier1' and coalesce(provider <> 'provenance', true) and not (own or chap or identity) then false
+          else identity and (at_school or chap or own) or own and (at_school or chap) and known_domain or contact_page and (at_school or chap) and known_domain and not office end as relevant,
+        at_school::int * 2 + own::int * 2 + chap::int + known_domain::int as overlap from s)
+    select id, identity, office, person, known_domain, overlap, contact_page, relevant, round(greatest(0e0, least(0.95e0, {_base(C.EMAIL_BASE, C.EMAIL_DEFAULT)} + {_if("id % 2 = 0", 0.05)} - {_if("id % 5 = 0", 0.04)} + 0.02e0 * {_hits("email")} + 0.025e0 * least(6, overlap) + {_if("doc_tier = 'tier1'", 0.05)} - {_if("doc_tier = 'blocked'", 0.25)}
+        + {_if("regexp_matches(lower(doc_url), 'contact|officer|leadership|board|about|staff')", 0.03)} - {_if(f"list_contains({_list(C.GENERIC_EMAIL_PREFIXES)}, local_)", 0.08)} + {_if("ends_with(dom, '.edu')", 0.05)} + {_if("known_domain", 0.04)}
+        - {_if(f"list_contains({_list(C.FREE_EMAIL_DOMAINS)}, dom) and searched", 0.08)} - {_if("searched and not identity", 0.12)} - {_if("searched and office", 0.08)} - {_if("person and not identity", 0.16)} - {_if("low_", 0.2)} + {_if("contact_page", 0.03)} - {_if("not relevant", 0.24)})), 6) as score from t"""
+
+_NAMED = f"trim(regexp_replace(combined, '\\s+', ' ', 'g'))"
+_CLASH = f"""not contains({_NAMED}, lower(name)) and not contains({_NAMED}, replace(slug, '-', ' ')) and not contains({_NAMED}, replace(slug, '-', '')) and not (len({_FIRSTS.format("lower(name)")}) >= 3 and contains({_NAMED}, {_FIRSTS.format("lower(name)")})) and regexp_matches({_NAMED}, '{_RUNS}')"""
 
 _DISCOVERY = f"""with c as ({FOUND}), f as (select *, lower(coalesce(title, '')) as t, lower(coalesce(snippet, '')) as s, {_host("url")} as host, lower({_path("url")}) as path, {_joined("name")} as wanted from c),
     g as (select *, concat_ws(' ', t, s, host, path) as combined, concat_ws(' ', t, s, path) as tsp, trim(regexp_replace(concat_ws(' ', t, s, host, path), '[^a-z0-9]+', ' ', 'g')) as plain, {_joined("host")} as jh, list_filter(string_split(path, '/'), lambda p: p <> '') as segs from f),
     h as (select *, len(list_filter(string_split(lower(name), ' '), lambda w: contains(jh, w))) as tokens, {_n("tsp", C.IDENTITY_DIRECTORY_MARKERS)} > 0 as dir_, {_n("plain", C.IDENTITY_CONTEXT_MARKERS)} as ctx, {_n("tsp", C.CONTEXT_MARKERS)} as ctx2, len(segs) = 1 and list_contains({_list(C.GENERIC_SEGMENTS)}, segs[1]) as generic from g),
     i as (select *, 0.18e0 + {_if(f"contains({_joined('t')}, wanted) or contains({_joined('s')}, wanted) or contains(jh, wanted) or contains({_joined('path')}, wanted)", 0.3)} + {_if(f"contains(jh || {_joined('path')}, replace(slug, '-', ''))", 0.18)} + case when tokens >= 2 then 0.14e0 when tokens = 1 then 0.08e0 else 0e0 end
         + {_if("dir_", 0.16)} + case when ctx >= 2 then 0.12e0 when ctx = 1 then 0.06e0 else 0e0 end - {_if("len(segs) = 0", 0.05)} - {_if("generic and not dir_", 0.18)} as raw from h),
-    j as (select *, case when host = '' then 'missing_host' when {_below("host", C.BLOCKED_SOURCE_HOSTS)} then 'blocked_host' when conflict then 'cross_fraternity_conflict' when {_n("plain", C.OTHER_MARKERS)} > 0 and ctx = 0 then 'non_org_context' when round(raw, 9) >= 0.48 then 'identity' else 'low_identity_confidence' end as reason from i),
+    j as (select *, case when host = '' then 'missing_host' when {_below("host", C.BLOCKED_SOURCE_HOSTS)} then 'blocked_host' when {_CLASH} then 'cross_fraternity_conflict' when {_n("plain", C.OTHER_MARKERS)} > 0 and ctx = 0 then 'non_org_context' when round(raw, 9) >= 0.48 then 'identity' else 'low_identity_confidence' end as reason from i),
     k as (select *, case when reason <> 'identity' then 'reject' when round(raw, 9) >= 0.72 then 'match' else 'weak_match' end as decision, case when reason in ('missing_host', 'blocked_host') then 0e0 when reason = 'cross_fraternity_conflict' then 0.05e0 when reason = 'non_org_context' then greatest(0e0, least(raw, 0.2e0)) else greatest(0e0, least(raw, 0.99e0)) end as confidence,
         0.36e0 + {_if(f"contains({_joined('t')}, wanted)", 0.2)} + {_if(f"contains({_joined('s')}, wanted)", 0.1)} + {_if("contains(jh, wanted)", 0.16)} + {_if(" or ".join(f"slug = '{k}' and {_below('host', v)}" for k, v in C.HOST_HINTS.items()), 0.35)} + case when tokens >= 2 then 0.12e0 when tokens = 1 then 0.06e0 else 0e0 end
         + case when {_n("path", C.DIRECTORY_MARKERS)} > 0 then 0.12e0 when generic then -0.18e0 else 0e0 end + {_if("regexp_matches(t, 'official|international|fraternity')", 0.08)} + {_if("regexp_matches(s, 'official|chapter|directory|fraternity')", 0.06)} - {_if("contains(tsp, 'alumni')", 0.3)} - {_if("ends_with(path, '.pdf')", 0.25)}
