@@ -143,7 +143,11 @@ def marks(texts: DataFrame, keys: DataFrame, row_id: str, text: str = "text", mo
 
     row_id is unique. Names that overlap or hold one another are found each. Null texts hold none.
     """
-    rows = texts.select(*(c for c in texts.columns if c != text), name_key(text).alias("words"))
+    return found_in(texts.select(*(c for c in texts.columns if c != text), name_key(text).alias("words")), keys, row_id, most)
+
+
+def found_in(rows: DataFrame, keys: DataFrame, row_id: str, most: int = AUTOMATON_WORDS) -> DataFrame:
+    """``marks`` of rows whose last column, words, is a key already."""
     distinct = keys.select("key").distinct()
     size = distinct.agg(F.sum(F.size(F.split("key", " ")))).first()[0] or 0
     if size > most:
@@ -167,9 +171,9 @@ def zone_matches(zones: DataFrame, organisations: DataFrame, most: int = AUTOMAT
     only nicknames do.
     """
     n = names(organisations).where(~F.col("key").isin(AMBIGUOUS))
-    key = name_key("text")
-    facts = zones.select("zone_id", "text", _any(key, ZONE_CONTEXT).alias("context"), other_campus(key, name_key("school")).alias("elsewhere")).where("not elsewhere").drop("elsewhere")
-    found = marks(facts, n, "zone_id", most=most).select("zone_id", "context", "key").distinct().join(n, "key").where("context or nickname")
+    keyed = zones.select("zone_id", name_key("text").alias("words"), name_key("school").alias("campus"))
+    rows = keyed.select("zone_id", _any(F.col("words"), ZONE_CONTEXT).alias("context"), other_campus(F.col("words"), F.col("campus")).alias("elsewhere"), "words")
+    found = found_in(rows.where("not elsewhere").select("zone_id", "context", "words"), n, "zone_id", most).select("zone_id", "context", "key").distinct().join(n, "key").where("context or nickname")
     first = F.min(F.struct("rank", F.col("key").alias("alias"))).alias("f")
     found = found.groupBy("zone_id", "organisation_id", "context").agg(first)
     return found.select("zone_id", "organisation_id", "f.alias", F.when(F.col("context"), "exact_alias").otherwise("nickname").alias("method"), F.when(F.col("context"), 0.99).otherwise(0.94).alias("confidence"))
@@ -179,7 +183,7 @@ def zone_matches(zones: DataFrame, organisations: DataFrame, most: int = AUTOMAT
 
 
 def _any(text: Column, words: list[str]) -> Column:
-    return F.exists(F.array(*map(F.lit, words)), text.contains)
+    return reduce(lambda a, b: a | b, map(text.contains, words))  # evaluates the text once, unlike a lambda over an array
 
 
 def _plain(*parts: Column) -> Column:
@@ -272,11 +276,10 @@ def chapter_matches(job: Column, text: Column) -> Column:
     return F.exists(job["chapter_signal"], text.contains)
 
 
-def names_other_organisation(job: Column, title: Column, text: Column, url: Column) -> Column:
-    """Whether a document names another organisation: in its title, or at its start without the job's."""
+def names_other_organisation(job: Column, title: Column, start: Column) -> Column:
+    """Whether a document names another organisation: in its (plain) title, or at its (plain) start without the job's."""
     other = lambda x: (x != "") & (job["phrase"] != "") & ~x.contains(job["phrase"]) & (F.size(S.greek_phrases(x)) > 0)
-    start = _plain(title, F.substring(text, 1, 300), url)
-    return other(_plain(title)) | (other(start) & ~organisation_matches(job, start))
+    return other(title) | (other(start) & ~organisation_matches(job, start))
 
 
 @dataclass(frozen=True)
@@ -293,25 +296,30 @@ class Mail:
     relevant: Column
 
 
-def mail_facts(email: Column, job: Column, provider: Column, doc_url: Column, title: Column, text: Column, doc_tier: Column, campus_domains: Column, source_url: Column, website: Column) -> Mail:
-    """[D22] From an address, its document and the job (``job_facts``)."""
+def mail_facts(df: DataFrame, email: Column, job: Column, provider: Column, doc_url: Column, title: Column, text: Column, doc_tier: Column, campus_domains: Column, source_url: Column, website: Column) -> tuple[DataFrame, Mail]:
+    """[D22] From an address, its document and the job (``job_facts``); df gets the texts that the facts are read from."""
+    limits = {"_near": 1200, "_page": 1200, "_front": 900, "_start": 300}
+    df = df.withColumns({k: _plain(title, F.substring(text, 1, n), doc_url, *([email] if k == "_near" else [])) for k, n in limits.items()} | {"_head": _plain(title), "_job": job, "_tier": doc_tier})
+    near, page, front, start, head, job, doc_tier = map(F.col, ("_near", "_page", "_front", "_start", "_head", "_job", "_tier"))
     local, domain = F.lower(F.substring_index(email, "@", 1)), F.when(email.contains("@"), F.lower(F.trim(F.substring_index(email, "@", -1)))).otherwise("")
     joined = F.regexp_replace(local, "[^a-z0-9]+", "")
     holds = lambda x, least: (F.length(x) >= least) & joined.contains(x)
-    identity = (joined != "") & (holds(job["compact"], 1) | holds(job["school_initials"], 3) | F.exists(job["chapter_words"], lambda w: holds(w, 4)) | holds(job["initials"], 3))
-    office = local.isin(OFFICE_PREFIXES) | _any(local, OFFICE_MARKERS)
     at = lambda host: F.coalesce((host != "") & ((domain == host) | domain.endswith(F.concat(F.lit("."), host))), F.lit(False))
-    known = (domain != "") & (domain.endswith(".edu") | at(S.url_host(website)) | at(S.url_host(source_url)) | F.coalesce(F.exists(campus_domains, lambda d: at(F.lower(d))), F.lit(False)))
-    near = _plain(title, F.substring(text, 1, 1200), doc_url, email)
-    school, own, chapter = school_matches(job, near), organisation_matches(job, near), chapter_matches(job, near)
-    contact = _any(_plain(title, F.substring(text, 1, 1200), doc_url), ROLE_MARKERS)
+    df = df.withColumns({
+        "_identity": (joined != "") & (holds(job["compact"], 1) | holds(job["school_initials"], 3) | F.exists(job["chapter_words"], lambda w: holds(w, 4)) | holds(job["initials"], 3)),
+        "_office": local.isin(OFFICE_PREFIXES) | _any(local, OFFICE_MARKERS),
+        "_known": (domain != "") & (domain.endswith(".edu") | at(S.url_host(website)) | at(S.url_host(source_url)) | F.coalesce(F.exists(campus_domains, lambda d: at(F.lower(d))), F.lit(False))),
+        "_clash": school_conflicts(job, near), "_school": school_matches(job, near), "_own": organisation_matches(job, near), "_chapter": chapter_matches(job, near), "_contact": _any(page, ROLE_MARKERS),
+        "_other": names_other_organisation(job, head, start),
+    })
+    identity, office, known, clash, school, own, chapter, contact, other = map(F.col, ("_identity", "_office", "_known", "_clash", "_school", "_own", "_chapter", "_contact", "_other"))
     strong, tier1 = contact & (school | chapter), doc_tier == "tier1"
     relevant = (
-        F.when(school_conflicts(job, near), False)
+        F.when(clash, False)
         .when(office & ~identity, F.coalesce(provider == "chapter_website", F.lit(False)) & own & strong)
-        .when((provider == "provenance") & known & ~office & ~names_other_organisation(job, title, text, doc_url), True)
+        .when((provider == "provenance") & known & ~office & ~other, True)
         .when(tier1 & F.coalesce(provider != "provenance", F.lit(True)) & ~(own | chapter | identity), False)
         .otherwise((identity & (school | chapter | own)) | (own & (school | chapter) & known) | (strong & known & ~office))
     )
     overlap = reduce(lambda a, b: a + b, (F.when(c, p).otherwise(0) for c, p in ((school, 2), (own, 2), (chapter, 1), (known, 1))))
-    return Mail(identity, office, local.rlike("^[a-z]{2,}[._-][a-z]{2,}[0-9]{0,4}$"), known, overlap, contact, _any(_plain(title, F.substring(text, 1, 900), doc_url), LOW_SIGNAL_MARKERS), relevant)
+    return df, Mail(identity, office, local.rlike("^[a-z]{2,}[._-][a-z]{2,}[0-9]{0,4}$"), known, overlap, contact, _any(front, LOW_SIGNAL_MARKERS), relevant)

@@ -87,7 +87,7 @@ def websites(d: DataFrame) -> DataFrame:
 def emails(d: DataFrame) -> DataFrame:
     d = d.withColumn("job", O.job_facts(F.col("slug"), F.col("chapter"), F.lit(None).cast("string"), F.col("school")))
     tier = C.website_tier(F.col("doc_url"), _campus(), F.col("source_url"))
-    looks = O.mail_facts(F.col("email"), F.col("job"), *(F.col(c) for c in ("provider", "doc_url", "title", "text")), tier, _campus(), F.col("source_url"), F.col("website"))
+    d, looks = O.mail_facts(d, F.col("email"), F.col("job"), *(F.col(c) for c in ("provider", "doc_url", "title", "text")), tier, _campus(), F.col("source_url"), F.col("website"))
     score = C.email_score(F.col("email"), F.col("provider"), F.col("doc_url"), F.col("title"), F.col("text"), _words(), tier, looks, mailto=F.col("id") % 2 == 0, obfuscated=F.col("id") % 5 == 0)
     facts = {k: v for k, v in vars(looks).items() if k != "low_signal"}
     return d.select("id", *(v.alias(k) for k, v in facts.items()), F.round(score, 6).alias("score"))

@@ -135,7 +135,7 @@ def test_mail_facts(spark):
     df = spark.createDataFrame([(i, *m[:4]) for i, m in enumerate(MAILS)], "i int, email string, provider string, url string, t string")
     df = df.withColumn("job", O.job_facts(F.lit("sigma-chi"), F.lit("Beta Rho"), F.lit(None).cast("string"), F.lit("Texas Tech University")))
     campus, source, website = F.array(F.lit("ttu.edu")), F.lit("https://own.org/list"), F.lit(None).cast("string")
-    looks = O.mail_facts(F.col("email"), F.col("job"), F.col("provider"), F.col("url"), F.lit(""), F.col("t"), C.website_tier(F.col("url"), campus, source), campus, source, website)
+    df, looks = O.mail_facts(df, F.col("email"), F.col("job"), F.col("provider"), F.col("url"), F.lit(""), F.col("t"), C.website_tier(F.col("url"), campus, source), campus, source, website)
     for r in df.select("i", *(v.alias(k) for k, v in vars(looks).items())).collect():
         want = MAILS[r["i"]][4]
         assert {k: r[k] for k in want} == want, MAILS[r["i"]]
