@@ -161,7 +161,6 @@ QUERIES: dict[str, Query] = {
     "d47_contact_hints": _pages(H.contact_hints),
     "j18_alias_zones": aliases,
     "k06_directory_links": _pages(H.directory_links),
-    "s05_stubs": _pages(H.stub_records),
     "s18_requested_jobs": _on("chapters", lambda d: M.requested(d, ["find_email", "find_website"])),
     "u01_chapter_upsert": upsert,
     "u05_insert_absent": insert_absent,

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from quillmesh.operators import organisations as O
 from quillmesh.plans.analogs import duck_sql, run_sql
 from quillmesh.plans.decisions import _list, _pick, _split
+from quillmesh.sources import blocks as B
+from quillmesh.sources import html as H
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,5 +45,33 @@ _ZONE_SQL = f"""with o as (select organisation_id, {_key("name")} as n, [{_key("
     m as (select zone_id, organisation_id, context, alias, row_number() over (partition by zone_id, organisation_id order by i) as r from g, k where not elsewhere and (context or nick) and contains(' ' || t || ' ', ' ' || alias || ' '))
     select zone_id, organisation_id, alias, case when context then 'exact_alias' else 'nickname' end as method, case when context then 0.99e0 else 0.94e0 end as confidence from m where r = 1"""
 
-QUERIES: dict[str, Query] = {"j18_zone_matches": zone_matches}
+#: Made blocks of directory pages, one a kind of reader, before the given pages' own HTML.
+SNIPPETS = [
+    '<div class="dir"><section><h2>Texas</h2><ul><li>Sigma Chi, Beta Rho, Texas Tech University <a href="/chapters/beta-rho">Chapter profile of Beta Rho</a></li><li>Kappa Sigma, Rice University</li></ul></section></div>',
+    "<script>var m = {'TX': {'hover': '<p>TEXAS o\\'brien</p>', 'url': 'https://x.org/tx'}, NY: {url: \"https://x.org/ny\", n: [1, {a: 2}], hover: \"<p>new york</p>\"}, bad: {hover: '<p>x</p>'</script>",
+    '<div class="wix-image"><a href="/chapters/">All</a><div><a href="/chapters/beta-rho">Read</a></div><section>At Rice University <a href="/chapters/x">More</a></section></div>',
+    '<section><h3 class="big chaptername">Rice University</h3><a href="https://facebook.com/x">f</a><a href="https://sigmachi.org/rice">site</a> <a href="mailto:a@rice.edu">mail</a></section><div class="chaptername">State College</div>',
+    "<p>Beta Rho chapter Texas Tech University</p><p>GAMMA XI CHAPTER RICE UNIVERSITY</p><span>Our history: ALPHA CHAPTER OHIO UNIVERSITY</span>",
+    '<ul><li class="chapter-card">Beta Rho - Rice University <a href="https://x.org/rice">w</a></li><li class="chapter-card">Zeta - State College</li></ul>',
+]
+BLOCKS = f"""select page_id, url, html, {_pick(4, "Texas Tech University", "Rice University", "University of Texas", of="page_id")} as school, {_pick(3, "Sigma Chi", "Kappa Sigma", of="page_id")} as organisation from {{pages}}"""
+
+
+def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = F.element_at(F.array(*map(F.lit, [*SNIPPETS, ""])), (F.col("page_id") % 7 + 1).cast("int"))
+    return run_sql(spark, sf_dir, f"select * from ({BLOCKS}) b").withColumn("html", F.concat(made, F.coalesce("html", F.lit(""))))
+
+
+def stubs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _blocks(spark, sf_dir)
+    cards = H.stub_records(H.parsed(pages)).withColumns({"detail_url": F.col("website_url"), "outbound_url": F.col("website_url"), "provenance": F.lit("card"), "place": F.col("card")})
+    return B.chapter_stubs(B.trees(pages.select("page_id", "url", "html", B.wix_like(F.col("html")).alias("wix"))), cards)
+
+
+QUERIES: dict[str, Query] = {
+    "d21_directory_blocks": lambda spark, sf_dir: B.directory_blocks(_blocks(spark, sf_dir)),
+    "d45_chapter_stubs": stubs,
+    "j18_zone_matches": zone_matches,
+    "s05_stubs": lambda spark, sf_dir: H.stub_records(H.parsed(_blocks(spark, sf_dir))),
+}
 ORACLE_SQL: dict[str, str] = {"j18_zone_matches": duck_sql(_ZONE_SQL)}
