@@ -238,7 +238,7 @@ def job_facts(slug: Column, chapter: Column, chapter_slug: Column, school: Colum
     by_slug = _plain(F.coalesce(chapter_slug, F.lit("")))
     return F.struct(
         phrase.alias("phrase"), tokens.alias("tokens"), F.array_distinct(F.filter(aliases, lambda a: a != "")).alias("aliases"), joined(shown).alias("compact"), _initials(shown).alias("initials"), F.array_distinct(F.concat(tokens, own_words)).alias("own_words"),
-        school.alias("school"), _significant(school).alias("school_words"), _initials(school).alias("school_initials"), _significant(chapter).alias("chapter_words"), F.when(F.size(signal(chapter)) > 0, signal(chapter)).otherwise(signal(by_slug)).alias("chapter_signal"),
+        chapter.alias("chapter"), _initials(chapter).alias("chapter_initials"), school.alias("school"), _significant(school).alias("school_words"), _initials(school).alias("school_initials"), _significant(chapter).alias("chapter_words"), F.when(F.size(signal(chapter)) > 0, signal(chapter)).otherwise(signal(by_slug)).alias("chapter_signal"),
     )
 
 
@@ -323,3 +323,10 @@ def mail_facts(df: DataFrame, email: Column, job: Column, provider: Column, doc_
     )
     overlap = reduce(lambda a, b: a + b, (F.when(c, p).otherwise(0) for c, p in ((school, 2), (own, 2), (chapter, 1), (known, 1))))
     return df, Mail(identity, office, local.rlike("^[a-z]{2,}[._-][a-z]{2,}[0-9]{0,4}$"), known, overlap, contact, _any(front, LOW_SIGNAL_MARKERS), relevant)
+
+
+def mail_alone(email: Column, job: Column, looks: Mail) -> Column:
+    """Whether an address speaks for the job without any document."""
+    text = F.trim(F.regexp_replace(F.lower(F.coalesce(email, F.lit(""))), "[^a-z0-9]+", " "))
+    own = organisation_matches(job, text)
+    return F.when(looks.office & ~looks.identity, False).otherwise((looks.identity & (looks.known_domain | own)) | (own & school_matches(job, text)))
