@@ -466,6 +466,45 @@ def job_outcome(found: Column, confidence: Column, threshold: Column, attempts:
     return F.struct(action.alias("action"), F.when(action == "requeue", (F.lit(base_s) * F.pow(F.lit(2.0), F.greatest(attempts - 1, F.lit(0)))).cast("long")).otherwise(F.lit(0).cast("long")).alias("backoff_s"))
 
 
+# Confidence from which a contact is written, or counts as found, by where it comes from.
+SEARCHED = ["search_result", "search_page"]
+WRITE_SEARCHED = {"website_url": 0.95, "contact_email": 0.9, "instagram_url": 0.88}
+FOUND_PAGE = {"website_url": 0.96, "contact_email": 0.92, "instagram_url": 0.88}
+FOUND_RESULT = {"website_url": 0.96, "contact_email": 0.92, "instagram_url": 0.9}
+
+
+def _by_field(field: Column, points: dict[str, float], default: float) -> Column:
+    out = F.lit(default)
+    for name, p in points.items():
+        out = F.when(field == name, p).otherwise(out)
+    return out
+
+
+def write_threshold(field: Column, provider: Column, tier: Column, source_tier: Column) -> Column:
+    """[D38] Confidence from which a candidate is written. tier, source_tier: of its site and of its source (see website_tier)."""
+    site, searched = field == "website_url", F.coalesce(provider.isin(SEARCHED), F.lit(False))
+    first = F.coalesce((tier == "tier1") | (source_tier == "tier1"), F.lit(False))
+    return (
+        F.when(site & (tier == "tier2"), 1.0)
+        .when(site & searched, F.when(first, 0.9).when(provider == "search_result", 0.98).otherwise(0.95))
+        .when(searched, _by_field(field, WRITE_SEARCHED, 0.85))
+        .otherwise(0.65)
+    )
+
+
+def found_threshold(field: Column, provider: Column, tier: Column, source_tier: Column) -> Column:
+    """[D38] Confidence from which a written candidate counts as found, not as unsure."""
+    site, searched = field == "website_url", F.coalesce(provider.isin(SEARCHED), F.lit(False))
+    first = F.coalesce((tier == "tier1") | (source_tier == "tier1"), F.lit(False))
+    return (
+        F.when(site & (tier == "tier2"), 0.99)
+        .when(site & searched & first, 0.92)
+        .when(provider == "search_page", _by_field(field, FOUND_PAGE, 0.9))
+        .when(provider == "search_result", _by_field(field, FOUND_RESULT, 0.9))
+        .otherwise(0.85)
+    )
+
+
 def benchmark_alerts(runs: DataFrame) -> DataFrame:
     """[D40] Alerts of runs: id, mismatch_rate, checks (an array of struct name, passed)."""
     failed = F.transform(F.filter("checks", lambda c: ~c["passed"]), lambda c: F.struct(F.concat(F.lit("gate:"), c["name"]).alias("kind"), F.lit("warning").alias("severity")))
@@ -505,11 +544,24 @@ def low_signal_queries(results: DataFrame, low_hosts: list[str]) -> DataFrame:
     return results.groupBy("query").agg(((F.max(shared) < 2) | (F.count_if(low) >= F.greatest(F.lit(2), F.floor(F.count("*") / 2)))).alias("low_signal"))
 
 
+# Marks of results that are a school's, an organisation's or nobody's evidence.
+SCHOOL_RESULT_MARKERS = ["greek life", "fraternity and sorority life", "recognized chapters", "student organizations"]
+DIRECTORY_PATH_MARKERS = ["chapter-directory", "find-a-chapter", "chapters", "chapter-listing"]
+DIRECTORY_TEXT_MARKERS = ["chapter directory", "find a chapter", "our chapters"]
+UNSAFE_RESULT_HOSTS = ["reddit.com", "quora.com", "wikipedia.org", "facebook.com"]
+
+
 def smoke_flags(results: DataFrame) -> DataFrame:
-    """Flags of each query's results (query, url, score): official, national, accepted, review, unsafe."""
-    edu, org = S.url_host("url").endswith(".edu"), S.url_host("url").endswith(".org")
-    unsafe = S.on_hosts(S.url_host("url"), BLOCKED_SOURCE_HOSTS)
-    return results.groupBy("query").agg(F.bool_or(edu).alias("official"), F.bool_or(org).alias("national"), F.bool_or(F.col("score") >= 0.8).alias("accepted"), F.bool_or(F.col("score").between(0.5, 0.8)).alias("review"), F.bool_or(unsafe).alias("unsafe"))
+    """Flags of each query's results (query, url, title, snippet): a school's page or a directory of chapters is
+    evidence; without any, results ask for review, or are unsafe where one comes from a host that proves nothing."""
+    any_of = lambda text, words: F.coalesce(sum((text.contains(w).cast("int") for w in words), F.lit(0)) > 0, F.lit(False))
+    rows = results.select("query", F.lower(F.concat_ws(" ", "title", "snippet", "url")).alias("low"), S.url_host("url").alias("host"), F.lower(S.url_path("url")).alias("path"))
+    edu = F.coalesce(F.col("host").endswith(".edu"), F.lit(False))
+    official = F.bool_or(edu | any_of(F.col("low"), SCHOOL_RESULT_MARKERS)).alias("official")
+    national = F.bool_or(any_of(F.col("path"), DIRECTORY_PATH_MARKERS) | (~edu & any_of(F.col("low"), DIRECTORY_TEXT_MARKERS))).alias("national")
+    found = rows.groupBy("query").agg(official, national, F.bool_or(any_of(F.col("host"), UNSAFE_RESULT_HOSTS)).alias("odd"))
+    accepted = F.col("official") | F.col("national")
+    return found.select("query", "official", "national", accepted.alias("accepted"), (~accepted & ~F.col("odd")).alias("review"), (F.col("odd") & ~accepted).alias("unsafe"))
 
 
 def fuzzy_alias_matches(zones: DataFrame, aliases: DataFrame, least: float = 0.68) -> DataFrame:

@@ -61,8 +61,13 @@ def policy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def outcomes(df: DataFrame) -> DataFrame:
-    x = D.job_outcome(F.col("payload_value") > 100_000, F.col("payload_value") / 200_000, F.lit(0.85), F.col("attempts"), F.lit(3))
-    return df.select("id", x["action"].alias("action"), x["backoff_s"].alias("backoff_s"))
+    field = F.when(F.col("field_name") == "find_website", "website_url").when(F.col("field_name") == "find_email", "contact_email").when(F.col("field_name") == "find_instagram", "instagram_url").otherwise(F.col("field_name"))
+    of = lambda *names: F.element_at(F.array(*(F.lit(n) for n in names)), (F.col("id") % len(names) + 1).cast("int"))
+    facts = field, of("search_result", "search_page", "provenance", None, "chapter_website", "search_result"), of("tier1", "tier2", "unknown", None, "blocked", "unknown", "unknown"), F.when(F.col("id") % 4 == 1, "tier1")
+    sure = F.round(0.6 + F.col("id") % 41 / 100, 2)
+    write, found = D.write_threshold(*facts), D.found_threshold(*facts)
+    x = D.job_outcome(F.col("payload_value") > 100_000, sure, write, F.col("attempts"), F.lit(3))
+    return df.select("id", write.alias("write"), found.alias("found"), x["action"].alias("action"), F.when(x["action"] == "complete", F.when(sure >= found, "found").otherwise("low_confidence")).alias("state"), x["backoff_s"].alias("backoff_s"))
 
 
 def triage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,7 +198,13 @@ _SQL: dict[str, str] = {
         y as (select *, case when k = 'r' then 1 when k = 'p' then 2 when coalesce(blocked_reason = 'provider_degraded', false) and starts_with(field_name, 'find_') then 3 when field_name in ('find_email', 'find_instagram') and not site then 4 else 5 end as c from x)
         select id, field_name, case c when 1 then 'blocked_repairable' when 2 then 'deferred' when 3 then 'blocked_provider' when 4 then 'blocked_dependency' else 'actionable' end as queue_state, case c when 1 then 'queued_for_entity_repair' when 2 then 'provisional_entity' when 3 then 'provider_degraded' when 4 then 'website_required' end as blocked_reason,
         case c when 1 then 900 when 2 then 86400 when 3 then 300 when 4 then case when attempts > 1 then 300 else 1800 end else 0 end as delay_s from y""",
-    "d38_job_outcomes": "select id, case when payload_value > 100000 and payload_value / 200000 >= 0.85 then 'complete' when payload_value > 100000 then 'review' when attempts >= 3 then 'fail_terminal' else 'requeue' end as action, case when payload_value <= 100000 and attempts < 3 then 60 * cast(pow(2, greatest(attempts - 1, 0)) as bigint) else 0 end as backoff_s from field_jobs",
+    "d38_job_outcomes": """with j as (select *, case field_name when 'find_website' then 'website_url' when 'find_email' then 'contact_email' when 'find_instagram' then 'instagram_url' else field_name end as f,
+          ['search_result', 'search_page', 'provenance', null, 'chapter_website', 'search_result'][id % 6 + 1] as p, ['tier1', 'tier2', 'unknown', null, 'blocked', 'unknown', 'unknown'][id % 7 + 1] as t, id % 4 = 1 as st, round(0.6e0 + id % 41 / 100e0, 2) as sure from field_jobs),
+        k as (select *, coalesce(p in ('search_result', 'search_page'), false) as searched, coalesce(t = 'tier1', false) or st as one, coalesce(t = 'tier2', false) as two from j),
+        l as (select *, case when f = 'website_url' and two then 1e0 when f = 'website_url' and searched and one then 0.9e0 when f = 'website_url' and p = 'search_result' then 0.98e0 when f = 'website_url' and p = 'search_page' then 0.95e0 when searched and f = 'contact_email' then 0.9e0 when searched and f = 'instagram_url' then 0.88e0 when searched then 0.85e0 else 0.65e0 end as write,
+          case when f = 'website_url' and two then 0.99e0 when f = 'website_url' and searched and one then 0.92e0 when searched and f = 'website_url' then 0.96e0 when searched and f = 'contact_email' then 0.92e0 when p = 'search_page' and f = 'instagram_url' then 0.88e0 when searched then 0.9e0 else 0.85e0 end as found from k),
+        m as (select *, case when payload_value > 100000 and sure >= write then 'complete' when payload_value > 100000 then 'review' when attempts >= 3 then 'fail_terminal' else 'requeue' end as action from l)
+        select id, write, found, action, case when action = 'complete' then case when sure >= found then 'found' else 'low_confidence' end end as state, case when action = 'requeue' then 60 * cast(pow(2, greatest(attempts - 1, 0)) as bigint) else 0 end as backoff_s from m""",
     "d32_chapter_status": """with m as (select chapter_id, case reason_code when 'accepted' then true when 'rejected' then false end as positive, id, source_id % 5 as tier, weight / 50 as cur, 0.5e0 + confidence as mc from evidence where reason_code is not null),
         b as (select *, row_number() over (partition by chapter_id, positive order by round(1.1e0 - tier * 0.08e0 + (cur + 0.9e0 + mc) * 0.5e0, 9) desc, id) as rn from m),
         p as (select chapter_id, round(cur + 1 - tier * 0.1e0, 9) as r, greatest(mc, 0.9e0) as c from b where rn = 1 and positive), n as (select chapter_id, round(cur + 1 - tier * 0.1e0, 9) as r, greatest(mc, 0.9e0) as c from b where rn = 1 and not positive),

@@ -115,7 +115,7 @@ def low_signals(d: DataFrame) -> DataFrame:
 
 
 def smoke(d: DataFrame) -> DataFrame:
-    return D.smoke_flags(d.select(F.concat_ws(" ", "name", F.col("id") % 97).alias("query"), "url", (F.col("id") % 21 / 20.0).alias("score")))
+    return D.smoke_flags(d.select(F.concat_ws(" ", "name", F.col("id") % 97).alias("query"), "url", "title", "snippet"))
 
 
 def instagrams(d: DataFrame) -> DataFrame:
@@ -297,8 +297,10 @@ _TERMS = "list_distinct(list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+
 _QUERY = "concat_ws(' ', name, id % 97)"
 _LOWSIG = f"""with x as (select {_QUERY} as query, title, snippet, {_host("url")} as host from ({FOUND}) c), y as (select query, len(list_intersect({_TERMS.format("query")}, {_TERMS.format("concat_ws(' ', title, snippet)")})) as shared, coalesce({_below("host", C.BLOCKED_SOURCE_HOSTS)}, false) as low from x)
     select query, max(shared) < 2 or count(*) filter (where low) >= greatest(2, count(*) // 2) as low_signal from y group by 1"""
-_SMOKE = f"""with x as (select {_QUERY} as query, id % 21 as s, {_host("url")} as host from ({FOUND}) c)
-    select query, bool_or(ends_with(host, '.edu')) as official, bool_or(ends_with(host, '.org')) as national, bool_or(s >= 16) as accepted, bool_or(s between 10 and 16) as review, bool_or({_below("host", C.BLOCKED_SOURCE_HOSTS)}) as unsafe from x group by 1"""
+_SMOKE = f"""with x as (select {_QUERY} as query, lower(concat_ws(' ', title, snippet, url)) as low, {_host("url")} as host, lower({_path("url")}) as path from ({FOUND}) c),
+    y as (select query, bool_or(ends_with(host, '.edu') or regexp_matches(low, 'greek life|fraternity and sorority life|recognized chapters|student organizations')) as official, bool_or(regexp_matches(path, 'chapter-directory|find-a-chapter|chapters|chapter-listing') or not ends_with(host, '.edu') and regexp_matches(low, 'chapter directory|find a chapter|our chapters')) as national,
+      bool_or(regexp_matches(host, 'reddit[.]com|quora[.]com|wikipedia[.]org|facebook[.]com')) as odd from x group by 1)
+    select query, official, national, official or national as accepted, not (official or national or odd) as review, odd and not (official or national) as unsafe from y"""
 
 
 def _share(wanted: str) -> str:
