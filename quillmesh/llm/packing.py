@@ -4,8 +4,9 @@ Bounded-space online best-fit: a fixed number of open bins, held in a bitset key
 the fullest open bin that has room; when too many bins are open, the fullest one closes. Each task packs its own
 hash-dealt share of the pieces, in look-ahead blocks sorted by length, so the waste per task is its last open bins.
 
-Defined cases: null or empty text is the end token alone; repeated rows are packed once each; an empty table gives no
-rows; columns other than the id and text are ignored.
+Defined cases: null or empty text is the end token alone; repeated rows are packed once each; of bins with equal free
+space the last opened is taken; very long texts are encoded whole and cut into pieces; an empty table gives no rows;
+columns other than the id and text are ignored.
 """
 
 from __future__ import annotations

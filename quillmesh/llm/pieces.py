@@ -7,7 +7,8 @@ gives. No piece holds a word-begin mark after another character, so stretches be
 and memoised.
 
 Defined cases: null or empty text has no ids and decodes to the empty text; characters outside the vocabulary become
-byte pieces; repeated rows give one row each; an empty table gives no rows; other columns are ignored.
+byte pieces; of equal merges the leftmost is made, as in the library; very long texts are encoded whole, stretch by
+stretch; repeated rows give one row each; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

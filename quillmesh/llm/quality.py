@@ -7,7 +7,8 @@ documents only, weighs the passages, and the weighted mean of their encodings is
 The model is fitted on a bounded sample: about SAMPLE labelled texts of each label, chosen by a hash of the id, of at
 most LONGEST bytes. Scoring reads all passages of all texts.
 
-Defined cases: null or empty text has one empty passage; repeated rows are scored once each; an empty table gives no
+Defined cases: null or empty text has one empty passage; a score of exactly 0.5 counts as label 1; very long texts are
+scored by all their passages; repeated rows are scored once each; an empty table gives no
 rows; with fewer than two labels to learn from, all scores are the share of label 1 (0.5 without labels); other columns
 are ignored.
 """

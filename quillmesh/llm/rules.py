@@ -5,8 +5,9 @@ rule are summed by host, each host's rate is shrunk toward all hosts' by a beta
 host whose shrunk rate is over HOST_LIMIT takes all its documents with it.
 
 Defined cases: null text counts as no words and fails; a null host has no host verdict; repeated rows count and return
-once each; an empty table gives no rows; other columns are passed along by ``measured`` in the struct ``row``. Window
-equality is that of 64-bit hashes of the words, word by word in order.
+once each; a host exactly at the limit stays; very long texts are measured whole, their windows sorted within the row; an
+empty table gives no rows; other columns are passed along by ``measured`` in the struct ``row``. Window equality is that
+of 64-bit hashes of the words, word by word in order.
 """
 
 from __future__ import annotations

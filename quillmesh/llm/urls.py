@@ -10,8 +10,8 @@ bucket, of which there is one per BUCKET_ROWS URLs (or per shuffle partition).
 
 Defined cases: a null URL or one without "://" has an empty host and path and no rule; repeated rows are judged once
 each; of rules with equal host and path, block holds; the longest fitting rule (host plus path) wins, of equally long
-ones that with more host labels; without a rule the verdict is allow; an empty table or no rules work; columns of any
-other name are passed along.
+ones that with more host labels; without a rule the verdict is allow; very long URLs are compared whole; an empty table
+or no rules work; columns of any other name are passed along.
 """
 
 from __future__ import annotations
