@@ -6,6 +6,8 @@ Null order is always written out, ties are broken by a unique key, and "now" is
 
 from __future__ import annotations
 
+from quillmesh.operators.organisations import OFFICE_MARKERS, OFFICE_PREFIXES
+
 REASON = "coalesce(nullif(trim(blocked_reason), ''), 'unknown')"
 STATE = "coalesce(queue_state, 'actionable')"
 REPAIR = "('queued_for_entity_repair', 'identity_semantically_incomplete', 'repair_exhausted')"
@@ -21,6 +23,8 @@ LANE_STATE_FIRST = f"""case when {STATE} = 'blocked_provider' then 'provider_dep
     when {REASON} in ('dependency_wait', 'website_required') then 'dependency_blocked' else 'authoritative_resolution' end"""
 WAITING = f"status = 'queued' and {STATE} in ('deferred', 'blocked_repairable', 'blocked_provider', 'blocked_dependency')"
 AGE = "case when scheduled_at > {now} - interval '1' hour then 'lt_1h' when scheduled_at > {now} - interval '6' hour then '1h_to_6h' when scheduled_at > {now} - interval '24' hour then '6h_to_24h' when scheduled_at > {now} - interval '72' hour then '1d_to_3d' else 'gte_3d' end"
+#: F12: whole names of office mailboxes, and parts of them.
+OFFICE = "^(" + "|".join(OFFICE_PREFIXES) + ")$|" + "|".join(m.replace(".", "[.]") for m in OFFICE_MARKERS)
 TRUSTED = "('chapter_specific', 'school_specific', 'national_specific_to_chapter')"
 
 
@@ -186,8 +190,8 @@ SQL: dict[str, str] = {
     "f09_queue_lanes": f"select {LANE} as lane, {LANE_STATE_FIRST} as lane_state_first, count(*) as n from field_jobs where {WAITING} group by 1, 2",
     "f10_age": f"select id, {AGE} as age_bucket from field_jobs",
     "f11_display_sanitizer": "select id, case when email_specificity = 'national_generic' then null else contact_email end as contact_email, case when instagram_specificity = 'national_generic' then null else instagram_url end as instagram_url from chapters",
-    "f12_office_mailbox": "select id, regexp_matches(lower(split_part(contact_email, '@', 1)), '(office|info|national|hq|c1[0-9]$)') as generic_office from chapters where contact_email is not null",
-    "f13_national_handle": "select id, regexp_matches(lower(instagram_url), '(ihq|national|official|/c1$)') as national from chapters where instagram_url is not null",
+    "f12_office_mailbox": f"select id, regexp_matches(l, '{OFFICE}') as generic_office from (select id, case id % 9 when 0 then 'info' when 1 then 'student.life' when 2 then 'ifc2024' when 3 then 'office.of.x' when 4 then 'infos' when 5 then 'studentxlife' else lower(split_part(contact_email, '@', 1)) end as l from chapters where contact_email is not null) c",
+    "f13_national_handle": "select id, regexp_matches(h, 'hq|national') as national from (select id, case id % 5 when 0 then 'sigmachihq' when 1 then 'nationals_office' when 2 then 'the.h.q' else '' end || regexp_replace(lower(instagram_url), '^.*/', '') as h from chapters where instagram_url is not null) c",
     "f14_crm_recipients": f"select id, contact_email from chapters where chapter_status = 'active' and {GOOD_EMAIL} and contact_email not like 'info@%'",
     "f15_degraded_claim": "select j.id from field_jobs j where j.status = 'queued' and (j.field_name = 'verify_school_match' or (j.field_name = 'find_email' and exists (select 1 from chapters c where c.id = j.chapter_id and c.website_url is not null)) or (j.field_name = 'find_website' and exists (select 1 from evidence e where e.job_id = j.id and e.field_name = 'website_url')))",
     # 2.5 windows
