@@ -115,51 +115,6 @@ def chapter_link_score(label: Column, url: Column, context: Column) -> Column:
 
 # Adaptive crawl ------------------------------------------------------------------------------------------------------
 
-PRIORS = {"extract_locator_api": 2.5, "extract_script_json": 2.1, "extract_table": 1.6, "extract_repeated_block": 1.4, "extract_stubs_only": 1.0, "expand_map_children": 0.9, "expand_same_section_links": 0.8, "expand_internal_links": 0.4, "review_branch": -0.5, "skip_page": -0.6, "stop_branch": -1.0}
-ENRICH_PRIORS = {"parse_supporting_page": 1.9, "verify_school": 1.4, "verify_website": 1.2, "search_web": 0.45, "search_social": 0.3, "defer": 0.55, "stop_no_signal": -0.55, "review_required": -0.8}
-
-
-def action_scores(contexts: DataFrame, weights: tuple[float, float] = (0.75, 0.35)) -> DataFrame:
-    """[D08] A row for each context and action with its score; contexts have the columns of a page profile, keyword,
-    observed (a map from action to mean reward), timeout_rate and requeue_rate. Actions are a fixed dozen."""
-    actions = F.array(*(F.struct(F.lit(k).alias("action"), F.lit(v).alias("prior")) for k, v in PRIORS.items()))
-    df = contexts.select("*", F.inline(actions))
-    is_ = lambda *names: F.col("action").isin(*names)
-    structural = (
-        F.when(is_("extract_locator_api", "expand_map_children") & F.col("has_map"), 2.0)
-        .when(is_("extract_script_json") & (F.col("has_json_ld") | F.col("has_script_json")), 1.7)
-        .when(is_("extract_table"), F.least(F.col("tables"), F.lit(3)) * 0.7)
-        .when(is_("extract_repeated_block"), F.least(F.col("repeated"), F.lit(4)) * 0.5)
-        .when(is_("expand_same_section_links", "expand_internal_links") & F.col("role").isin("directory", "index"), 0.5)
-        .when(is_("extract_stubs_only") & (F.col("role") == "directory"), 0.6)
-        .otherwise(0.0)
-    )
-    risky = is_("expand_internal_links", "expand_same_section_links", "expand_map_children")
-    risk = F.when(risky, clamp(F.col("timeout_rate")) * weights[0] + clamp(F.col("requeue_rate")) * weights[1]).otherwise(0.0)
-    observed = F.coalesce(F.try_element_at("observed", F.col("action")), F.lit(0.0))
-    return df.withColumn("score", F.bround(F.col("prior") + structural + 0.15 * F.col("keyword") + 0.2 * observed - risk, 4))
-
-
-def enrichment_scores(contexts: DataFrame) -> DataFrame:
-    """[D09] As action_scores for contact jobs: contexts have has_page, has_website, school_ok, busy, identity (0 to 1)."""
-    actions = F.array(*(F.struct(F.lit(k).alias("action"), F.lit(v).alias("prior")) for k, v in ENRICH_PRIORS.items()))
-    df = contexts.select("*", F.inline(actions))
-    a = F.col("action")
-    bonus = when_sum(
-        ((a == "parse_supporting_page") & F.col("has_page"), 2.0), ((a == "verify_school") & ~F.col("school_ok"), 1.5), ((a == "verify_website") & F.col("has_website"), 1.35),
-        ((a == "search_web") & ~F.col("has_website") & ~F.col("busy"), 1.0), ((a == "search_social") & (F.col("identity") >= 0.6) & ~F.col("busy"), 0.95), ((a == "defer") & F.col("busy"), 1.45),
-        ((a == "stop_no_signal") & (F.col("identity") < 0.3), 0.85), ((a == "review_required") & (F.col("identity") < 0.5), 0.7),
-    )
-    return df.withColumn("score", F.bround(F.col("prior") + bonus, 4))
-
-
-def chosen_action(scored: DataFrame, key: str, epsilon: float = 0.0, seed: int = 0) -> DataFrame:
-    """[D10] The best-scored action of each key, the first name of equals; with epsilon a seeded draw explores."""
-    draw = F.rand(seed) < epsilon if epsilon else F.lit(False)
-    order = Window.partitionBy(key).orderBy(F.when(F.col("explore"), F.xxhash64("action", F.lit(seed))).otherwise(None).asc_nulls_last(), F.col("score").desc(), "action")
-    return scored.withColumn("explore", draw).withColumn("rank", F.row_number().over(order)).where("rank = 1").drop("rank", "explore")
-
-
 def immediate_reward(chapters: Column, websites: Column, instagrams: Column, emails: Column, links: Column, timeout: Column, review: Column, valid_missing: Column, verified: Column) -> Column:
     """[D11]"""
     contacts = websites + instagrams + emails
@@ -257,7 +212,7 @@ def resolution(score: Column, source: Column) -> Column:
     return F.when(score >= least, "write").when(score >= 0.82, "review").otherwise("reject")
 
 
-def _kept(df: DataFrame) -> DataFrame:
+def kept(df: DataFrame) -> DataFrame:
     """df computed once: checkpointed where the session names a shared folder, else persisted."""
     spark = df.sparkSession
     if path := spark.conf.get("spark.checkpoint.dir", None):
@@ -279,11 +234,11 @@ def exclusive_best(candidates: DataFrame) -> DataFrame:
     best = Window.partitionBy("chapter_id").orderBy(F.col("score").desc(), "handle")
     while True:
         first = free.withColumn("r", F.row_number().over(best)).where("r = 1").groupBy("handle").agg(F.min(F.struct("chapter_id", "score")).alias("x"))
-        picks = _kept(first.select("x.chapter_id", "handle", "x.score"))
+        picks = kept(first.select("x.chapter_id", "handle", "x.score"))
         if picks.isEmpty():
             return settled
         settled = settled.unionByName(picks)
-        free = _kept(free.join(picks.select("chapter_id"), "chapter_id", "left_anti").join(picks.select("handle"), "handle", "left_anti").select("chapter_id", "handle", "score"))
+        free = kept(free.join(picks.select("chapter_id"), "chapter_id", "left_anti").join(picks.select("handle"), "handle", "left_anti").select("chapter_id", "handle", "score"))
 
 
 def official_domain(identity: Column, slug: Column, chapter_hits: Column, school_hits: Column, affiliation_hits: Column, specific: Column, edu: Column, directory: Column, generic: Column, rejected: Column) -> Column:

@@ -67,13 +67,6 @@ def _handles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.join(new, "id")
 
 
-def actions(d: DataFrame) -> DataFrame:
-    i = F.col("id")
-    observed = F.when(i % 3 == 0, F.create_map(F.lit("extract_table"), i % 9 / 2.0, F.lit("skip_page"), F.lit(4.0))).otherwise(F.create_map(F.lit("stop_branch"), F.lit(1.0)))
-    ctx = d.select("id", _profile().alias("p"), observed.alias("observed"), (i % 13 / 4.0).alias("keyword"), (i % 4 / 2.0).alias("timeout_rate"), (i % 5 / 4.0).alias("requeue_rate")).select("id", "p.*", "observed", "keyword", "timeout_rate", "requeue_rate")
-    return D.action_scores(ctx).select("id", "action", "score")
-
-
 # Pages and documents as sources hold them -----------------------------------------------------------------------------
 
 _S = "cast(p_partkey as varchar(20))"
@@ -128,7 +121,6 @@ def _route(d: DataFrame) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "c10_routes": _sql(PATHS, _route),
-    "d08_action_scores": _sql(PAGES, actions),
     "d30_made_zones": _parsed(zones),
     "d46_walks": _sql(LINKED, walks),
     "d47_made_hints": _parsed(hints),
@@ -162,13 +154,6 @@ _OUTCOME = f"""x as (select *, case when status <> 'running' then null when payl
 _STATES = _list([s.replace(" ", "-") for s in S.STATES if s != "district of columbia"] + ["dc"])
 _TOKEN = f"case when list_contains({_STATES}, t) then 'state' when regexp_matches(t, '^[0-9]+$') then 'num' else substr(t, 1, 20) end"
 _HITS = {name: f"len(list_filter(k, lambda t: len(list_filter({_list(words)}, lambda w: contains(t, w))) > 0))" for name, words in S.ROUTES.items()}
-_RISKY = "action in ('expand_internal_links', 'expand_same_section_links', 'expand_map_children')"
-_ACTIONS = f"""with p as (select *, {_PROFILE} from ({PAGES}) c)
-    select id, action, round(prior + case when action in ('extract_locator_api', 'expand_map_children') and has_map then 2e0 when action = 'extract_script_json' and (has_json_ld or has_script_json) then 1.7e0 when action = 'extract_table' then least(tables, 3) * 0.7e0 when action = 'extract_repeated_block' then least(repeated, 4) * 0.5e0
-    when action in ('expand_same_section_links', 'expand_internal_links') and role in ('directory', 'index') then 0.5e0 when action = 'extract_stubs_only' and role = 'directory' then 0.6e0 else 0e0 end + 0.15e0 * (id % 13) / 4
-    + 0.2e0 * case when id % 3 = 0 and action = 'extract_table' then id % 9 / 2e0 when id % 3 = 0 and action = 'skip_page' then 4e0 when id % 3 <> 0 and action = 'stop_branch' then 1e0 else 0e0 end - case when {_RISKY} then least(id % 4 / 2e0, 1e0) * 0.75e0 + least(id % 5 / 4e0, 1e0) * 0.35e0 else 0e0 end, 4) as score
-    from p cross join (values {", ".join(f"('{k}', {v}e0)" for k, v in D.PRIORS.items())}) a(action, prior)"""
-
 _TABLES = f"""select p_partkey as page_id, 1 as row, 'Beta ' || {_S} as name, {_SCHOOL} as university_name, null as city, 'TX' as state, 'b' || {_S} || '@x.org' as contact_email from {{part}} where p_partkey % 4 = 0
     union all select p_partkey, 0, 'Zeta ' || {_S}, {_SCHOOL}, 'Waco', null, null from {{part}} where p_partkey % 4 = 1"""
 _JSONS = f"""select p_partkey as page_id, 'Rho ' || {_S} as name, null as university_name, 'Waco' as city, 'TX' as state, 'https://rho.org' as website_url, 'x1' as external_id, 0.95e0 as confidence from {{part}} where p_partkey % 5 = 0
@@ -198,7 +183,6 @@ _SQL: dict[str, str] = {
     "c10_route_classes": _routes("select page_id as id, url from {pages}", "id as page_id"),
     "d36_normalized": _NORMAL,
     "d36_provenance": f"select ordinal, source_confidence as confidence, field_name, field_value from (unpivot ({_NORMAL}) on name, university_name, city, state, website_url, instagram_url, contact_email, external_id into name field_name value field_value) u",
-    "d08_action_scores": _ACTIONS,
     "d30_made_zones": f"""select p_partkey as page_id, h as zone_heading, t as zone_text, k as zone_type, c as confidence from {{part}} join (values (0, 'Recognized chapters', 'Alpha Beta', 'recognized', 0.9e0), (0, 'Loss of recognition', 'Kappa Sigma {_END}', 'unrecognized', 0.9e0),
         (1, 'Suspended groups', 'Mu Nu', 'suspended', 0.9e0), (1, 'Staff', '{_END}', null, 0.3e0)) z(m, h, t, k, c) on p_partkey % 3 = m
         union all select p_partkey, '', case p_partkey % 4 when 0 then 'School Chapter E-Mail State ' || {_SCHOOL} || ' Beta ' || {_S} || ' b' || {_S} || '@x.org TX Empty NY' when 1 then 'Zeta ' || {_S} || ' ' || {_SCHOOL} || ' Waco' else 'No table' end || case when p_partkey % 3 = 2 then ' {_END}' else '' end, null, 0.3e0 from {{part}}""",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions import scalars as S
 from quillmesh.operators import mutations as M
+from quillmesh.operators import policies as P
 from quillmesh.operators import scoring as D
 from quillmesh.plans.analogs import NOW, duck_sql, relation
 from quillmesh.sources import html as H
@@ -114,8 +115,12 @@ def adaptive_best(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scored_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = H.parsed(_table(spark, sf_dir, "pages")).select("page_id", "url", H.profile().alias("p"))
-    ctx = pages.select("page_id", "p.*", S.keyword_score("url").alias("keyword"), F.create_map(F.lit("extract_table"), F.lit(1.0)).alias("observed"), F.lit(0.1).alias("timeout_rate"), F.lit(0.2).alias("requeue_rate"))
-    return D.chosen_action(D.action_scores(ctx), "page_id").select("page_id", "action", "score")
+    script = F.col("has_script_json") | F.col("has_json_ld")
+    ctx = pages.select(
+        "page_id", "p.*", D.source_class(F.col("p"))["page_type"].alias("page_type"), S.keyword_score("url").alias("keyword"), F.lit(0.1).alias("timeout_risk"), F.lit(0.2).alias("requeue_risk"),
+        F.create_map(F.lit("extract_table"), F.lit(1.0)).alias("observed"), F.lit(None).cast("struct<chapter_yield:double,contact_yield:double,empty_rate:double,timeout_rate:double,best_action:string,best_family:string>").alias("profile"),
+    ).withColumn("has_script_json", script)
+    return P.chosen_action(P.action_scores(ctx), "page_id").select("page_id", "action", "score")
 
 
 def rounds(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,11 +73,6 @@ def link_scores(d: DataFrame) -> DataFrame:
     return d.select("id", D.chapter_link_score(F.col("label"), F.col("url"), F.col("text")).alias("x")).select("id", "x.score", F.array_join("x.reasons", ",").alias("reasons"))
 
 
-def enrichment(d: DataFrame) -> DataFrame:
-    contexts = d.select("id", _is(2).alias("has_page"), _is(3).alias("has_website"), _is(5, 2).alias("school_ok"), _is(7).alias("busy"), (F.col("id") % 10 / 10.0).alias("identity"))
-    return D.enrichment_scores(contexts).select("id", "action", "score")
-
-
 def domains(d: DataFrame) -> DataFrame:
     i = F.col("id")
     x = D.official_domain(_is(2), _is(3), i % 4, i % 3, i % 6, _is(5), _is(7, 3), i % 4 == 1, _is(9), _is(13))
@@ -160,8 +155,6 @@ QUERIES: dict[str, Query] = {
     "d03_extraction_plans": _on(PAGES, plans),
     "d04_layouts": _on(PAGES, lambda d: d.select("id", D.layout(_profile()).alias("x")).select("id", "x.*")),
     "d07_link_scores": _on(PAGES, link_scores),
-    "d09_enrichment_scores": _on(PAGES, enrichment),
-    "d10_best_enrichment": _on(PAGES, lambda d: D.chosen_action(enrichment(d), "id")),
     "d17_official_domains": _on(PAGES, domains),
     "d18_site_scopes": _on(PAGES, lambda d: d.select("id", D.site_scope(F.col("url"), F.concat_ws(" ", "title", "text")).alias("x")).select("id", "x.*")),
     "d19_greek_policies": _on(PAGES, lambda d: d.select("id", D.greek_policy(~_is(4), F.concat_ws(" ", "title", "text")).alias("x")).select("id", "x.*")),
@@ -216,9 +209,6 @@ _LINKS = f"""with x as (select id, lower(trim(coalesce(label, ''))) as low, lowe
     select id, case when contact then 0e0 else round(greatest(0e0, least(1e0, 0.5e0 * len(good) - 0.6e0 * len(bad) + {_if("up is not null", 0.25)} - {_if("down is not null", 0.35)} + {_if("near", 0.2)} - {_if("social", 0.2)})), 6) end as score,
     case when contact then 'contact_scheme_not_chapter_link' else array_to_string(list_transform(good || bad, lambda m: 'label:' || m) || case when up is not null then ['url:' || up] else [] end || case when down is not null then ['url:' || down] else [] end || case when near then ['context:chapter_or_school'] else [] end || case when social then ['social_profile_url'] else [] end, ',') end as reasons from z"""
 
-_ENRICH = f"""select id, action, round(prior + case action when 'parse_supporting_page' then {_if("id % 2 = 0", 2.0)} when 'verify_school' then {_if("id % 5 >= 2", 1.5)} when 'verify_website' then {_if("id % 3 = 0", 1.35)} when 'search_web' then {_if("id % 3 <> 0 and id % 7 <> 0", 1.0)} when 'search_social' then {_if("id % 10 >= 6 and id % 7 <> 0", 0.95)}
-    when 'defer' then {_if("id % 7 = 0", 1.45)} when 'stop_no_signal' then {_if("id % 10 < 3", 0.85)} else {_if("id % 10 < 5", 0.7)} end, 4) as score from ({PAGES}) c cross join (values {", ".join(f"('{k}', {v}e0)" for k, v in D.ENRICH_PRIORS.items())}) a(action, prior)"""
-
 _DOMAIN = f"""with x as (select id, id % 7 < 3 as edu, id % 13 = 0 as rejected, round(greatest(0e0, least(1e0, 0.22e0 + {_if("id % 2 = 0", 0.24)} + {_if("id % 3 = 0", 0.14)} + {_if("id % 5 = 0", 0.18)} + {_if("id % 7 < 3", 0.08)} + {_if("id % 7 >= 3 and id % 4 <> 1", 0.06)} - {_if("id % 9 = 0", 0.2)}
     + least(0.18e0, (id % 4) * 0.08e0) + least(0.16e0, (id % 3) * 0.08e0) + least(0.16e0, (id % 6) * 0.05e0))), 4) as s from ({PAGES}) c)
     select id, case when rejected then 'reject' when not edu and s >= 0.76e0 then 'official' when edu and s >= 0.72e0 then 'affiliation' when s >= 0.54e0 then 'weak' else 'reject' end as decision, case when rejected then 0e0 else s end as confidence from x"""
@@ -352,8 +342,6 @@ _SQL: dict[str, str] = {
     "d03_extraction_plans": _PLAN,
     "d04_layouts": f"with {_PROFILED} select id, {_made(_LAYOUTS, ('unclear', 0.2), 'layout')} from p",
     "d07_link_scores": _LINKS,
-    "d09_enrichment_scores": _ENRICH,
-    "d10_best_enrichment": f"with e as ({_ENRICH}) select id, action, score from e qualify row_number() over (partition by id order by score desc, action) = 1",
     "d17_official_domains": _DOMAIN,
     "d18_site_scopes": f"with {_LOW} select id, {_made(_SCOPES, ('other', 0.35), 'scope')} from x",
     "d19_greek_policies": f"with {_LOW} select id, {_made(_POLICIES, ('unknown', 0.28), 'policy')} from x",
