@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmesh.operators import frontier as R
 from quillmesh.operators import policies as P
 from quillmesh.plans.analogs import duck_sql, run_sql
 from quillmesh.plans.decisions import _if, _list, _pick
@@ -63,7 +64,21 @@ def enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.enrichment_scores(rows.withColumn("observed", F.when(F.col("id") % 4 != 0, F.create_map(F.lit("search_web"), "seen", F.lit("defer"), -F.col("seen")))))
 
 
+_U = "cast({0} as varchar(20))"
+
+
+def crawls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A session for every supplier over a page for every part; links double, halve and go on by names of parts."""
+    page = lambda k: f"'https://x.org/p' || {_U.format(k)}"
+    pages = run_sql(spark, sf_dir, f"select {page('p_partkey')} as url, cast(p_size % 3 as bigint) as records, p_size % 7 = 0 as has_map, cast(p_size % 5 as int) as repeated from {{part}}")
+    ways = [("2 * p_partkey", "'Our chapters'"), ("2 * p_partkey + 1", "p_name"), ("cast(floor(p_partkey / 3) as bigint)", "'Chapter directory'"), ("p_partkey + 7", "'News of alumni'")]
+    links = run_sql(spark, sf_dir, " union all ".join(f"select {page('p_partkey')} as at, {n} as ordinal, {page(k)} as link, {a} as anchor from {{part}}" for n, (k, a) in enumerate(ways)))
+    sessions = run_sql(spark, sf_dir, f"select s_suppkey as session_id, case when s_suppkey % 9 = 0 then 'https://y.org/' else 'https://www.x.org/' end as source_url, array({page('s_suppkey % 50 + 1')}, {page('s_nationkey + 3')}) as seeds from {{supplier}}")
+    return R.crawl(sessions, pages, links, R.Budget(pages=6, empty=3, saturation=0, records=4))[1]
+
+
 QUERIES: dict[str, Query] = {
+    "d13_crawl_stops": crawls,
     "d08_action_scores": made_scores,
     "d08_profiles_before": profiles,
     "d09_enrichment_scores": lambda spark, sf_dir: enrichment(spark, sf_dir).select("id", "action", "score"),
