@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmesh.operators import campuses as C
 from quillmesh.operators import frontier as R
 from quillmesh.operators import policies as P
 from quillmesh.plans.analogs import duck_sql, run_sql
@@ -77,7 +78,14 @@ def crawls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.crawl(sessions, pages, links, R.Budget(pages=6, empty=3, saturation=0, records=4))[1]
 
 
+def policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    school = _pick(4, "State University", "University of X", "Y College", of="(id + 1)")
+    rows = run_sql(spark, sf_dir, f"select id, url, title, text, {school} as school from ({PAGES}) c")
+    return rows.select("id", C.greek_policy(*map(F.col, ("school", "url", "title", "text"))).alias("x")).select("id", "x.*")
+
+
 QUERIES: dict[str, Query] = {
+    "d19_campus_policies": policies,
     "d13_crawl_stops": crawls,
     "d08_action_scores": made_scores,
     "d08_profiles_before": profiles,
