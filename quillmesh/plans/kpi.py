@@ -40,6 +40,7 @@ STATES = ", ".join(queued(s) for s in ("actionable", "deferred", "blocked_provid
 LATEST = "select * from (select *, row_number() over (partition by chapter_id, field_name order by created_at desc nulls last, id desc) as rn from evidence) x where rn = 1"
 GOOD_EMAIL, GOOD_INSTAGRAM = f"(contact_email is not null and email_specificity in {TRUSTED})", f"(instagram_url is not null and instagram_specificity in {TRUSTED})"
 COVERAGE = f"count(*) as chapters, {n('website_url is not null or instagram_url is not null or contact_email is not null', 'any_contact')}, {n('website_url is not null', 'with_website')}, {n('instagram_url is not null', 'with_instagram')}, {n('contact_email is not null', 'with_email')}, {n('website_url is not null and instagram_url is not null and contact_email is not null', 'all_three')}"
+COUNTED = ["chapters", "any_contact", "with_website", "with_instagram", "with_email", "all_three"]
 CONSENSUS = "select lower(trim(university)) as school, min(state) as state, count(state) as known_rows, count(distinct state) as distinct_states from chapters where university is not null group by lower(trim(university))"
 
 #: [A55] A campaign item's scorecard: event sums, contacts beyond the baseline, six ratios.
@@ -167,7 +168,8 @@ SQL: dict[str, str] = {
     "j11_preaggregated_join": "select r.id, coalesce(x.n, 0) as jobs from crawl_runs r left join (select crawl_run_id, count(*) as n from field_jobs group by 1) x on x.crawl_run_id = r.id",
     "j12_double_aggregate_join": "select o.session_id, o.n as observations, coalesce(r.n, 0) as delayed from (select session_id, count(*) as n from observations group by 1) o left join (select session_id, count(*) as n from rewards where reward_stage = 'delayed' group by 1) r on r.session_id = o.session_id",
     "j13_donor_fill": "with d as (select fraternity_id, university, min(instagram_url) as donor from chapters where instagram_url is not null and university is not null group by 1, 2 having count(distinct instagram_url) = 1) select c.id, d.donor from chapters c join d on d.fraternity_id = c.fraternity_id and d.university = c.university where c.instagram_url is null",
-    "j14_source_coverage": f"select s.slug, {COVERAGE} from sources s join chapters c on c.fraternity_id = s.fraternity_id group by s.slug",
+    # chapters are counted by fraternity and sources by slug and fraternity before they meet
+    "j14_source_coverage": f"with s as (select slug, fraternity_id, count(*) as n from sources group by slug, fraternity_id), c as (select fraternity_id, {COVERAGE} from chapters group by fraternity_id) select s.slug, {', '.join(f'sum(s.n * c.{k}) as {k}' for k in COUNTED)} from s join c on c.fraternity_id = s.fraternity_id group by s.slug",
     "j15_handle_assignments": "select c.id, h.n - 1 as others from chapters c join (select instagram_url, count(*) as n from chapters where instagram_url is not null group by 1) h on h.instagram_url = c.instagram_url",
     "j16_replay_join": "with o as (select selected_action as action, count(*) as n from observations group by 1), r as (select action_type as action, sum(reward_value) as reward from rewards where reward_stage <> 'immediate' group by 1) select o.action, o.n, coalesce(r.reward, 0) as reward from o left join r on r.action = o.action",
     "j17_snapshot_diff": "with a as (select selected_action as k, count(*) as n from observations where session_id % 2 = 0 group by 1), b as (select selected_action as k, count(*) as n from observations where outcome = 'records' group by 1) select coalesce(a.k, b.k) as action, coalesce(a.n, 0) as before_n, coalesce(b.n, 0) as after_n, coalesce(b.n, 0) - coalesce(a.n, 0) as delta from a full outer join b on a.k = b.k",
@@ -228,6 +230,7 @@ DUCK_GLOBAL, SPARK_GLOBAL = ", 'g'", ""
 
 #: The plain joins that stand for reports whose plan avoids them: what they are checked against.
 PLAIN: dict[str, str] = {
+    "j14_source_coverage": f"select s.slug, {COVERAGE} from sources s join chapters c on c.fraternity_id = s.fraternity_id group by s.slug",
     "j15_handle_assignments": "select c.id, count(o.id) as others from chapters c left join chapters o on o.instagram_url = c.instagram_url and o.id <> c.id where c.instagram_url is not null group by c.id",
     "j20_nearest_baseline": "select id, base from (select r.id, b.id as base, row_number() over (partition by r.id order by b.started_at desc, b.id desc) as rn from (select * from crawl_runs where status = 'failed') r join crawl_runs b on b.source_id = r.source_id and b.session_id = r.session_id and b.status = 'succeeded' and b.started_at < r.started_at) x where rn = 1",
 }

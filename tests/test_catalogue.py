@@ -54,3 +54,8 @@ def test_entry_imports():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_coverage_of_sources_counts_before_it_joins(spark):
+    join = [x for x in QUERIES["j14_source_coverage"](spark, SF)._jdf.queryExecution().optimizedPlan().toString().split("Join ")[1:]]
+    assert len(join) == 1 and join[0].count("Aggregate ") >= 2  # both sides are counted below the only join
