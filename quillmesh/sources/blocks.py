@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.functions import scalars as S
-from quillmesh.sources.html import HEADINGS, VOID, resolved
+from quillmesh.sources.html import HEADINGS, VOID, resolved, slices
 
 # Fixed values ---------------------------------------------------------------------------------------------------------
 
@@ -39,8 +39,6 @@ NODE = "tag string, css string, href string, parent int, end int, low int, high
 _NODE = pa.list_(pa.struct([(n, pa.int32() if t == "int" else pa.string()) for n, t in (x.split(" ") for x in NODE.split(", "))]))
 _MARK = pa.list_(pa.struct([("name", pa.string()), ("at", pa.int32()), ("to", pa.int32())]))
 _OBJECTS = pa.list_(pa.map_(pa.string(), pa.string()))
-#: Parsed pages a batch.
-PAGES = 256
 _GREEK = re.compile(r"\b(?:" + "|".join(sorted(S.GREEK.values(), key=len, reverse=True)) + r")\b")
 _SPELLED = {ord(k): f" {v} " for c, v in S.GREEK.items() for k in (c, c.lower())} | {ord("ς"): " sigma "}
 _TOKEN = re.compile(r"""//[^\n]*|/\*.*?\*/|'(?:[^'\\\n]|\\.)*'|"(?:[^"\\\n]|\\.)*"|`(?:[^`\\]|\\.)*`|[{}\[\]:,]|[A-Za-z_$][\w$]*|-?\d+(?:\.\d+)?""", re.S)
@@ -208,9 +206,8 @@ def trees(pages: DataFrame, wanted: Column | None = None, html: str = "html") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, len(whole), PAGES):
-                batch = whole.slice(at, PAGES)
-                n = batch.num_columns
+            n = whole.num_columns
+            for batch in slices(whole, n - 2):
                 made = [_tree(h.as_py(), w.as_py()) for h, w in zip(batch.column(n - 2), batch.column(n - 1), strict=True)]
                 kinds = {"text": pa.string(), "nodes": _NODE, "marks": _MARK, "objects": _OBJECTS}
                 columns = [*batch.columns[:-2], *(pa.array([m[c] for m in made], k) for c, k in kinds.items())]
