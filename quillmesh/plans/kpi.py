@@ -212,7 +212,8 @@ SQL: dict[str, str] = {
     "k02_frontier_head": "select session_id, id from (select session_id, id, row_number() over (partition by session_id order by risk_score desc, n_flags, created_at, id) as rn from observations) x where rn = 1",
     "k03_severity_order": "select id, severity from alerts where status = 'open' order by case severity when 'critical' then 0 when 'warning' then 1 else 2 end, created_at desc nulls last, id desc limit 50",
     "k04_page_offset": "select id, started_at from crawl_runs order by started_at desc nulls last, id desc limit 50 offset 100",
-    "k05_cohort": "with fresh as (select s.id, 0 as tier, s.health as rank_ from sources s where not exists (select 1 from crawl_runs r where r.source_id = s.id)), known as (select s.id, 1 as tier, cast(count(*) as double) as rank_ from sources s join crawl_runs r on r.source_id = s.id group by s.id) select id, tier from (select * from fresh union all select * from known) x order by tier, rank_ desc, id limit 12",
+    # runs are counted by source before they meet the sources
+    "k05_cohort": "with runs as (select source_id, count(*) as n from crawl_runs group by source_id), fresh as (select s.id, 0 as tier, s.health as rank_ from sources s where not exists (select 1 from runs r where r.source_id = s.id)), known as (select s.id, 1 as tier, cast(sum(r.n) as double) as rank_ from sources s join runs r on r.source_id = s.id group by s.id) select id, tier from (select * from fresh union all select * from known) x order by tier, rank_ desc, id limit 12",
     "k07_source_resolution": "select fraternity_id, id from (select *, row_number() over (partition by fraternity_id order by case when source_type = 'html_directory' then 0 when active then 1 else 2 end, id) as rn from sources) x where rn = 1",
     "k08_existing_choice": "select fraternity_id, id from (select *, row_number() over (partition by fraternity_id order by health desc nulls last, slug desc, id) as rn from sources) x where rn = 1",
     # 2.7 set operations
@@ -230,6 +231,7 @@ DUCK_GLOBAL, SPARK_GLOBAL = ", 'g'", ""
 
 #: The plain joins that stand for reports whose plan avoids them: what they are checked against.
 PLAIN: dict[str, str] = {
+    "k05_cohort": "with fresh as (select s.id, 0 as tier, s.health as rank_ from sources s where not exists (select 1 from crawl_runs r where r.source_id = s.id)), known as (select s.id, 1 as tier, cast(count(*) as double) as rank_ from sources s join crawl_runs r on r.source_id = s.id group by s.id) select id, tier from (select * from fresh union all select * from known) x order by tier, rank_ desc, id limit 12",
     "j14_source_coverage": f"select s.slug, {COVERAGE} from sources s join chapters c on c.fraternity_id = s.fraternity_id group by s.slug",
     "j15_handle_assignments": "select c.id, count(o.id) as others from chapters c left join chapters o on o.instagram_url = c.instagram_url and o.id <> c.id where c.instagram_url is not null group by c.id",
     "j20_nearest_baseline": "select id, base from (select r.id, b.id as base, row_number() over (partition by r.id order by b.started_at desc, b.id desc) as rn from (select * from crawl_runs where status = 'failed') r join crawl_runs b on b.source_id = r.source_id and b.session_id = r.session_id and b.status = 'succeeded' and b.started_at < r.started_at) x where rn = 1",

@@ -59,3 +59,8 @@ def test_entry_imports():
 def test_coverage_of_sources_counts_before_it_joins(spark):
     join = [x for x in QUERIES["j14_source_coverage"](spark, SF)._jdf.queryExecution().optimizedPlan().toString().split("Join ")[1:]]
     assert len(join) == 1 and join[0].count("Aggregate ") >= 2  # both sides are counted below the only join
+
+
+def test_cohort_counts_runs_before_it_joins(spark):
+    plan = QUERIES["k05_cohort"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 2 and plan.count("Aggregate ") >= 3  # each join meets runs counted by source
