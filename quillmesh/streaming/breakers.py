@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+#: Rows of a key that are made into a frame at a time; of the others a worker holds three numbers.
+ROWS = 20_000
 SCHEMA = "key string, id long, ms long, state string, streak long, until_ms long"
 
 
@@ -28,23 +31,27 @@ class Breaker(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         streak, until = self.state.get() if self.state.exists() else (0, 0)
-        frame = pd.concat(list(rows)).sort_values(["ms", "id"])
-        out = []
-        for i, at, failed in zip(frame["id"].tolist(), frame["ms"].tolist(), frame["failed"].tolist(), strict=True):
-            now = at if self.event_time else timerValues.getCurrentProcessingTimeInMs()
-            if until > now:  # open: what comes is refused and counts for nothing
-                state = "refused"
-            elif failed:
-                streak += 1
-                state = "closed"
-                if streak >= self.most:
-                    until, state = now + self.cooldown, "open"
-                    self.handle.registerTimer(until)
-            else:
-                streak, until, state = 0, 0, "closed"
-            out.append((key[0], i, at, state, streak, until or None))
+        parts = [tuple(frame[c].to_numpy(copy=True) for c in ("ms", "id", "failed")) for frame in rows]
+        ms, ids, bad = (np.concatenate(column) for column in zip(*parts, strict=True))
+        del parts
+        order = np.lexsort((ids, ms))
+        for start in range(0, len(order), ROWS):
+            part, out = order[start : start + ROWS], []
+            for i, at, failed in zip(ids[part].tolist(), ms[part].tolist(), bad[part].tolist(), strict=True):
+                now = at if self.event_time else timerValues.getCurrentProcessingTimeInMs()
+                if until > now:  # open: what comes is refused and counts for nothing
+                    state = "refused"
+                elif failed:
+                    streak += 1
+                    state = "closed"
+                    if streak >= self.most:
+                        until, state = now + self.cooldown, "open"
+                        self.handle.registerTimer(until)
+                else:
+                    streak, until, state = 0, 0, "closed"
+                out.append((key[0], i, at, state, streak, until or None))
+            yield from self._rows(out)
         self.state.update((streak, until))
-        return self._rows(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         streak, until = self.state.get() if self.state.exists() else (0, 0)
