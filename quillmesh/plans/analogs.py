@@ -7,6 +7,7 @@ it as common table expressions; Catalyst prunes their columns and pushes filters
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -103,8 +104,21 @@ def duck_sql(sql: str) -> str:
     return _filled(sql, lambda t: t)
 
 
-def run_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    return spark.sql(_filled(sql, lambda t: f"parquet.`{sf_dir}/{t}.parquet`"))
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """df's rows over all tasks by a unique key: a narrow table is one small file, however much is made of its rows."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), key)
+
+
+def run_sql(spark: SparkSession, sf_dir: str, sql: str, deal: dict[str, str] | None = None) -> DataFrame:
+    """deal: the unique keys of base tables that are dealt over all tasks before the rest."""
+    views = {t: f"dealt_{t}_{uuid.uuid4().hex}" for t in deal or {}}
+    for t, view in views.items():
+        dealt(spark.read.parquet(f"{sf_dir}/{t}.parquet"), deal[t]).createOrReplaceTempView(view)
+    df = spark.sql(_filled(sql, lambda t: views.get(t) or f"parquet.`{sf_dir}/{t}.parquet`"))
+    for view in views.values():
+        spark.catalog.dropTempView(view)
+    return df
 
 
 def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

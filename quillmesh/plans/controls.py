@@ -56,7 +56,7 @@ CONTACTS = f"""select id, {_pick(4, "Beta Rho", "Texas Tech Chapter", "Zeta Chap
 
 
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = run_sql(spark, sf_dir, f"select * from ({CONTACTS}) c").withColumns({
+    rows = run_sql(spark, sf_dir, f"select * from ({CONTACTS}) c", {"customer": "c_custkey"}).withColumns({
         "specificity": F.when(F.col("trusted").isNotNull(), F.create_map("trusted", F.lit("school_specific"))), "patched_pass": F.lit(None).cast("int"),
         "field_states": F.when(F.col("all_invalid"), F.map_from_arrays(F.array(*map(F.lit, P.FIELDS)), F.array(*(F.lit("invalid_entity") for _ in P.FIELDS)))),
     })
