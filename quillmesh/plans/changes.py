@@ -19,8 +19,8 @@ from quillmesh.sources import records as R
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _sql(rows: str, make: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, sf_dir: make(run_sql(spark, sf_dir, rows))
+def _sql(rows: str, make: Callable[[DataFrame], DataFrame], deal: dict[str, str] | None = None) -> Query:
+    return lambda spark, sf_dir: make(run_sql(spark, sf_dir, rows, deal))
 
 
 def _two(old: str, new: str, make: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
@@ -89,8 +89,12 @@ LINKED = f"""select p_partkey as page_id, 'https://x.org/p' || {_S} as url, '<ht
 PATHS = f"""select page_id as id, coalesce({_pick(15, "https://x.org/find-a-chapter/new-york/12", "https://x.org/Our_History/", "https://x.org/", "https://x.org/district-of-columbia/2020/very-long-token-of-a-path-that-is-cut", "https://x.org/join/recruit", "https://x.org/news/chapter", "https://x.org/campus/contact-us", "https://x.org/a/b/c/d", "https://x.org", of="page_id")}, url) as url from {{pages}}"""
 
 
+#: Pages are made of parts after these are dealt over all tasks, so that only keys are shuffled.
+_PARTS = {"part": "p_partkey"}
+
+
 def _parsed(make: Callable[[DataFrame], DataFrame]) -> Query:
-    return _sql(MADE, lambda d: make(H.parsed(d)))
+    return _sql(MADE, lambda d: make(H.parsed(d)), _PARTS)
 
 
 def tables(d: DataFrame) -> DataFrame:
@@ -122,11 +126,11 @@ def _route(d: DataFrame) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "c10_routes": _sql(PATHS, _route),
     "d30_made_zones": _parsed(zones),
-    "d46_walks": _sql(LINKED, walks),
+    "d46_walks": _sql(LINKED, walks, _PARTS),
     "d47_made_hints": _parsed(hints),
     "s03_table_records": _parsed(tables),
     "s06_json_records": _parsed(lambda d: H.json_records(d).select("page_id", "name", "university_name", "city", "state", "website_url", "external_id", "confidence")),
-    "s07_kml_records": _sql(PLACES, lambda d: H.kml_records(d).select("page_id", "mark", "name", "university_name", "city", "state", "website_url")),
+    "s07_kml_records": _sql(PLACES, lambda d: H.kml_records(d).select("page_id", "mark", "name", "university_name", "city", "state", "website_url"), _PARTS),
     "s08_extracted": _parsed(by_plan),
     "s09_embedded_data": _parsed(lambda d: d.select("page_id", H.embedded_data().alias("x")).select("page_id", "x.kind")),
     "s19_unnested": _sql(LISTS, lambda d: R.unnested(d, "id", "doc", "school string, n int")),
