@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -42,6 +43,30 @@ def test_links_zones_hints(page):
     assert h["emails"] == ["bob@example.org"] and h["instagrams"] == ["https://www.instagram.com/alpha_house"]
 
 
+def test_directory_links_are_the_best_of_all_links_by_whole_labels(spark):
+    rng = random.Random(6)
+    away = "".join(f'<a href="https://away{k}.example.org/">away</a>' for k in range(45))
+    near = "".join(f'<a href="/p{k}">page {k}</a>' for k in range(45))
+    late = '<a href="/chapters">Our Chapters</a><a href="/chapters?utm_source=x">again</a>'
+    long = f'<a href="/long">{"word " * 60}find a chapter</a>'
+    paths = [rng.choice(["chapters", "staff", "news", "about"]) + f"/{rng.randint(0, 400)}" for _ in range(600)]
+    many = "".join(f'<a href="/{p}">{rng.choice(["Our Chapters", "Blog", ""])}</a>' for p in paths)
+    pages = H.parsed(spark.createDataFrame([(1, "https://a.example.org/", away + late), (2, "https://b.example.org/", near + late), (3, "https://c.example.org/", long), (4, "https://d.example.org/", many)], "page_id int, url string, html string"))
+    found = {k: [r for r in H.directory_links(pages).orderBy("page_id", "rank").collect() if r["page_id"] == k] for k in (1, 2, 3, 4)}
+    assert [(r["link"], r["anchor"], r["ordinal"], r["score"]) for r in found[1]] == [("https://a.example.org/chapters", "Our Chapters", 45, 0.75)]
+    assert [r["link"].split("/")[-1] for r in found[2]] == ["chapters", "p9", "p8", "p7", "p6", "p5", "p44", "p43"]
+    assert [(r["score"], len(r["anchor"])) for r in found[3]] == [(0.5, 314)]
+    # page 4 against a plain walk: the first label of each URL, all of them scored, then the best eight
+    first = {}
+    for p, label in zip(paths, re.findall(r">([^<]*)</a>", many), strict=True):
+        first.setdefault(f"https://d.example.org/{p}", label)
+    score = lambda u, label: max(0.0, min(1.0, 0.5 * (label == "Our Chapters") - 0.6 * (label == "Blog") + 0.25 * ("chapter" in u) - 0.35 * ("staff" in u or "news" in u)))
+    best = sorted(((score(u, x), u) for u, x in first.items()), reverse=True)[:8]
+    assert len(first) > 300 and [(r["score"], r["link"]) for r in found[4]] == best
+    assert H.frontier_links(pages).where("page_id = 3").first()["anchor"] == ("word " * 60)[:180]
+    assert [r["count"] for r in H.frontier_links(pages).groupBy("page_id").count().orderBy("page_id").collect()] == [40, 40, 1, 40]
+
+
 def test_kml(spark):
     kml = "<kml><Placemark><name>North College - Alpha</name><description><![CDATA[Location: Austin, TX<br>Website: https://a.example.org]]></description></Placemark><Placemark><name>North College - Alpha</name></Placemark><Placemark><name>Solo</name></Placemark></kml>"
     r = H.kml_records(spark.createDataFrame([(1, kml)], "page_id long, html string")).orderBy("mark").collect()
